@@ -162,7 +162,7 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     names = docs.columns
     row = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in names])).select("doc_id", "text", "source", "__row")
     _, p = _pieces(docs.select("doc_id", "text", "source"), mix, [])
-    part = F.expr("struct(cast(lo + block * {b} - start as int) as at, cast(greatest(0, least(rest_words, lo + len) - lo) as int) as n)".format(b=mix.block_words))
+    part = F.expr("struct(cast(lo + block * {b} - start as int) as at, cast(greatest(0, least(coalesce(rest_words, 0), lo + len) - lo) as int) as n)".format(b=mix.block_words))
     p = p.filter("size > 0").withColumn("part", part)
     parts = p.groupBy("snull", "src", "chunk", "rn", "passes", "size").agg(F.array_sort(F.collect_list(F.when(F.col("part.n") > 0, F.col("part")))).alias("parts"))
     joined = _keyed(row, mix, ["__row"]).drop("size", "before").join(parts, ["snull", "src", "chunk", "rn"])
@@ -197,13 +197,13 @@ with d as (
          cast(source is null as integer) as snull, coalesce(source, '') as src, {h("coalesce(cast(doc_id as varchar), '')")} % {mix.chunks} as chunk
   from documents
 ), p as (
-  select *, sum(size) over (partition by snull, src order by chunk, doc_id, size rows unbounded preceding) - size as start,
+  select *, cast(sum(size) over (partition by snull, src order by chunk, doc_id, size rows unbounded preceding) as bigint) - size as start,
          row_number() over (partition by snull, src order by chunk, doc_id, size) as rn
   from d
 ), s0 as (
-  select snull, src, sum(size) as n, [{", ".join(map(str, mix.weights))}][(row_number() over (order by snull, src) - 1) % {len(mix.weights)} + 1] as w from d group by snull, src
+  select snull, src, cast(sum(size) as bigint) as n, [{", ".join(map(str, mix.weights))}][(row_number() over (order by snull, src) - 1) % {len(mix.weights)} + 1] as w from d group by snull, src
 ), s1 as (
-  select *, n * {float(mix.cap)} / w as fills, sum(n) over () as all_words from s0
+  select *, n * {float(mix.cap)} / w as fills, cast(sum(n) over () as bigint) as all_words from s0
 ), s2 as (
   select *, (all_words - coalesce(sum(n * {mix.cap}) over (order by fills, snull, src rows between unbounded preceding and 1 preceding), 0))
             / cast(sum(w) over (order by fills, snull, src rows between current row and unbounded following) as double) as level from s1
