@@ -40,7 +40,8 @@ def hash60(text: Column) -> Column:
 
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    mapped = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(mapped)  # ASCII texts have a fast path
 
 
 #: Rows of a stated, small table (benchmark items, a slot table) up to which it is broadcast.
