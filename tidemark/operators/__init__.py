@@ -1 +1 @@
-
+"""Operators over change events, as transformations of DataFrames."""

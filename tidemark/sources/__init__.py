@@ -1 +1 @@
-
+"""Where change rows come from."""
