@@ -37,7 +37,7 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS, -1), lambda w: w != "")
 
 
-def _id_key(df: DataFrame) -> list[Column]:
+def id_key(df: DataFrame) -> list[Column]:
     return [F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("did"), F.xxhash64("text").alias("tv")]
 
 
@@ -55,7 +55,7 @@ def windows(items: DataFrame, n: int) -> DataFrame:
 
 def postings(docs: DataFrame, terms: DataFrame, rows: int) -> DataFrame:
     """The index: (term, did, tv, pos, n_words) for the given terms, over all documents."""
-    tokens = docs.select(*_id_key(docs), words(F.col("text")).alias("w"))
+    tokens = docs.select(*id_key(docs), words(F.col("text")).alias("w"))
     tokens = tokens.select("did", "tv", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "term"))
     return tokens.join(broadcast_checked(terms, rows), "term")
 
@@ -90,7 +90,7 @@ def phrases(docs: DataFrame, items: DataFrame, window: int = WINDOW, lists: int
     anchors = rarest(docs, wins, lists)
     maybe = places(docs, anchors).groupBy("did", "tv").agg(F.array_sort(F.collect_list(F.struct("start", "n", "wid"))).alias("maybe"))
     maybe = cut(maybe)
-    there = docs.select(*_id_key(docs), "text").join(broadcast_checked(maybe, maybe.count()), ["did", "tv"])
+    there = docs.select(*id_key(docs), "text").join(broadcast_checked(maybe, maybe.count()), ["did", "tv"])
     there = there.select("did", "tv", "maybe", words(F.col("text")).alias("w"))
     same = F.expr("filter(maybe, c -> cast(conv(substring(md5(array_join(slice(w, c.start + 1, c.n), ' ')), 1, 15), 16, 10) as bigint) = c.wid)")
     return there.select("did", "tv", same.alias("found")).filter(F.size("found") > 0).dropDuplicates(["did", "tv"]), wins
@@ -108,7 +108,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, lists
     wids = found.select("did", "tv", F.explode(F.array_distinct(F.transform("found", lambda c: c["wid"]))).alias("wid"))
     of = wins.select("wid", "item").distinct()
     named = wids.join(broadcast_checked(of, wins.count()), "wid").groupBy("did", "tv").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    every = docs.select("doc_id", *_id_key(docs), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_CASE)).cast("long").alias("n_words"))
+    every = docs.select("doc_id", *id_key(docs), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_CASE)).cast("long").alias("n_words"))
     out = every.join(hits.join(named, ["did", "tv"]), ["did", "tv"], "left")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
@@ -138,7 +138,7 @@ def proximity(docs: DataFrame, items: DataFrame, within: int, window: int = WIND
     got = near.filter(F.col("offs") >= F.col("need")).withColumn("start", F.explode(firsts)).select("did", "tv", "wid", "start").distinct()
     named = got.join(broadcast_checked(wins.select("wid", "item").distinct(), wins.count()), "wid")
     out = named.groupBy("did", "tv", "item").agg(F.min("start").alias("start"))
-    return docs.select("doc_id", *_id_key(docs)).join(out, ["did", "tv"]).select("doc_id", "item", "start")
+    return docs.select("doc_id", *id_key(docs)).join(out, ["did", "tv"]).select("doc_id", "item", "start")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

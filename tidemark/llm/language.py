@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -232,36 +233,60 @@ def _has_letter(raw: bytes) -> bool:
     return any(c.isalpha() for c in raw.decode("utf-8", "replace"))
 
 
+def predict(model: Model | None, column) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text of an Arrow column."""
+    all_data, all_offsets = buffers.utf8(column)
+    pred, score = [], [np.empty(0)]
+    for i, j in buffers.runs(all_offsets, BATCH):
+        lo = all_offsets[i]
+        data, offsets = all_data[lo : all_offsets[j]], all_offsets[i : j + 1] - lo
+        if model is None:
+            pred += ["und"] * (j - i)
+            score.append(np.zeros(j - i))
+            continue
+        _, label, known, first = _labels(model, data, offsets)
+        text_of = np.repeat(np.arange(j - i), np.diff(first))
+        n = np.bincount(text_of[known] * len(model.langs) + label[known], minlength=(j - i) * len(model.langs)).reshape(j - i, -1)
+        best, total = n.argmax(axis=1), n.sum(axis=1)
+        ascii_ = np.concatenate([[0], np.cumsum((SCRIPTS[data] == 1) & (data < 0x80), dtype=np.int32)])[offsets]
+        names = np.where(total > 0, np.array(model.langs, object)[best], model.langs[model.frequent])
+        for row in np.flatnonzero(np.diff(ascii_) == 0):
+            if not _has_letter(data[offsets[row] : offsets[row + 1]].tobytes()):
+                names[row] = "und"
+                n[row] = 0
+        pred += names.tolist()
+        score.append(n.max(axis=1) / np.maximum(1, n.sum(axis=1)))
+    return pred, np.concatenate(score)
+
+
 def predictor(model: Model | None):
+    """(doc_id, text, held_out) to (doc_id, held_out, lang_pred, score)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_data, all_offsets = buffers.utf8(batch.column(1))
-            pred, score = [], []
-            for i, j in buffers.runs(all_offsets, BATCH):
-                lo = all_offsets[i]
-                data, offsets = all_data[lo : all_offsets[j]], all_offsets[i : j + 1] - lo
-                if model is None:
-                    pred += ["und"] * (j - i)
-                    score.append(np.zeros(j - i))
-                    continue
-                _, label, known, first = _labels(model, data, offsets)
-                text_of = np.repeat(np.arange(j - i), np.diff(first))
-                n = np.bincount(text_of[known] * len(model.langs) + label[known], minlength=(j - i) * len(model.langs)).reshape(j - i, -1)
-                best, total = n.argmax(axis=1), n.sum(axis=1)
-                ascii_ = np.concatenate([[0], np.cumsum((SCRIPTS[data] == 1) & (data < 0x80), dtype=np.int32)])[offsets]
-                names = np.where(total > 0, np.array(model.langs, object)[best], model.langs[model.frequent])
-                for row in np.flatnonzero(np.diff(ascii_) == 0):
-                    if not _has_letter(data[offsets[row] : offsets[row + 1]].tobytes()):
-                        names[row] = "und"
-                        n[row] = 0
-                pred += names.tolist()
-                score.append(n.max(axis=1) / np.maximum(1, n.sum(axis=1)))
-            score = np.concatenate(score) if score else np.empty(0)
+            pred, score = predict(model, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
 
+def keeper(model: Model | None):
+    """Whole rows of documents that have a language; a missing lang is the predicted one. Without a model no row goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if model is None:
+                yield batch
+                continue
+            text, lang = batch.schema.get_field_index("text"), batch.schema.get_field_index("lang")
+            pred, _ = predict(model, batch.column(text))
+            pred = pa.array(pred, pa.string())
+            batch = batch.set_column(lang, batch.schema.field(lang), pc.coalesce(batch.column(lang), pred.cast(batch.schema.field(lang).type)))
+            yield batch.filter(pc.not_equal(pred, "und"))
+
+    return run
+
+
 def span_finder(model: Model):
     """(id, text) to (id, at, length, lang): byte ranges of spans of one language, from word to word."""
 
