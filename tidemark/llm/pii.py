@@ -120,3 +120,52 @@ def op9(spark: SparkSession, docs: DataFrame) -> DataFrame:
         F.expr(listed.format("spans")).alias("spans"),
         *[n(k) for k in MORE_KINDS],
     )
+
+
+#: The same expressions without look-behind, for engines whose matching is linear anyway.
+_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"[A-Z][A-Z][0-9][0-9](?:\x20?[A-Z0-9]){11,30}",
+    "national_phone": r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}",
+}
+
+
+def oracle() -> str:
+    """Matches with their places from the pieces between them, then each kind's rule."""
+    found = " union all ".join(
+        f"select doc_id, t, {k} as k, '{kind}' as kind, unnest(regexp_extract_all(t, '{p}')) as m, unnest(list_transform(string_split_regex(t, '{p}')[:-2], lambda x: length(x))) as gap, generate_subscripts(regexp_extract_all(t, '{p}'), 1) as i from d"
+        for k, (kind, p) in enumerate(_PLAIN.items())
+    )
+    lengths = "map {" + ", ".join(f"'{c}': {n}" for c, n in IBAN_LENGTHS.items()) + "}"
+    near = " ".join(f"when '{kind}' then regexp_matches(near, '(^|[^a-z])(?:{'|'.join(CONTEXT[kind])})([^a-z]|$)')" for kind in _PLAIN)
+    base = " ".join(f"when '{kind}' then {SCORES[kind]}" for kind in _PLAIN)
+    counts = ", ".join(f"cast(count(*) filter (kind = '{kind}') as bigint) as n_{kind}" for kind in _PLAIN)
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    return rf"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+found as ({found}),
+placed as (
+  select *, cast(sum(gap + length(m)) over (partition by doc_id, kind order by i rows unbounded preceding) as bigint) - length(m) as s, {digits} as digits, replace(m, ' ', '') as bare from found
+), cut as (
+  select *, case when kind = 'iban' then length(regexp_extract(m, '^(?:[A-Z0-9] ?){{' || (len_ - 1) || '}}[A-Z0-9]')) else length(m) end as n
+  from (select *, coalesce({lengths}[substr(bare, 1, 2)], 99) as len_ from placed) where kind <> 'iban' or length(bare) >= len_
+), ok as (
+  select *, lower(substr(t, greatest(1, s + 1 - {CONTEXT_CHARS}), s - greatest(0, s - {CONTEXT_CHARS}))) as near from cut where case kind
+    when 'ip' then len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 or cast('0' || substr(ltrim(p, '0'), 1, 3) as int) > 255)) = 0
+    when 'card' then length(digits) between 14 and 19 and list_sum(list_transform(range(length(digits)), lambda j:
+      case when j % 2 = 0 then cast(digits[length(digits) - j] as int) else cast(digits[length(digits) - j] as int) * 2 - case when cast(digits[length(digits) - j] as int) > 4 then 9 else 0 end end)) % 10 = 0
+    when 'phone' then length(digits) between 10 and 15
+    when 'iban' then list_reduce(list_prepend(0, list_transform(string_split(substr(substr(bare, 1, len_), 5) || substr(bare, 1, 4), ''), lambda c: case when c between '0' and '9' then cast(c as int) else ascii(c) - 55 end)), lambda r, x: case when x < 10 then (r * 10 + x) % 97 else (r * 100 + x) % 97 end) = 1
+    else true end
+), scored as (
+  select *, case kind {base} end + case when case kind {near} end then {CONTEXT_ADDS} else 0 end as score from ok
+), kept as (select doc_id, k, kind, kind || ':' || cast(s as bigint) || ':' || cast(s + n as bigint) as span, s from scored where k < {len(BASE_KINDS)} or score >= {THRESHOLD}),
+per as (
+  select doc_id, {counts}, string_agg(span, ',' order by s, k) filter (k < {len(BASE_KINDS)}) as base, string_agg(span, ',' order by s, k) as spans from kept group by doc_id
+)
+select d.doc_id, {", ".join(f"coalesce(n_{kind}, 0) as n_{kind}" for kind in _PLAIN)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join per on per.doc_id = d.doc_id
+"""

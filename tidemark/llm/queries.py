@@ -33,5 +33,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_bitslice_topk": bitslice.ORACLE,
         "op4_decontamination": decontamination.ORACLE,
         "op6_substring_dedup": substring.ORACLE,
+        "op7_suffix_dedup": suffixes.ORACLE,
+        "op9_pii": pii.oracle(),
         "op10_jaccard_join": jaccard.ORACLE,
     }

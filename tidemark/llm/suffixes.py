@@ -87,3 +87,22 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
 
 def op7(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return dedup(docs).selectExpr("doc_id", "n_units as n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+ORACLE = """
+with b as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+p as (select doc_id, j, substr(h, 1024 * j + 1, 1122) as p from (select doc_id, h, unnest(range((length(h) // 2 + 462) // 512)) as j from b where length(h) >= 100)),
+g as (select doc_id, 512 * j + o as i, substr(p, 2 * o + 1, 100) as t from (select doc_id, j, p, unnest(range(least(512, length(p) // 2 - 49))) as o from p)),
+m as (select t, min(doc_id) as first from g group by t having min(doc_id) < max(doc_id)),
+hit as (select g.doc_id, g.i from g join m on m.t = g.t and m.first < g.doc_id),
+run as (select *, i > coalesce(lag(i) over (partition by doc_id order by i) + 50, -1) as new from hit),
+spans as (select doc_id, r, min(i) as lo, max(i) + 50 as hi from (select *, sum(cast(new as int)) over (partition by doc_id order by i rows unbounded preceding) as r from run) group by doc_id, r),
+gaps as (
+  select doc_id, coalesce(lag(hi) over (partition by doc_id order by lo), 0) as a, lo as z from spans
+  union all select doc_id, max(hi), null from spans group by doc_id
+),
+kept as (select gaps.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(z, length(h) // 2) - a)), '' order by a) as k from gaps join b on b.doc_id = gaps.doc_id group by gaps.doc_id),
+per as (select doc_id, sum(hi - lo) as n, count(*) as c from spans group by doc_id)
+select b.doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(n, 0) as bigint) as n_removed, coalesce(c, 0) as n_spans, sha256(unhex(coalesce(k, h))) as kept_sha256
+from b left join per on per.doc_id = b.doc_id left join kept on kept.doc_id = b.doc_id
+"""
