@@ -150,7 +150,7 @@ def oracle_sql() -> dict[str, str]:
         "consumer_lag": _L + "select consumer, sequence, (select max(sequence) from log) - sequence as lag from (select consumer, max(sequence) as sequence from deliveries where sequence <= 900 group by consumer)",
         "wal_lag": _L + "select w as wal_end, d as durable, greatest(w - d, 0) as lag, greatest(d - w, 0) as floor from (select max(end_lsn_num) as w, max(end_lsn_num) filter (end_lsn_num % 3 = 0) as d from tx)",
         "cache_invalidate_keys": _M + "select sequence, pos, kind, key from mut where rule_index = 1",
-        "cache_upsert_mutations": _M + "select * from mut",
+        "cache_upsert_mutations": _M + "select * replace (coalesce(ttl_seconds, 0) as ttl_seconds) from mut",
         "cache_final_state": _M + "select key, m.value as value, m.ttl_seconds as ttl_seconds, m.sequence as sequence from (select key, arg_max({kind: kind, value: value, ttl_seconds: ttl_seconds, sequence: sequence}, (sequence, rule_index, pos)) as m from mut group by key) where m.kind = 'set'",
         "cache_mapping_errors": _L + "select sequence, cast(table_name = 'orders' as integer) as rule_index, case when sequence % 50 = 0 then 'truncate' else 'image is no object' end as error from log where sequence % 50 = 0 or sequence % 7 = 0",
         "event_rule_join": _L + "select cast(table_name = 'orders' as integer) as rule_index, case when table_name = 'orders' then 'invalidate' else 'upsert' end as mode, operation, count(*) as events from log group by all",
@@ -162,7 +162,7 @@ def oracle_sql() -> dict[str, str]:
         "required_tables_missing": _N + "select * from required except select schema_name, table_name from published",
         "restricted_tables": _N + "select * from required intersect select schema_name, table_name from published where has_row_filter or has_column_filter",
         "publication_unnecessary_tables": _N + "select schema_name, table_name from published where schema_name <> 'public' and table_name not in ('china', 'nowhere')",
-        "publication_join": _N + "select t.schema_name, t.table_name, t.identity, p.has_row_filter, p.has_column_filter from tables t left join published p on p.schema_name = t.schema_name and p.table_name = t.table_name",
+        "publication_join": _N + "select t.schema_name, t.table_name, t.identity, coalesce(p.has_row_filter, false) as has_row_filter, coalesce(p.has_column_filter, false) as has_column_filter from tables t left join published p on p.schema_name = t.schema_name and p.table_name = t.table_name",
         "replica_identity_exists": _N + "select schema_name, table_name from tables t where (has_usable_identity or identity = 'f') and not exists (select 1 from tables u where u.schema_name = t.schema_name and u.table_name = t.table_name and u.has_generated)",
         "source_validation": _N + """, mine as (select t.* from tables t join required r on r.schema_name = t.schema_name and r.table_name = t.table_name)
             select * from (values ('source', 'wal_level is not logical'), ('source', 'role may not replicate'), ('source', 'slot is two-phase')) v(subject, violation)

@@ -276,7 +276,7 @@ def cache_invalidate_keys(spark, d):
 
 
 def cache_upsert_mutations(spark, d):
-    return cache.mutations(cache.map_events(events(spark, d), RULES))
+    return cache.mutations(cache.map_events(events(spark, d), RULES)).fillna(0, ["ttl_seconds"])
 
 
 def cache_final_state(spark, d):
@@ -364,7 +364,7 @@ def publication_unnecessary_tables(spark, d):
 
 def publication_join(spark, d):
     """Tables with what the publication says of them, where it does."""
-    return _tables(spark, d).join(_published(spark, d), ["schema_name", "table_name"], "left").select("schema_name", "table_name", "identity", "has_row_filter", "has_column_filter")
+    return _tables(spark, d).join(_published(spark, d), ["schema_name", "table_name"], "left").select("schema_name", "table_name", "identity", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("has_row_filter", "has_column_filter")])
 
 
 def replica_identity_exists(spark, d):
