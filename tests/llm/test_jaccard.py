@@ -6,20 +6,20 @@ import tidemark.llm.jaccard as jaccard
 from tidemark.llm.components import components
 
 
-@pytest.mark.parametrize("seed", [0, 1])
+@pytest.mark.parametrize("seed", [0])
 def test_equals_brute_force(spark, monkeypatch, seed):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(40)]
     base = [[rng.choice(words) for _ in range(rng.randrange(3, 90))] for _ in range(6)]
     texts = list(brute.ODD_TEXTS)
-    for _ in range(120):
+    for _ in range(90):
         w = list(rng.choice(base))
         for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
             w[rng.randrange(len(w))] = rng.choice(words)
         if rng.random() < 0.3:
             w = w[: max(1, len(w) - rng.randrange(8))]
         texts.append(" ".join(w).upper() if rng.random() < 0.2 else " ".join(w))
-    monkeypatch.setattr(jaccard, "PACK", 7)
+    monkeypatch.setattr(jaccard, "PACK", 15)
     docs = brute.with_more_columns(brute.documents(spark, texts))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.op10(spark, docs).collect()}
     assert got == brute.jaccard_components(list(enumerate(texts)))

@@ -13,9 +13,9 @@ def _jump(p: DataFrame) -> DataFrame:
     while True:
         to = p.select(F.col("node").alias("via"), F.col("p").alias("next"))
         q = cut(p.join(to, F.col("p") == F.col("via")).select("node", F.col("next").alias("p"), (F.col("next") != F.col("p")).alias("moved")))
+        p = q.select("node", "p")
         if q.filter("moved").isEmpty():
-            return q.select("node", "p")
-        p = cut(q.select("node", "p"))
+            return p
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,12 +27,12 @@ def components(links: DataFrame) -> DataFrame:
     e, labels = cut(links.select("a", "b").filter("a <> b").distinct()), None
     while labels is None or not e.isEmpty():
         both = e.union(e.select(F.col("b"), F.col("a")))
-        p = cut(_jump(cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("p")))))
+        p = _jump(cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("p"))))
         if labels is None:
             labels = p.select("node", F.col("p").alias("comp"))
         else:
             to = p.select(F.col("node").alias("comp"), F.col("p"))
             labels = cut(labels.join(to, "comp", "left").select("node", F.coalesce("p", "comp").alias("comp")))
-        left = cut(e.join(p.select(F.col("node").alias("a"), F.col("p").alias("pa")), "a").select("pa", "b"))
+        left = e.join(p.select(F.col("node").alias("a"), F.col("p").alias("pa")), "a").select("pa", "b")
         e = cut(left.join(p.select(F.col("node").alias("b"), F.col("p").alias("pb")), "b").filter("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
     return labels

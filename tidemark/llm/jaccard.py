@@ -7,19 +7,21 @@ least one of them. Short lists are merged by sorted shingle; what they yield is
 by binary search in the sorted set, which stands for all long lists at once, and kept
 when the overlap reaches the share.
 
-Rarity: shingles counted over all documents, of which the HEAVY most frequent form a
-bounded table that is sent to the tasks, come last; the others are ordered by hash. Any
-total order is exact, this one keeps what many documents have out of the short lists.
+Rarity: shingles are counted over all documents, in cells of a hash space of about two
+cells for each shingle, so that a count travels as the gap between sorted cells. Lists
+are ordered by count, then hash. Any total order is exact, and cells that collide only
+cost work; this order keeps what several documents have out of the short lists.
 
 1  Packs of documents (see windows.py) find the links within the pack and send each of
    its groups once for each shingle of a short list.
 2  Buckets of shingles make stars of their lists, by size; the pairs are probed.
-3  Lists whose documents are then still in several components are opened: documents of
-   different components, none of the same, meet and are probed.
+3  Lists whose documents are then still in several components are opened: documents
+   outside the largest one are searched among the documents of the others, in blocks.
+   Only links come out, never candidates.
 
 So no list yields all its pairs, and yet no link between components is missed. The
 smallest id that links reach names a component. Text travels by pack once; probing
-shuffles only documents of candidate pairs.
+shuffles documents of candidate pairs and compressed texts of the middles of stars.
 
 Cases: a null text or one without words has an empty set and no link; a text of fewer
 words than a shingle is one shingle; rows that share an id are one node, with a row
@@ -43,9 +45,8 @@ from .components import components
 from .windows import LAST, PACK, Sums, _bucketed, _sorted_texts, mixed, pack_of, packs, word_units
 
 SHINGLE, SHARE = 4, 85
-#: Shingles in the table of frequent ones, and from which count in a slice of documents a shingle is reported.
-HEAVY, REPORT = 1 << 18, 3
-SLICE = 1 << 22
+#: Cells of the hash space for each document.
+CELLS = 1024
 _U = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
@@ -57,6 +58,8 @@ class Join:
     #: Per cent that an intersection must have of the union.
     share: int = SHARE
     buckets: int = 8
+    #: Cells are the first bits of a hash.
+    bits: int = 28
 
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         """Whether two sorted sets are: the smaller is probed in the larger."""
@@ -94,31 +97,45 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
     return token[new], np.searchsorted(row[new], np.arange(rows + 1))
 
 
-def frequent(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(shingle, n) of shingles that several documents of a slice have."""
+def _cells(token: np.ndarray, join: Join) -> np.ndarray:
+    return token >> _U(64 - join.bits)
 
-    def run(batches):
-        for batch in batches:
-            data, offsets = buffers.utf8(batch.column(0))
-            for i, j in buffers.runs(offsets, SLICE):
-                lo = offsets[i]
-                token, _ = shingle_sets(data[lo : offsets[j]], offsets[i : j + 1] - lo, n)
-                token = np.sort(token)
-                head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.empty(0, np.int64)
-                count = np.diff(np.append(head, len(token)))
-                on = count >= REPORT
-                yield pa.RecordBatch.from_arrays([pa.array(token[head[on]].view(np.int64)), pa.array(count[on])], names=["shingle", "n"])
+
+def _width(join: Join) -> int:
+    """Cells of a bucket."""
+    return -(-(1 << join.bits) // join.buckets)
+
+
+def tell(join: Join) -> Callable[[pa.Table], pa.Table]:
+    """(bucket, pid, cells): the cells of a pack's shingles, sorted, as gaps in planes of bytes, and how often each comes."""
+
+    def run(t: pa.Table) -> pa.Table:
+        _, data, offsets, t = _sorted_texts(t)
+        cell, n = np.unique(_cells(shingle_sets(data, offsets, join.shingle)[0], join), return_counts=True)
+        n = np.minimum(n, 255).astype(np.uint8)
+        b, edges = np.unique(cell // _U(_width(join)), return_index=True)
+        edges = np.append(edges, len(cell))
+        blobs = []
+        for i in range(len(b)):
+            part = slice(edges[i], edges[i + 1])
+            blobs.append(buffers.packed(np.diff(cell[part], prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.copy(), n[part]))
+        pid = t.column("pid")[0].as_py()
+        return pa.table({"bucket": pa.array(b.astype(np.int32)), "pid": pa.array([pid] * len(b), pa.int32()), "cells": pa.array(blobs, pa.binary())})
 
     return run
 
 
-def heavy_table(docs: DataFrame, n: int, limit: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, sorted, and their rank by frequency from 1 on."""
-    counted = docs.select("text").mapInArrow(frequent(n), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "shingle").limit(limit).toPandas()
-    shingle = top["shingle"].to_numpy(np.int64).view(np.uint64)[::-1]
-    order = np.argsort(shingle)
-    return shingle[order], order.astype(np.int64) + 1
+def count(t: pa.Table) -> pa.Table:
+    """(pid, bucket, counts): how many shingles a cell has, in the order that a pack told its cells, 255 for more."""
+    pids, cells, times = t.column("pid"), [], []
+    for blob in t.column("cells").to_pylist():
+        gaps, n = buffers.unpacked(blob, np.uint8, np.uint8)
+        cells.append(np.cumsum(gaps.reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64))
+        times.append(n)
+    _, which = np.unique(np.concatenate(cells), return_inverse=True)
+    n = np.minimum(np.bincount(which, np.concatenate(times)), 255).astype(np.uint8)[which]
+    ends = np.cumsum([len(c) for c in cells])
+    return pa.table({"pid": pids, "bucket": t.column("bucket"), "counts": pa.array([buffers.packed(x) for x in np.split(n, ends[:-1])], pa.binary())})
 
 
 class Groups:
@@ -158,18 +175,13 @@ def _lists(token: np.ndarray, member: np.ndarray) -> Iterator[np.ndarray]:
         yield member[at[i] : at[i] + size[i]]
 
 
-def short_lists(token: np.ndarray, first: np.ndarray, join: Join, heavy: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle, row) of the short lists of each row."""
+def short_lists(token: np.ndarray, first: np.ndarray, counts: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, row) of the short lists of each row, without those that no other row is in."""
     n = np.diff(first)
     row = np.repeat(np.arange(len(n)), n)
-    names, ranks = heavy
-    order = np.arange(len(token))
-    if len(names) and len(token):
-        at = np.minimum(np.searchsorted(names, token), len(names) - 1)
-        rank = np.where(names[at] == token, ranks[at], 0)
-        order = np.argsort(row * (len(names) + 1) + rank, kind="stable")
+    order = np.argsort(row * 256 + counts, kind="stable")
     place = np.arange(len(token)) - np.repeat(first[:-1], n)
-    on = place < np.repeat(join.short(n), n)
+    on = (place < np.repeat(join.short(n), n)) & (counts[order] > 1)
     return token[order][on], row[on]
 
 
@@ -177,18 +189,22 @@ OUT = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("pid", pa.int32(
 ENTRIES, LINKS, SIZES = 0, 1, 2
 
 
-def search_pack(join: Join, heavy: tuple[np.ndarray, np.ndarray]) -> Callable[[pa.Table], pa.Table]:
+def search_pack(join: Join) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """1: entries of short lists by bucket, links within the pack, and the sizes of sets."""
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(t: pa.Table, told: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return OUT.empty_table()
         did, data, offsets, t = _sorted_texts(t)
         pid = t.column("pid")[0].as_py()
         token, first = shingle_sets(data, offsets, join.shingle)
+        parts = [buffers.unpacked(b, np.uint8)[0] for b in told.sort_by("bucket").column("counts").to_pylist()]
+        counts = np.concatenate([np.empty(0, np.uint8), *parts]).astype(np.int64)[np.unique(_cells(token, join), return_inverse=True)[1]]
         n = np.diff(first)
         groups = Groups(len(n))
         for i in np.flatnonzero((did[1:] == did[:-1]) & (did[1:] != LAST)):
             groups.join(int(i), int(i) + 1)
-        key, row = short_lists(token, first, join, heavy)
+        key, row = short_lists(token, first, counts, join)
         key, row = key[did[row] != LAST], row[did[row] != LAST]
         for rows in _lists(key, row):
             tops = np.array([groups.top(int(i)) for i in rows])
@@ -199,7 +215,12 @@ def search_pack(join: Join, heavy: tuple[np.ndarray, np.ndarray]) -> Callable[[p
                     if groups.top(a) != groups.top(b) and join.linked(token[first[a] : first[a + 1]], token[first[b] : first[b + 1]]):
                         groups.join(a, b)
         top = groups.all()
-        # A group of the pack is one entry of a list; its sizes bound those of its members.
+        # A group goes by its member with the smallest share of shingles of its own: of edited copies the least edited.
+        own = np.add.reduceat(np.append(counts == 1, False), np.minimum(first[:-1], len(counts)), dtype=np.int64) * (n > 0)
+        own = 1000 * own // np.maximum(n, 1)
+        order = np.lexsort((np.arange(len(n)), own, n == 0, top))
+        top = order[np.searchsorted(top[order], top)]
+        # It is one entry of a list; its sizes bound those of its members.
         low, high = np.full(len(n), LAST), np.zeros(len(n), np.int64)
         np.minimum.at(low, top, np.where(n > 0, n, LAST))
         np.maximum.at(high, top, n)
@@ -217,7 +238,7 @@ def search_pack(join: Join, heavy: tuple[np.ndarray, np.ndarray]) -> Callable[[p
         blobs = []
         for i in range(len(b)):
             part = slice(edges[i], edges[i + 1])
-            blobs.append(buffers.packed(key[part], did[group[part]], low[group[part]].astype(np.uint32), high[group[part]].astype(np.uint32)))
+            blobs.append(buffers.packed(key[part], did[group[part]], low[group[part]].astype(np.uint32), high[group[part]].astype(np.uint32), own[group[part]].astype(np.uint16)))
         member = np.flatnonzero((n > 0) & (did != LAST))
         links = buffers.packed(did[top[member]], did[member], n[member])
         null = np.array([x is None for x in t.column("doc_id").to_pylist()], np.uint8)
@@ -234,25 +255,25 @@ def search_pack(join: Join, heavy: tuple[np.ndarray, np.ndarray]) -> Callable[[p
 
 
 def stars(join: Join) -> Callable[[pa.Table], pa.Table]:
-    """2: (list, did): distinct lists of two or more groups, and (a, b) pairs that make stars of them."""
+    """2: (list, did): distinct lists of two or more groups, and (a, b) pairs that make stars of them, a the middle."""
 
     def run(t: pa.Table) -> pa.Table:
-        parts = [buffers.unpacked(b, np.uint64, np.int64, np.uint32, np.uint32) for b in t.column("blob").to_pylist()]
-        key, did, low, high = (np.concatenate(x) for x in zip(*parts))
+        parts = [buffers.unpacked(b, np.uint64, np.int64, np.uint32, np.uint32, np.uint16) for b in t.column("blob").to_pylist()]
+        key, did, low, high, own = (np.concatenate(x) for x in zip(*parts))
         names, which = np.unique(did, return_inverse=True)
-        lows, highs = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
-        lows[which], highs[which] = low, high
+        lows, highs, owns = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        lows[which], highs[which], owns[which] = low, high, own
         number, members, a, b = [], [], [], []
         for k, rows in enumerate(_lists(key, which)):
             number.append(np.full(len(rows), k))
             members.append(names[rows])
-            rows = rows[np.argsort(lows[rows], kind="stable")]
+            rows = rows[np.lexsort((names[rows], owns[rows]))]
             while len(rows) > 1:
                 pivot = rows[0]
-                near = 100 * lows[rows] <= 100 * highs[pivot] * 100 // join.share
+                near = (join.share * lows[rows] <= 100 * highs[pivot]) & (join.share * lows[pivot] <= 100 * highs[rows])
                 others = rows[near][1:]
-                a += [np.minimum(names[pivot], names[others])]
-                b += [np.maximum(names[pivot], names[others])]
+                a.append(np.full(len(others), names[pivot]))
+                b.append(names[others])
                 rows = rows[~near]
         none = np.empty(0, np.int64)
         number, members, a, b = (np.concatenate([none, *x]) for x in (number, members, a, b))
@@ -284,48 +305,50 @@ def _unpack_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(did, mask=null.astype(bool)), pa.array(n)], names=["doc_id", "n_shingles"])
 
 
-def lend(join: Join) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Sets of documents, each once for every pack that has partners to probe."""
-    schema = pa.schema([("pid", pa.int32()), ("a", pa.int64()), ("shingles", pa.binary()), ("bs", pa.binary())])
+LENT = pa.schema([("pid", pa.int32()), ("a", pa.int64()), ("text", pa.binary()), ("bs", pa.binary())])
 
-    def run(t: pa.Table, pairs: pa.Table) -> pa.Table:
-        if not t.num_rows or not pairs.num_rows:
-            return schema.empty_table()
-        a = pairs.column("a").to_numpy()
-        did, data, offsets, t = _sorted_texts(t.filter(pa.array(np.isin(t.column("did").to_numpy(), a))))
-        token, first = shingle_sets(data, offsets, join.shingle)
-        to, b = pairs.column("to").to_numpy(), pairs.column("b").to_numpy()
-        order = np.lexsort((b, to, a))
-        a, to, b = a[order], to[order], b[order]
-        head = np.ones(len(a), bool)
-        head[1:] = (a[1:] != a[:-1]) | (to[1:] != to[:-1])
-        edges = np.append(np.flatnonzero(head), len(a))
-        out = []
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            for row in range(*np.searchsorted(did, [a[lo], a[lo] + 1])) if a[lo] < LAST else ():
-                out.append((int(to[lo]), int(a[lo]), token[first[row] : first[row + 1]].tobytes(), b[lo:hi].tobytes()))
-        return pa.table([pa.array(list(x), f.type) for x, f in zip(zip(*out), schema)], schema=schema) if out else schema.empty_table()
 
-    return run
+def lend(t: pa.Table, pairs: pa.Table) -> pa.Table:
+    """Texts of documents a, compressed, each once for every pack that has partners b to probe."""
+    if not t.num_rows or not pairs.num_rows:
+        return LENT.empty_table()
+    a, to, b = (pairs.column(c).to_numpy() for c in ("a", "to", "b"))
+    did, data, offsets, t = _sorted_texts(t.filter(pa.array(np.isin(t.column("did").to_numpy(), a))))
+    order = np.lexsort((b, to, a))
+    a, to, b = a[order], to[order], b[order]
+    head = np.ones(len(a), bool)
+    head[1:] = (a[1:] != a[:-1]) | (to[1:] != to[:-1])
+    edges = np.append(np.flatnonzero(head), len(a))
+    out, text = [], {}
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        for row in range(*np.searchsorted(did, [a[lo], a[lo] + 1])):
+            if row not in text:
+                text[row] = buffers.packed(data[offsets[row] : offsets[row + 1]])
+            out.append((int(to[lo]), int(a[lo]), text[row], b[lo:hi].tobytes()))
+    return pa.table([pa.array(list(x), f.type) for x, f in zip(zip(*out), LENT)], schema=LENT) if out else LENT.empty_table()
 
 
 def probe(join: Join) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Links among the pairs: lent sets probed in the pack's sets."""
+    """Links among the pairs: sets of lent texts are probed in those of the pack."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(t: pa.Table, lent: pa.Table) -> pa.Table:
         if not t.num_rows or not lent.num_rows:
             return schema.empty_table()
-        did, data, offsets, t = _sorted_texts(t)
+        partners = [np.frombuffer(b, np.int64) for b in lent.column("bs").to_pylist()]
+        did, data, offsets, t = _sorted_texts(t.filter(pa.array(np.isin(t.column("did").to_numpy(), np.concatenate(partners)))))
         token, first = shingle_sets(data, offsets, join.shingle)
-        out = []
-        for a, shingles, bs in zip(lent.column("a").to_pylist(), lent.column("shingles").to_pylist(), lent.column("bs").to_pylist()):
-            mine = np.frombuffer(shingles, np.uint64)
-            for b in np.frombuffer(bs, np.int64).tolist():
-                for row in range(*np.searchsorted(did, [b, b + 1])):
-                    if len(mine) and first[row] < first[row + 1] and join.linked(mine, token[first[row] : first[row + 1]]):
-                        out.append((a, b))
-                        break
+        out, a = [], lent.column("a").to_pylist()
+        for lo in range(0, len(a), PACK):
+            texts = [buffers.unpacked(x, np.uint8)[0] for x in lent.column("text")[lo : lo + PACK].to_pylist()]
+            theirs, begin = shingle_sets(np.concatenate(texts), np.concatenate([[0], np.cumsum([len(x) for x in texts])]), join.shingle)
+            for i in range(len(texts)):
+                mine = theirs[begin[i] : begin[i + 1]]
+                for b in partners[lo + i].tolist():
+                    for row in range(*np.searchsorted(did, [b, b + 1])):
+                        if len(mine) and first[row] < first[row + 1] and join.linked(mine, token[first[row] : first[row + 1]]):
+                            out.append((a[lo + i], b))
+                            break
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
     return run
@@ -337,33 +360,83 @@ def probed(docs: DataFrame, pairs: DataFrame, join: Join, n_packs: int) -> DataF
     some = docs.join(broadcast_checked(ids, ids.count()), "doc_id", "left_semi")
     texts = packs(some, n_packs)
     asked = pairs.select(pack_of(F.col("a"), n_packs).alias("pid"), "a", pack_of(F.col("b"), n_packs).alias("to"), "b")
-    lent = texts.groupBy("pid").cogroup(asked.groupBy("pid")).applyInArrow(lend(join), "pid int, a long, shingles binary, bs binary")
+    lent = texts.groupBy("pid").cogroup(asked.groupBy("pid")).applyInArrow(lend, "pid int, a long, text binary, bs binary")
     return texts.groupBy("pid").cogroup(lent.groupBy("pid")).applyInArrow(probe(join), "a long, b long")
 
 
-def _open_pairs(lists: DataFrame, members: DataFrame, comps: DataFrame, join: Join) -> DataFrame:
-    """3: pairs of documents of different components that share a list."""
+#: Documents and queries of a cell of the last search.
+BLOCK = 2000
+
+
+def search_cell(join: Join) -> Callable[[pa.Table], pa.Table]:
+    """3: links of a cell's queries with its documents of other components, by T-occurrence search."""
+
+    def run(t: pa.Table) -> pa.Table:
+        data, offsets = buffers.utf8(t.column("text"))
+        query, comp, doc = (t.column(c).to_numpy() for c in ("query", "comp", "doc"))
+        token, first = shingle_sets(data, offsets, join.shingle)
+        n = np.diff(first)
+        row = np.repeat(np.arange(len(n)), n)
+        order = np.argsort(np.where(query[row] == 0, token, _U(0)), kind="stable")
+        order = order[query[row[order]] == 0]
+        names, begin = np.unique(token[order], return_index=True)
+        end, members = np.append(begin[1:], len(order)), row[order]
+        a, b = [], []
+        for r in np.flatnonzero((query == 1) & (n > 0)).tolist():
+            mine = token[first[r] : first[r + 1]]
+            at = np.minimum(np.searchsorted(names, mine), max(0, len(names) - 1))
+            at = at[names[at] == mine] if len(names) else at[:0]
+            need = -(-join.share * len(mine) // 100)
+            if len(at) < need:
+                continue
+            # The longest lists are set aside: who reaches the rest of the need in the others is probed.
+            aside = need // 16
+            at = at[np.argsort(end[at] - begin[at], kind="stable")][: len(at) - aside]
+            merged = np.concatenate([members[begin[i] : end[i]] for i in at.tolist()])
+            for x in np.flatnonzero(np.bincount(merged, minlength=len(n)) >= need - aside).tolist():
+                if comp[x] != comp[r] and doc[x] != doc[r] and join.linked(mine, token[first[x] : first[x + 1]]):
+                    a.append(doc[r])
+                    b.append(doc[x])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _opened_links(docs: DataFrame, lists: DataFrame, members: DataFrame, comps: DataFrame, join: Join) -> DataFrame:
+    """3: links between documents of different components that share a list.
+
+    Documents of lists with the same largest component are searched together: those outside of it, as queries,
+    against all. Blocks of queries meet blocks of documents, so that a cell is bounded.
+    """
     named = cut(lists.join(comps, F.col("did") == F.col("node"), "left").select("list", "did", F.coalesce("comp", "did").alias("comp")))
     several = named.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("list")
-    opened = named.join(several, "list").join(members.select(F.col("rep").alias("did"), F.col("did").alias("doc"), "n"), "did").select("list", "comp", "doc", "n")
-    opened = cut(opened)
+    opened = cut(named.join(several, "list"))
     sizes = opened.groupBy("list", "comp").agg(F.count(F.lit(1)).alias("docs"))
-    largest = sizes.groupBy("list").agg(F.max(F.struct("docs", F.col("comp").alias("most"))).alias("x")).select("list", F.col("x.most").alias("most"))
-    opened = cut(opened.join(largest, "list"))
-    # Documents outside a list's largest component meet all others, those in it never each other.
-    rest = opened.filter("comp <> most").select("list", F.col("comp").alias("comp2"), F.col("doc").alias("doc2"), F.col("n").alias("n2"))
-    met = opened.join(rest, "list").filter("comp <> comp2 and doc <> doc2")
-    met = met.filter(f"100 * least(n, n2) >= {join.share} * greatest(n, n2)")
-    return met.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
+    largest = cut(sizes.groupBy("list").agg(F.max(F.struct("docs", F.col("comp").alias("most"))).alias("x")).select("list", F.col("x.most").alias("most")))
+    groups = cut(opened.join(largest, "list").select("most", "comp", "did").distinct())
+    each = cut(groups.join(members.select(F.col("rep").alias("did"), F.col("did").alias("doc")), "did").select("most", "comp", "doc").distinct())
+    blocks = each.groupBy("most").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("nd"), F.ceil(F.count_if(F.col("comp") != F.col("most")) / BLOCK).alias("nq"))
+    placed = cut(each.join(cut(blocks), "most"))
+    part, every = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    documents = placed.select("most", "comp", "doc", part("nd").alias("db"), every("nq").alias("qb"), F.lit(0).alias("query"))
+    queries = placed.filter("comp <> most").select("most", "comp", "doc", every("nd").alias("db"), part("nq").alias("qb"), F.lit(1).alias("query"))
+    ids = cut(each.select("doc").distinct())
+    some = docs.join(broadcast_checked(ids, ids.count()), F.col("doc_id") == F.col("doc"), "left_semi")
+    rows = documents.union(queries).join(some, F.col("doc") == F.col("doc_id")).select("most", "db", "qb", "query", "comp", "doc", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.groupBy("most", "db", "qb").applyInArrow(search_cell(join), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE) -> DataFrame:
     """For each row: doc_id, n_shingles, component_id."""
     docs = docs.select("doc_id", "text")
     n_packs = max(1, -(-docs.count() // PACK))
-    join = Join(shingle, share, n_packs // 4 + 8)
-    heavy = heavy_table(docs, shingle)
-    found = cut(packs(docs, n_packs).groupBy("pid").applyInArrow(search_pack(join, heavy), "kind int, bucket int, pid int, blob binary"))
+    bits = min(48, max(20, (n_packs * PACK * CELLS - 1).bit_length()))
+    join = Join(shingle, share, n_packs // 4 + 8, bits)
+    texts = packs(docs, n_packs)
+    told = texts.groupBy("pid").applyInArrow(tell(join), "bucket int, pid int, cells binary")
+    counted = told.groupBy("bucket").applyInArrow(count, "pid int, bucket int, counts binary")
+    found = texts.groupBy("pid").cogroup(counted.groupBy("pid")).applyInArrow(search_pack(join), "kind int, bucket int, pid int, blob binary")
+    found = cut(found)
     members = cut(found.filter(f"kind = {LINKS}").select("blob").mapInArrow(_unpack_links, "a long, b long, n long")).toDF("rep", "did", "n")
     starred = cut(found.filter(f"kind = {ENTRIES}").select("bucket", "blob").groupBy("bucket").applyInArrow(stars(join), "list long, a long, b long"))
     lists = starred.filter("list is not null").select("list", F.col("a").alias("did"))
@@ -371,9 +444,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE)
     within = members.filter("rep <> did").select(F.col("rep").alias("a"), F.col("did").alias("b"))
     links = cut(within.union(probed(docs, pairs, join, n_packs)))
     comps = components(links)
-    more = cut(_open_pairs(lists, members, comps, join).join(pairs, ["a", "b"], "left_anti"))
+    more = cut(_opened_links(docs, lists, members, comps, join).distinct())
     if not more.isEmpty():
-        comps = components(links.union(probed(docs, more, join, n_packs)))
+        comps = components(links.union(more))
     sizes = found.filter(f"kind = {SIZES}").select("blob").mapInArrow(_unpack_sizes, "doc_id long, n_shingles long")
     return sizes.join(comps, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 
