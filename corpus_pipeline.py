@@ -42,10 +42,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found, _ = decontamination.phrases(docs, table(spark, sf_dir, "benchmark"))
-    found = cut(found.select("did", "tv"))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *decontamination.id_key(docs))
-    return keyed.join(broadcast_checked(found, found.count()), ["did", "tv"], "left_anti").select("__row.*")
+    found, _ = decontamination.matches(docs, table(spark, sf_dir, "benchmark"))
+    return found.filter(F.size("__found") == 0).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

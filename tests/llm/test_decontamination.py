@@ -36,5 +36,5 @@ def test_cases(spark):
 
 def test_proximity(spark):
     docs = brute.documents(spark, ["zeta one alpha two beta", "zeta " + "x " * 50 + "alpha beta", "beta zeta alpha", "alpha beta"])
-    rows = d.proximity(docs, bench(spark, [(4, "alpha beta zeta")]), within=6).collect()
+    rows = d.proximity(docs, bench(spark, [(4, "alpha beta zeta")]), within=6, lists=3).collect()
     assert sorted((r.doc_id, r.item, r.start) for r in rows) == [(0, "4", 0), (2, "4", 0)]

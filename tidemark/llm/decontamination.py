@@ -27,10 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_checked, cut, hash60, lower_ascii, table
 
-WINDOW, LISTS = 10, 3
-#: What parts words once A-Z are lower case, and the same with A-Z as letters.
+WINDOW, LISTS = 10, 2
+#: What parts words once A-Z are lower case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -83,41 +82,36 @@ def places(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     return met.filter(F.col("lists") == F.col("need")).select("did", "tv", "wid", "n", "start")
 
 
-def phrases(docs: DataFrame, items: DataFrame, window: int = WINDOW, lists: int = LISTS) -> tuple[DataFrame, DataFrame]:
-    """Exact matches: (did, tv, found), found an array of (start, n, wid) by start; and the windows."""
-    docs = docs.select("doc_id", "text")
+def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, lists: int = LISTS) -> tuple[DataFrame, DataFrame]:
+    """docs with __did and __tv, which tell rows apart, __n_words and __found, the places (start, n, wid) of windows by start; and the windows."""
+    texts = docs.select("doc_id", "text")
     wins = cut(windows(items, window))
-    anchors = rarest(docs, wins, lists)
-    maybe = places(docs, anchors).groupBy("did", "tv").agg(F.array_sort(F.collect_list(F.struct("start", "n", "wid"))).alias("maybe"))
-    maybe = cut(maybe)
-    there = docs.select(*id_key(docs), "text").join(broadcast_checked(maybe, maybe.count()), ["did", "tv"])
-    there = there.select("did", "tv", "maybe", words(F.col("text")).alias("w"))
-    same = F.expr("filter(maybe, c -> cast(conv(substring(md5(array_join(slice(w, c.start + 1, c.n), ' ')), 1, 15), 16, 10) as bigint) = c.wid)")
-    return there.select("did", "tv", same.alias("found")).filter(F.size("found") > 0).dropDuplicates(["did", "tv"]), wins
+    anchors = rarest(texts, wins, lists)
+    maybe = places(texts, anchors).groupBy("did", "tv").agg(F.array_sort(F.collect_list(F.struct("start", "n", "wid"))).alias("__maybe"))
+    maybe = cut(maybe.withColumnsRenamed({"did": "__did", "tv": "__tv"}))
+    did, tv = id_key(docs)
+    keyed = docs.withColumns({"__did": did, "__tv": tv}).join(broadcast_checked(maybe, maybe.count()), ["__did", "__tv"], "left")
+    keyed = keyed.withColumn("__w", words(F.col("text")))
+    none = "cast(array() as array<struct<start:int,n:int,wid:bigint>>)"
+    same = f"coalesce(filter(__maybe, c -> cast(conv(substring(md5(array_join(slice(__w, c.start + 1, c.n), ' ')), 1, 15), 16, 10) as bigint) = c.wid), {none})"
+    return keyed.select(*[F.col(f"`{c}`") for c in docs.columns], "__did", "__tv", F.size("__w").cast("long").alias("__n_words"), F.expr(same).alias("__found")), wins
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, lists: int = LISTS) -> DataFrame:
     """For each document: words, hit words, items found and their digest."""
-    found, wins = phrases(docs, items, window, lists)
-    found = cut(found)
+    found, wins = matches(docs.select("doc_id", "text"), items, window, lists)
     covered = F.expr(
-        """aggregate(found, struct(0 as upto, 0L as n), (a, c) -> struct(
+        """aggregate(__found, struct(0 as upto, 0L as n), (a, c) -> struct(
              greatest(a.upto, c.start + c.n) as upto, a.n + greatest(0, c.start + c.n - greatest(a.upto, c.start)) as n), a -> a.n)"""
     )
-    hits = found.select("did", "tv", covered.alias("n_hit"))
-    wids = found.select("did", "tv", F.explode(F.array_distinct(F.transform("found", lambda c: c["wid"]))).alias("wid"))
+    wids = F.array_distinct(F.transform("__found", lambda c: c["wid"]))
+    rows = cut(found.select("doc_id", "__did", "__tv", F.col("__n_words").alias("n_words"), covered.alias("n_hit"), wids.alias("wids")))
     of = wins.select("wid", "item").distinct()
-    named = wids.join(broadcast_checked(of, wins.count()), "wid").groupBy("did", "tv").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    every = docs.select("doc_id", *id_key(docs), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_CASE)).cast("long").alias("n_words"))
-    out = every.join(hits.join(named, ["did", "tv"]), ["did", "tv"], "left")
+    each = rows.filter("n_hit > 0").select("__did", "__tv", F.explode("wids").alias("wid"))
+    named = each.join(broadcast_checked(of, wins.count()), "wid").groupBy("__did", "__tv").agg(F.array_sort(F.collect_set("item")).alias("items"))
     items_ = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select(
-        "doc_id",
-        "n_words",
-        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.size(items_).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"),
-        F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
+    return rows.join(named, ["__did", "__tv"], "left").select(
+        "doc_id", "n_words", "n_hit", F.size(items_).cast("long").alias("n_items"), F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
 
 
