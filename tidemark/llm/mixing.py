@@ -110,7 +110,8 @@ def slots(sources: DataFrame, mix: Mix) -> DataFrame:
     """The mix: a row for each slot with its output shard and position, source, pass, block and words taken."""
     b, run = mix.block_words, mix.run
     runs = sources.filter("slots > 0").withColumn("first", F.expr(f"explode(sequence(0, (slots - 1) div {run}))"))
-    runs = runs.repartition("snull", "src", "first")
+    # A stated number of partitions: the few rows of runs are small, what they unfold to is not.
+    runs = runs.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "snull", "src", "first")
     j = runs.withColumn("j", F.expr(f"explode(sequence(first * {run}, least(slots, (first + 1) * {run}) - 1))"))
     seed = "concat('source:', snull, ':', src)"
     j = j.withColumn("pass", F.expr("j div blocks")).withColumn("i", F.expr("j % blocks"))
@@ -130,7 +131,7 @@ def _pieces(docs: DataFrame, mix: Mix, keep: list[str]) -> tuple[DataFrame, Data
     prefix = Window.partitionBy("snull", "src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
     starts = chunks.withColumn("chunk_start", F.sum("words").over(prefix) - F.col("words")).drop("words")
     starts = starts.join(sources.select("snull", "src", F.col("n").alias("source_size"), "target", "passes"), ["snull", "src"])
-    placed = _keyed(docs, mix, keep).join(starts, key).withColumn("start", F.expr("chunk_start + before"))
+    placed = _keyed(docs, mix, keep).join(starts.hint("merge"), key).withColumn("start", F.expr("chunk_start + before"))
     cutup = placed.withColumn("block", F.expr(f"explode_outer(if(size > 0, sequence(start div {b}, (start + size - 1) div {b}), cast(null as array<bigint>)))"))
     cutup = cutup.withColumn("lo", F.expr(f"greatest(start, block * {b}) - block * {b}")).withColumn("len", F.expr(f"least(start + size, (block + 1) * {b}) - greatest(start, block * {b})"))
     taken = slots(sources, mix).groupBy("snull", "src", "block").agg(
@@ -139,15 +140,16 @@ def _pieces(docs: DataFrame, mix: Mix, keep: list[str]) -> tuple[DataFrame, Data
         F.min("shard").alias("first_shard"),
         F.max(F.when(F.col("pass") == F.col("passes"), F.col("words")).otherwise(0)).alias("rest_words"),
     )
-    return sources, cutup.join(taken, ["snull", "src", "block"], "left")
+    # Estimates of unfolded rows are far too low: without the hint, what grows with the corpus would be broadcast.
+    return sources, cutup.join(taken.hint("merge"), ["snull", "src", "block"], "left")
 
 
 def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """For each document: its size, its source's size and target, and the words that the mix takes from it."""
+    """For each document: its size, its source's size and target, the words that the mix takes from it, and the first shard that has some, or -1."""
     _, p = _pieces(docs.select("doc_id", "text", "source"), mix, [])
     words = F.expr("whole * len + greatest(0, least(cut, lo + len) - lo)")
     out = p.groupBy("snull", "src", "chunk", "rn", "doc_id", "size", "source_size", "target").agg(
-        F.coalesce(F.sum(words), F.lit(0)).alias("taken"), F.min("first_shard").alias("first_shard")
+        F.coalesce(F.sum(words), F.lit(0)).alias("taken"), F.coalesce(F.min("first_shard"), F.lit(-1)).alias("first_shard")
     )
     return out.select("doc_id", "size", "source_size", "target", "taken", "first_shard")
 
@@ -165,7 +167,7 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     part = F.expr("struct(cast(lo + block * {b} - start as int) as at, cast(greatest(0, least(coalesce(rest_words, 0), lo + len) - lo) as int) as n)".format(b=mix.block_words))
     p = p.filter("size > 0").withColumn("part", part)
     parts = p.groupBy("snull", "src", "chunk", "rn", "passes", "size").agg(F.array_sort(F.collect_list(F.when(F.col("part.n") > 0, F.col("part")))).alias("parts"))
-    joined = _keyed(row, mix, ["__row"]).drop("size", "before").join(parts, ["snull", "src", "chunk", "rn"])
+    joined = _keyed(row, mix, ["__row"]).drop("size", "before").join(parts.hint("merge"), ["snull", "src", "chunk", "rn"])
     rest = F.expr("aggregate(parts, 0, (t, x) -> t + x.n)")
     some = F.expr(
         "case when rest = size then __row.text else array_join(flatten(transform(parts, x -> slice(words, x.at + 1, x.n))), ' ') end"
@@ -233,6 +235,6 @@ t as (
   select p.snull, p.src, p.rn, sum(t.whole * p.len + greatest(0, least(t.cut, p.lo + p.len) - p.lo)) as taken, min(t.first_shard) filter (p.len > 0) as first_shard
   from piece p left join t on t.snull = p.snull and t.src = p.src and t.block = p.block group by all
 )
-select p.doc_id, p.size, s.n as source_size, s.target, cast(coalesce(g.taken, 0) as bigint) as taken, cast(g.first_shard as bigint) as first_shard
+select p.doc_id, p.size, s.n as source_size, s.target, cast(coalesce(g.taken, 0) as bigint) as taken, cast(coalesce(g.first_shard, -1) as bigint) as first_shard
 from p join s4 s on s.snull = p.snull and s.src = p.src join got g on g.snull = p.snull and g.src = p.src and g.rn = p.rn
 """
