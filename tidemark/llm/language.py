@@ -34,7 +34,7 @@ SWITCH = 20.0
 SCRIPT_SHARE = 0.005
 GRAMS = 1 << 16
 #: Bytes handled at once: scoring, and Viterbi.
-SLICE, BATCH = 1 << 20, 1 << 23
+SLICE, BATCH = 1 << 18, 1 << 21
 
 #: Script classes by first byte of a character: Latin, Greek, Cyrillic, ... Fixed values.
 SCRIPTS = np.zeros(256, np.uint8)
@@ -279,10 +279,13 @@ def keeper(model: Model | None):
                 yield batch
                 continue
             text, lang = batch.schema.get_field_index("text"), batch.schema.get_field_index("lang")
-            pred, _ = predict(model, batch.column(text))
-            pred = pa.array(pred, pa.string())
-            batch = batch.set_column(lang, batch.schema.field(lang), pc.coalesce(batch.column(lang), pred.cast(batch.schema.field(lang).type)))
-            yield batch.filter(pc.not_equal(pred, "und"))
+            # Rows go out in parts, so that a batch is not held twice.
+            for i, j in buffers.runs(buffers.utf8(batch.column(text))[1], BATCH):
+                part = batch.slice(i, j - i)
+                pred = pa.array(predict(model, part.column(text))[0], pa.string())
+                part = part.set_column(lang, batch.schema.field(lang), pc.coalesce(part.column(lang), pred.cast(batch.schema.field(lang).type)))
+                yield part.filter(pc.not_equal(pred, "und"))
+            pa.default_memory_pool().release_unused()
 
     return run
 
