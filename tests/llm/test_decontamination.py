@@ -1,6 +1,7 @@
 import random
 
 import brute
+import corpus_pipeline
 from tidemark.llm import decontamination as d
 
 
@@ -38,3 +39,17 @@ def test_proximity(spark):
     docs = brute.documents(spark, ["zeta one alpha two beta", "zeta " + "x " * 50 + "alpha beta", "beta zeta alpha", "alpha beta"])
     rows = d.proximity(docs, bench(spark, [(4, "alpha beta zeta")]), within=6, lists=3).collect()
     assert sorted((r.doc_id, r.item, r.start) for r in rows) == [(0, "4", 0), (2, "4", 0)]
+
+
+def test_repeated_rows_keep_their_results(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = brute.documents(spark, [text, text, text, text, text, "other"], ids=[1, 1, 1, None, None, 2])
+    rows = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.contaminated) for r in d.contamination(docs, bench(spark, [(1, text)])).collect())
+    assert rows == [("1", 10, 10, 1, True)] * 3 + [("2", 1, 0, 0, False)] + [("None", 10, 10, 1, True)] * 2
+
+
+def test_pipeline_drops_repeated_contaminated_rows(spark, tmp_path):
+    text = "one two three four five six seven eight nine ten"
+    bench(spark, [(1, text)]).write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = brute.documents(spark, [text, text, "other"], ids=[None, None, 2])
+    assert [r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()] == [2]

@@ -78,7 +78,8 @@ def places(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     terms = anchors.select("term").distinct()
     lists = postings(docs, terms, rows).join(broadcast_checked(anchors, rows), "term")
     shifted = lists.withColumn("start", F.col("pos") - F.col("off")).filter((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("n_words")))
-    met = shifted.groupBy("did", "tv", "wid", "n", "need", "start").agg(F.count(F.lit(1)).alias("lists"))
+    # Repeated rows share did and tv and put each list in once a copy, so lists are counted by their offset.
+    met = shifted.groupBy("did", "tv", "wid", "n", "need", "start").agg(F.count_distinct("off").alias("lists"))
     return met.filter(F.col("lists") == F.col("need")).select("did", "tv", "wid", "n", "start")
 
 
