@@ -35,5 +35,14 @@ def test_method_adds_spans(spark):
     assert got[1] == "national_phone:29:41"
 
 
+def test_account_numbers_hide_no_others(spark):
+    de, gb, hr, mt = "DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "HR1210010051863000160", "MT84MALT011000012345MTLCAST001S"
+    texts = [f"{de} {gb}", f"AB12 {gb} {de}", f"AT12 {de}", f"{de[:-1]}1 {gb}", f"{hr} {mt}", f"é{gb}{de}X", "HR1210010051863000161"]
+    want = [[de, gb], [gb, de], [de], [gb], [hr, mt], [gb, de], []]
+    for r in pii.op9(spark, brute.documents(spark, texts)).collect():
+        spans = [x.split(":") for x in r.spans.split(",") if x.startswith("iban")]
+        assert [texts[r.doc_id][int(s) : int(e)] for _, s, e in spans] == want[r.doc_id] and r.n_iban == len(want[r.doc_id])
+
+
 def test_empty_table(spark):
     assert pii.op9(spark, brute.documents(spark, [])).collect() == []

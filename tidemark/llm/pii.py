@@ -3,7 +3,9 @@
 Per kind, proposals are the leftmost non-overlapping matches of an expression. Cards
 need the Luhn sum and account numbers (kind iban) the mod-97 remainder and their
 country's length. A span starts with its kind's score; a context word shortly before it
-raises the score. Kinds that no checksum confirms and that many clean texts contain
+raises the score. Account numbers are tried at every place and end where their country's
+length ends, so neither a failed proposal nor another number hides one; each that is
+confirmed is reported. Kinds that no checksum confirms and that many clean texts contain
 (national phone numbers) are reported only when context raises them over the threshold.
 
 All work is per row: nothing is shuffled. Spans count code points, ends are exclusive.
@@ -27,17 +29,28 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?:(?<![0-9])|\G)[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"[A-Z][A-Z][0-9][0-9](?:\x20?[A-Z0-9]){11,30}",
+    # Only the first letter is taken, so that the next place is tried too.
+    "iban": r"[A-Z](?=[A-Z][0-9][0-9](?:\x20?[A-Z0-9]){11})",
     "national_phone": r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}",
 }
 #: A character that every match of the kind has; texts without it are not searched.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 
-#: Lengths of account numbers by country. Fixed values.
+#: Lengths of account numbers by country: those that the SQL knows too, and all others. Fixed values.
 IBAN_LENGTHS = {
     "AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HU": 28,
     "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24,
 }
+MORE_IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AZ": 28, "BA": 20, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CR": 22, "CY": 28,
+    "DJ": 27, "DO": 28, "EE": 20, "EG": 29, "FK": 18, "FO": 18, "GE": 22, "GI": 23, "GL": 18, "GT": 28, "HN": 28, "HR": 21,
+    "IL": 23, "IQ": 23, "IS": 26, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LV": 21, "LY": 25,
+    "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "OM": 23, "PK": 24, "PS": 29,
+    "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25,
+    "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+#: Characters that the longest number can take with a space between any two.
+IBAN_SPAN = 2 * max([*IBAN_LENGTHS.values(), *MORE_IBAN_LENGTHS.values()])
 
 #: Scores before context, context words (looked for in lower case) and what one adds. Fixed values.
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "national_phone": 0.3}
@@ -77,8 +90,9 @@ def _confirm(kind: str, a: str) -> str:
     if kind == "phone":
         return f"filter({a}, x -> length({digits}) between 10 and 15)"
     if kind == "iban":
-        lengths = "map(" + ", ".join(f"'{k}', {v}" for k, v in IBAN_LENGTHS.items()) + ")"
-        whole = f"regexp_extract(x.m, concat('^(?:[A-Z0-9] ?){{', try_element_at({lengths}, substring(x.m, 1, 2)) - 1, '}}[A-Z0-9]'), 0)"
+        lengths = "map(" + ", ".join(f"'{k}', {v}" for k, v in (IBAN_LENGTHS | MORE_IBAN_LENGTHS).items()) + ")"
+        there = f"substring(t, x.s + 1, {IBAN_SPAN})"
+        whole = f"regexp_extract({there}, concat('^(?:[A-Z0-9] ?){{', try_element_at({lengths}, substring({there}, 1, 2)) - 1, '}}[A-Z0-9]'), 0)"
         cut = f"filter(transform({a}, x -> struct(x.s as s, x.s + length(coalesce({whole}, '')) as e, coalesce({whole}, '') as m)), x -> x.e > x.s)"
         turned = "concat(substring(replace(x.m, ' ', ''), 5), substring(x.m, 1, 4))"
         rest = f"aggregate(split({turned}, ''), 0, (r, c) -> if(c between '0' and '9', (r * 10 + cast(c as int)) % 97, if(c between 'A' and 'Z', (r * 100 + ascii(c) - 55) % 97, r)))"
