@@ -53,3 +53,9 @@ def test_pipeline_drops_repeated_contaminated_rows(spark, tmp_path):
     bench(spark, [(1, text)]).write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = brute.documents(spark, [text, text, "other"], ids=[None, None, 2])
     assert [r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()] == [2]
+
+
+def test_proximity_by_default_needs_three_terms(spark):
+    docs = brute.documents(spark, ["zeta one alpha two beta", "zeta " + "x " * 50 + "alpha beta", "beta zeta alpha", "alpha beta", "beta zeta", "alpha zeta"])
+    rows = d.proximity(docs, bench(spark, [(4, "alpha beta zeta")]), within=6).collect()
+    assert sorted((r.doc_id, r.item, r.start) for r in rows) == [(0, "4", 0), (2, "4", 0)]

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import broadcast_checked, cut, hash60, lower_ascii, table
 
 WINDOW, LISTS = 10, 2
+#: Lists of a window for proximity(), which compares no words after them.
+NEAR_LISTS = 3
 #: What parts words once A-Z are lower case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -116,7 +118,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, lists
     )
 
 
-def proximity(docs: DataFrame, items: DataFrame, within: int, window: int = WINDOW, lists: int = LISTS) -> DataFrame:
+def proximity(docs: DataFrame, items: DataFrame, within: int, window: int = WINDOW, lists: int = NEAR_LISTS) -> DataFrame:
     """Rows (doc_id, item, start): the rarest terms of a window lie within a number of words, in any order."""
     docs = docs.select("doc_id", "text")
     wins = cut(windows(items, window))
