@@ -3,6 +3,7 @@ import zlib
 
 import brute
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from tidemark.llm import bitslice, language, quality
 
@@ -109,3 +110,22 @@ def test_top_k_equals_brute_force(spark):
 def test_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [2.0]), (2, [3.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in bitslice.op3(spark, df).orderBy("rank").collect()] == [(0, 1, 1, 8192), (0, 2, 2, 8192)]
+
+
+def test_large_components_are_exact(spark):
+    rows = [(0, [0.03125, 1.0, 0.0]), (1, [2e16, -3.0, 0.0]), (2, [2e16, 1.0, -5e25]), (3, [6e6, 7e6, 3e30]), (4, [5e6, 7e6, 0.0]), (5, [4.2e6, -2e7, 1.0]), (20, [-0.03125, 7e7, 0.0])]
+    vecs = {i: [int(np.floor(64.0 * float(np.float32(x)))) for x in v] for i, v in rows}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = set()
+    for q in (0, 20):
+        best = sorted((-sum(x * y for x, y in zip(vecs[q], vecs[c])), c) for c in vecs if c != q)
+        want |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(best)}
+    assert max(abs(w[3]) for w in want) < 2**63
+    assert {tuple(r) for r in bitslice.op3(spark, df).collect()} == want
+    assert {tuple(r) for r in bitslice.top_k(df, F.col("vec_id") % 20 == 0, block_rows=2, block_queries=1).collect()} == want
+
+
+def test_a_score_beyond_a_long_is_an_error(spark):
+    df = spark.createDataFrame([(0, [1e12]), (1, [1e12])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="does not fit a long"):
+        bitslice.op3(spark, df).collect()

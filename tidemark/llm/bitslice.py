@@ -13,8 +13,8 @@ of the index in cells of a bounded size, and the k best of each cell meet by que
 
 Cases: vectors that are null or hold null or non-finite components, and rows without an
 id, take no part; of rows that share an id the smallest vector counts; a shorter vector
-counts as padded with zeros; quantised components are clipped to +-2**28 so that scores
-are longs; an empty table gives an empty result; other columns are not read.
+counts as padded with zeros; components and sums are exact whatever their size, and a score
+that no long can hold is an error; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LIMIT = 2**28
 BLOCK_ROWS, BLOCK_QUERIES = 65536, 512
 
 
@@ -88,7 +87,7 @@ def select(total: list[np.ndarray], race: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([first, rows(race)[: k - len(first)]])
 
 
-def search(slices: np.ndarray, first: np.ndarray, low: np.ndarray, n: int, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+def search(slices: np.ndarray, first: np.ndarray, low: list[int], n: int, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and scores of the k best of a block; own: the query's row in it, or -1. slices: followed by their complements."""
     half, levels, constant = len(slices) // 2, [], 0
     for d, q in enumerate(query[: len(low)]):
@@ -114,21 +113,26 @@ def search(slices: np.ndarray, first: np.ndarray, low: np.ndarray, n: int, query
     for level, s in enumerate(total):
         for i in np.flatnonzero(s[got >> 6] >> (got & 63).astype(np.uint64) & np.uint64(1)):
             scores[i] += 1 << level
+    if any(not -(2**63) <= x < 2**63 for x in scores):
+        raise OverflowError("a score of op3 does not fit a long")
     return got, np.array(scores, np.int64)
 
 
 def _matrix(arrays: pd.Series) -> np.ndarray:
-    out = np.zeros((len(arrays), max(map(len, arrays), default=0)), np.int64)
+    """Rows of whole numbers: longs, or Python's integers where the range of a block could leave a long."""
+    out = np.zeros((len(arrays), max(map(len, arrays), default=0)))
     for i, a in enumerate(arrays):
         out[i, : len(a)] = a
-    return out
+    if np.abs(out).max(initial=0.0) < 2.0**61:
+        return out.astype(np.int64)
+    return np.array([[int(x) for x in row] for row in out.tolist()], object)
 
 
 def _build_block(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("vec_id", kind="stable")
     slices, first, low = build(_matrix(rows["q"]))
     ids = rows["vec_id"].to_numpy(np.int64)
-    return pd.DataFrame({"rb": [rows["rb"].iloc[0]], "ids": [ids.tobytes()], "slices": [slices.tobytes()], "first": [first.tobytes()], "low": [low.tobytes()]})
+    return pd.DataFrame({"rb": [rows["rb"].iloc[0]], "ids": [ids.tobytes()], "slices": [slices.tobytes()], "first": [first.tobytes()], "low": [" ".join(map(str, low.tolist())).encode()]})
 
 
 def _searcher(k: int):
@@ -136,7 +140,8 @@ def _searcher(k: int):
         out = [(np.empty(0, np.int64),) * 3]
         if len(index) and len(queries):
             x = index.iloc[0]
-            ids, first, low = (np.frombuffer(x[c], np.int64) for c in ("ids", "first", "low"))
+            ids, first = (np.frombuffer(x[c], np.int64) for c in ("ids", "first"))
+            low = [int(v) for v in x["low"].split()]
             slices = np.frombuffer(x["slices"], np.uint64).reshape(int(first[-1]), -(-len(ids) // 64))
             slices = np.concatenate([slices, ~slices])
             for query_id, q in zip(queries["vec_id"], queries["q"]):
@@ -153,7 +158,9 @@ def quantised(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
     """Rows (vec_id, q) of the vectors that take part."""
     x = vectors.select("vec_id", "embedding").filter("vec_id is not null and embedding is not null")
     x = x.filter("forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
-    q = F.expr(f"transform(embedding, x -> cast(greatest({-LIMIT}D, least({LIMIT}D, floor({scale}D * cast(x as double)))) as bigint))")
+    # Whole numbers as doubles, which hold any component exactly; from 2**53 on every double is whole.
+    y = f"({scale}D * cast(x as double))"
+    q = F.expr(f"transform(embedding, x -> if(abs({y}) < {2**53}D, cast(floor({y}) as double), {y}))")
     return x.select("vec_id", q.alias("q")).groupBy("vec_id").agg(F.min("q").alias("q"))
 
 
