@@ -39,6 +39,21 @@ def test_spans_of_mixed_text(spark):
     assert abs(rows[1]["at"] - len(a) - 1) < 20
 
 
+def test_scripts_after_general_punctuation(spark):
+    rng = random.Random(7)
+    word = lambda lo, hi: "".join(chr(rng.randrange(lo, hi)) for _ in range(rng.randrange(2, 7)))
+    ranges = {"ber": (0x2D30, 0x2D68), "cop": (0x2C80, 0x2CE4), "glag": (0x2C00, 0x2C5F)}
+    text = {k: lambda k=k: " ".join(word(*ranges[k]) for _ in range(20)) for k in ranges} | {"en": lambda: say(rng, "en", 20) + " — … “x” ⼀"}
+    langs = [k for k in text for _ in range(30)] + ["en"] * 60
+    docs = brute.documents(spark, [text[k]() for k in langs], langs=langs)
+    rows = {r.doc_id: r for r in language.op8(spark, docs).collect()}
+    assert all(rows[i].lang_pred == k and rows[i].score > 0.9 for i, k in enumerate(langs))
+    signs = "— ⁂ ⯿ ⸺ ⼀ ⵰ ⳾ ⳥"
+    assert not language.letters(np.frombuffer(signs.encode(), np.uint8)).any()
+    of = lambda t: language.word_scripts(np.frombuffer(t.encode(), np.uint8), np.array([0]), None)[0]
+    assert [of(t) for t in ("ⱡa", "ⰰ", "ⲁ", "ⴀ", "ⴰ", "ⶀ", "вⷠ")] == [1, 15, 16, 9, 17, 9, 3]
+
+
 def test_viterbi_is_best():
     rng = np.random.default_rng(1)
     for _ in range(60):

@@ -19,6 +19,7 @@ empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,21 +44,35 @@ SCRIPTS[0xCD:0xD0], SCRIPTS[0xD0:0xD4], SCRIPTS[0xD4:0xD6] = 2, 3, 4
 SCRIPTS[0xD6:0xD8], SCRIPTS[0xD8:0xDC], SCRIPTS[0xDC:0xE0] = 5, 6, 7
 SCRIPTS[0xE0], SCRIPTS[0xE1], SCRIPTS[0xE3] = 8, 9, 10
 SCRIPTS[0xE4:0xEA], SCRIPTS[0xEA:0xEE], SCRIPTS[0xEE:0xF0], SCRIPTS[0xF0:] = 11, 12, 13, 14
-N_SCRIPTS = 15
+N_SCRIPTS = 18
 LETTER = (SCRIPTS > 0) | ((np.arange(256) >= 0x80) & (np.arange(256) < 0xC0))
+LETTER[0xE2] = True
+#: Script classes of U+2000 to U+2FFF: the letters from U+2C00 to U+2DFF (Glagolitic, Latin, Coptic, Georgian, Tifinagh, Ethiopic, Cyrillic), 0 for signs.
+SCRIPTS_E2 = np.zeros(0x1000, np.uint8)
+SCRIPTS_E2[0xC00:0xC60], SCRIPTS_E2[0xC60:0xC80], SCRIPTS_E2[0xC80:0xD00], SCRIPTS_E2[0xD00:0xD30] = 15, 1, 16, 9
+SCRIPTS_E2[0xD30:0xD80], SCRIPTS_E2[0xD80:0xDE0], SCRIPTS_E2[0xDE0:0xE00] = 17, 9, 3
+SCRIPTS_E2[[k for k in range(0xC00, 0xE00) if unicodedata.category(chr(0x2000 + k))[0] in "PSN"]] = 0
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+def _scripts_e2(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Script classes of the characters at the places of 0xE2."""
+    second, third = (data[np.minimum(at + k, len(data) - 1)].astype(np.int64) & 0x3F for k in (1, 2))
+    return SCRIPTS_E2[second << 6 | third]
+
+
 def letters(data: np.ndarray) -> np.ndarray:
     """Bytes in lower case (A-Z and the Latin letters of two bytes from U+00C0 on), zero where no letter is."""
     out = np.where(LETTER[data], LOWER[data], np.uint8(0))
     if len(data) and (data >= 0x80).any():
         big = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[:-1] == 0xC3)) + 1
         out[big] += 32
-        # Signs, not letters: U+0080 to U+00BF, U+2000 to U+2FFF, emoji.
+        # Signs, not letters: U+0080 to U+00BF, U+2000 to U+2FFF but for the scripts from U+2C00 to U+2DFF, emoji.
         for lead, length in ((0xC2, 2), (0xE2, 3)):
             at = np.flatnonzero(data == lead)
+            if lead == 0xE2:
+                at = at[_scripts_e2(data, at) == 0]
             for k in range(length):
                 out[np.minimum(at + k, len(data) - 1)] = 0
         at = np.flatnonzero((data[:-1] == 0xF0) & (data[1:] == 0x9F))
@@ -96,7 +111,11 @@ def grams(x: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def word_scripts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return np.maximum.reduceat(SCRIPTS[data], start) if len(start) else np.empty(0, np.uint8)
+    if not len(start):
+        return np.empty(0, np.uint8)
+    of, at = SCRIPTS[data], np.flatnonzero(data == 0xE2)
+    of[at] = _scripts_e2(data, at)
+    return np.maximum.reduceat(of, start)
 
 
 def counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
