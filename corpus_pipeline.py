@@ -25,19 +25,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; of rows that share an id one."""
-    found = cut(jaccard.near_duplicates(docs, SHINGLE, SHARE))
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(broadcast_checked(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
-    twice = cut(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    if twice.isEmpty():
-        return kept
-    n = twice.count()
+    """Of each group of near duplicates the row with the smallest id stays. Rows that share an id are told apart by
+    their text, so that each counts with its own; of rows that share both one stays."""
     names = [F.col(f"`{c}`") for c in docs.columns]
-    rest = kept.join(broadcast_checked(twice, n), "doc_id", "left_anti").select(names)
-    one = kept.join(broadcast_checked(twice, n), "doc_id", "left_semi").select(F.col("doc_id").alias("__id"), F.struct(*names).alias("__row"))
-    one = one.groupBy("__id").agg(F.min("__row").alias("__row")).select("__row.*")
-    return rest.union(one.select(names))
+    twice = cut(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    n = twice.count()
+    keyed = docs.withColumn("__node", F.col("doc_id"))
+    if n:
+        many = broadcast_checked(twice.withColumn("__many", F.lit(True)), n)
+        keyed = docs.join(many, "doc_id", "left").withColumn("__node", F.expr("if(__many, xxhash64(doc_id, text), doc_id)"))
+    found = cut(jaccard.near_duplicates(keyed.select(F.col("__node").alias("doc_id"), "text"), SHINGLE, SHARE)).withColumnRenamed("doc_id", "__node")
+    if not n:
+        gone = found.filter("component_id <> __node").select("__node").distinct()
+        return keyed.join(broadcast_checked(gone, gone.count()), "__node", "left_anti").select(names)
+    ids = keyed.filter("__node is not null").select("__node", "doc_id").distinct()
+    linked = cut(found.filter("__node is not null").select("__node", "component_id").distinct().join(ids, "__node"))
+    best = linked.groupBy("component_id").agg(F.min(F.struct("doc_id", "__node")).alias("best"), F.count(F.lit(1)).alias("size"))
+    best = cut(best.filter("size > 1").select("component_id", F.col("best.__node").alias("stays")))
+    gone = cut(linked.join(broadcast_checked(best, best.count()), "component_id").filter("__node <> stays").select("__node"))
+    kept = keyed.join(broadcast_checked(gone, gone.count()), "__node", "left_anti")
+    one = kept.filter("__many").select("__node", F.struct(*names).alias("__row")).groupBy("__node").agg(F.min("__row").alias("__row")).select("__row.*")
+    return kept.filter("__many is null").select(names).union(one.select(names))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,3 +52,10 @@ def test_empty_and_repeated(spark):
     assert sorted(str(r.doc_id) for r in rows) == ["1", "None"]
     assert p.drop_near_duplicates(spark, docs.limit(0), "").collect() == []
     assert p.identify_language(spark, docs.limit(0), "").collect() == []
+
+
+def test_shared_ids_keep_each_text(spark):
+    a, b = "alpha beta gamma delta epsilon zeta", "one two three four five six seven"
+    docs = brute.documents(spark, [a, a, b, b, b, "clean words of their own kind", None], ids=[7, 3, 7, 9, 7, 9, None])
+    rows = p.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), r.text) for r in rows) == [("3", a), ("7", b), ("9", "clean words of their own kind"), ("None", None)]
