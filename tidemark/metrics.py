@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import threading
+import time
 from dataclasses import dataclass, field
 from enum import Enum
 
@@ -113,3 +114,54 @@ class Reporter:
         with open(self.path, "a") as f:
             f.write(json.dumps(line) + "\n")
         return line
+
+
+class ConsumerReporter:
+    """One JSON line for each interval of a consumer: totals, rates and exact quantiles of latencies in milliseconds."""
+
+    def __init__(self, path: str, clock=time.time):
+        self.path, self.clock = path, clock
+        self.started = self.last_report = clock()
+        self.events = self.payload_bytes = self.acknowledgements = self.redeliveries = self.last_sequence = 0
+        self.missing_commit_timestamps = self.clock_skew = self.interval_events = self.interval_bytes = 0
+        self.end_to_end: list[float] = []
+        self.acknowledged: list[float] = []
+
+    def event(self, sequence: int, payload_bytes: int, commit_timestamp_ms: int | None) -> None:
+        """A delivered event; one that is not after the last one is a redelivery and counts as nothing else."""
+        if sequence <= self.last_sequence:
+            self.redeliveries += 1
+            return
+        self.events, self.interval_events, self.last_sequence = self.events + 1, self.interval_events + 1, sequence
+        self.payload_bytes, self.interval_bytes = self.payload_bytes + payload_bytes, self.interval_bytes + payload_bytes
+        if commit_timestamp_ms is None:
+            self.missing_commit_timestamps += 1
+            return
+        latency = int(self.clock() * 1000) - commit_timestamp_ms
+        if latency < 0:
+            self.clock_skew += 1
+        else:
+            self.end_to_end.append(float(latency))
+
+    def acknowledgement(self, seconds: float) -> None:
+        self.acknowledgements += 1
+        self.acknowledged.append(seconds * 1000)
+
+    def report(self, final: bool = False) -> dict:
+        def latency(ms: list[float]) -> dict:
+            return {"samples": len(ms), **{n: float(np.quantile(ms, q)) if ms else 0.0 for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99), ("max", 1.0))}}
+
+        now = self.clock()
+        interval = max(now - self.last_report, 1e-6)
+        line = {
+            "timestamp_ms": int(now * 1000), "elapsed_seconds": now - self.started, "interval_seconds": interval, "final": final,
+            "events_per_second": self.interval_events / interval, "payload_bytes_per_second": self.interval_bytes / interval, "events_total": self.events,
+            "payload_bytes_total": self.payload_bytes, "acknowledgements_total": self.acknowledgements, "redeliveries_total": self.redeliveries,
+            "last_sequence": self.last_sequence, "missing_commit_timestamps_total": self.missing_commit_timestamps, "clock_skew_samples_total": self.clock_skew,
+            "end_to_end_latency_ms": latency(self.end_to_end), "acknowledgement_latency_ms": latency(self.acknowledged),
+        }
+        with open(self.path, "a") as f:
+            f.write(json.dumps(line) + "\n")
+        self.interval_events = self.interval_bytes = 0
+        self.end_to_end, self.acknowledged, self.last_report = [], [], now
+        return line
