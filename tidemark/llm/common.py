@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words of the documents for the operators that split on ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,11 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is named (local tests)."""
+    """The shared folder that the cluster names. Where none is named, a temporary one in local mode and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
         if named is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             named = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
         own = spark.sparkContext.getCheckpointDir()
@@ -44,10 +47,27 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(mapped)  # ASCII texts have a fast path
 
 
-#: Rows of a stated, small table (benchmark items, a slot table) up to which it is broadcast.
-BROADCAST_ROWS = 200_000
+#: What a table may have in rows and in bytes of its values to be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
-def broadcast_checked(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint only where the measured row count is within the limit; beyond it Spark shuffles."""
-    return F.broadcast(df) if rows <= limit else df
+def _width(field: T.StructField) -> Column:
+    """About how many bytes a value takes: texts and arrays by their length, all else as a long."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(field.dataType, T.ArrayType):
+        return F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)) + 16
+    return F.lit(8)
+
+
+def broadcast_checked(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A broadcast hint only where the rows and bytes of a (written) table, both measured, are within the limits; beyond them Spark shuffles.
+
+    rows: their number, where it is known.
+    """
+    if rows is not None and rows > BROADCAST_ROWS:
+        return df
+    widths = [_width(f) for f in df.schema.fields]
+    got = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(sum(widths[1:], widths[0]).cast("long")), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if got["rows"] <= BROADCAST_ROWS and got["bytes"] <= BROADCAST_BYTES else df
