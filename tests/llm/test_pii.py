@@ -32,7 +32,7 @@ def test_method_adds_spans(spark):
     got = [r.spans for r in pii.op9(spark, brute.documents(spark, TEXTS[-2:])).orderBy("doc_id").collect()]
     ibans = [x.split(":") for x in got[0].split(",") if x.startswith("iban")]
     assert [TEXTS[-2][int(s) : int(e)] for _, s, e in ibans] == ["DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19"]
-    assert got[1] == "national_phone:29:41"
+    assert got[1] == "national_phone:29:41"  # "phone" speaks for the number after it, not for the lonely one
 
 
 def test_account_numbers_hide_no_others(spark):
@@ -44,5 +44,28 @@ def test_account_numbers_hide_no_others(spark):
         assert [texts[r.doc_id][int(s) : int(e)] for _, s, e in spans] == want[r.doc_id] and r.n_iban == len(want[r.doc_id])
 
 
+def test_sql_agrees(spark):
+    import duckdb
+    import pandas as pd
+
+    de, gb, hr = "DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "HR1210010051863000160"
+    texts = [t for t in TEXTS if t is None or "\0" not in t] + [f"{de} {gb}", f"AB12 {gb} iban {de}", f"é{gb}{de}X konto {hr}", f"tel 555-123-4567, 555-123-4567 {hr}"]
+    documents = pd.DataFrame({"doc_id": [0, *range(len(texts) - 1)], "text": texts})  # noqa: F841 (read by duckdb)
+    want = duckdb.sql(pii.oracle()).df()
+    docs = brute.documents(spark, texts, ids=documents["doc_id"].tolist())
+    got = pii.op9(spark, docs).toPandas()[list(want.columns)]
+    rows = lambda df: sorted(map(str, df.itertuples(index=False, name=None)))
+    assert rows(got) == rows(want) and got["n_iban"].sum() == 10
+
+
+def test_very_long_text(spark):
+    """Its cost is about its length, however many matches it has."""
+    text = "mail é a@b.cc 4111111111111111; 10.0.0.1, +49 30 1234 5678; DE89370400440532013000 " * 12_000
+    r = pii.op9(spark, brute.documents(spark, [text])).first()
+    assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.n_iban) == (12_000,) * 5
+    at = len(text) // 12_000 * 11_999 + text.index("a@b")
+    assert f"email:{at}:{at + 6}," in r.spans
+
+
 def test_empty_table(spark):
     assert pii.op9(spark, brute.documents(spark, [])).collect() == []

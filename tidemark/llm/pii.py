@@ -3,15 +3,21 @@
 Per kind, proposals are the leftmost non-overlapping matches of an expression. Cards
 need the Luhn sum and account numbers (kind iban) the mod-97 remainder and their
 country's length. A span starts with its kind's score; a context word shortly before it
-raises the score. Account numbers are tried at every place and end where their country's
-length ends, so neither a failed proposal nor another number hides one; each that is
-confirmed is reported. Kinds that no checksum confirms and that many clean texts contain
-(national phone numbers) are reported only when context raises them over the threshold.
+raises the score. Context is the text since the last proposal of the same kind, at most
+CONTEXT_CHARS of it, so that a word speaks for the number right after it and for no other.
+Account numbers are tried at every place and end where their country's length ends, so
+neither a failed proposal nor another number hides one; each that is confirmed is
+reported. Kinds that no checksum confirms and that many clean texts contain (national
+phone numbers) are reported only when context raises them over the threshold.
 
 All work is per row: nothing is shuffled. Spans count code points, ends are exclusive.
+Places come from the lengths of matches and of the pieces between them, summed in
+log2(matches) passes, and context and numbers are cut from pieces and matches, so that a
+text of any length costs about its length, however many matches it has.
 
-Cases: a null text counts as empty and has no spans; repeated rows give repeated
-results; an empty table gives an empty result; other columns are not read.
+Cases: a null text counts as empty and has no spans; very long texts are searched whole;
+repeated rows give repeated results; an empty table gives an empty result; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -29,14 +35,14 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?:(?<![0-9])|\G)[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    # Only the first letter is taken, so that the next place is tried too.
-    "iban": r"[A-Z](?=[A-Z][0-9][0-9](?:\x20?[A-Z0-9]){11})",
+    # Only the first letter is taken, so that the next place is tried too; the group has what follows.
+    "iban": r"(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}))[A-Z]",
     "national_phone": r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}",
 }
 #: A character that every match of the kind has; texts without it are not searched.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 
-#: Lengths of account numbers by country: those that the SQL knows too, and all others. Fixed values.
+#: Lengths of account numbers by country. Fixed values.
 IBAN_LENGTHS = {
     "AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HU": 28,
     "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24,
@@ -49,9 +55,6 @@ MORE_IBAN_LENGTHS = {
     "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25,
     "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
 }
-#: Characters that the longest number can take with a space between any two.
-IBAN_SPAN = 2 * max([*IBAN_LENGTHS.values(), *MORE_IBAN_LENGTHS.values()])
-
 #: Scores before context, context words (looked for in lower case) and what one adds. Fixed values.
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "national_phone": 0.3}
 CONTEXT = {
@@ -65,17 +68,21 @@ CONTEXT = {
 CONTEXT_ADDS, CONTEXT_CHARS, THRESHOLD = 0.2, 40, 0.5
 
 
-def _proposals(text: str, pattern: str) -> str:
-    """SQL: matches as structs (s, e, m), from the pieces between them."""
-    p = pattern.replace("\\", "\\\\")
-    hits, parts = f"regexp_extract_all({text}, '{p}', 0)", f"split({text}, '{p}', -1)"
-    none = "cast(array() as array<struct<s:int,e:int,m:string>>)"
-    return f"""aggregate(
-      arrays_zip({hits} as h, {parts} as p), struct(0 as at, {none} as a),
-      (acc, x) -> if(x.h is null, acc, struct(
-        acc.at + length(x.p) + length(x.h) as at,
-        concat(acc.a, array(struct(acc.at + length(x.p) as s, acc.at + length(x.p) + length(x.h) as e, x.h as m))) as a)),
-      acc -> acc.a)""".replace("arrays_zip(" + hits + " as h, " + parts + " as p)", f"zip_with({hits}, {parts}, (h, p) -> struct(h as h, p as p))")
+def _sums(a: str) -> str:
+    """SQL: running sums of an array of numbers, each pass adding what lies twice as far back."""
+    return f"""aggregate(sequence(0, greatest(0, cast(ceil(log2(size({a}) + 1)) as int))), {a},
+      (b, r) -> transform(b, (x, i) -> x + if(i >= shiftleft(1, r), b[i - shiftleft(1, r)], 0)))"""
+
+
+def _proposals(kind: str) -> str:
+    """SQL: matches as structs (s, e, m, near): places, the match (of account numbers what the group has), the context before."""
+    p = PATTERNS[kind].replace("\\", "\\\\")
+    hits, parts = f"regexp_extract_all(t, '{p}', {1 if kind == 'iban' else 0})", f"split(t, '{p}', -1)"
+    length = (lambda m: "1") if kind == "iban" else (lambda m: f"length({m})")
+    # One struct for each match (the last piece has none), and the sums of all lengths up to its end.
+    pairs = f"filter(zip_with({parts}, {hits}, (p, h) -> struct(length(p) + {length('h')} as n, h as m, right(p, {CONTEXT_CHARS}) as near)), x -> x.m is not null)"
+    placed = f"zip_with(a, {_sums('transform(a, x -> x.n)')}, (x, e) -> struct(e - {length('x.m')} as s, e as e, x.m as m, x.near as near))"
+    return f"(transform(array({pairs}), a -> {placed}))[0]"
 
 
 def _confirm(kind: str, a: str) -> str:
@@ -91,9 +98,8 @@ def _confirm(kind: str, a: str) -> str:
         return f"filter({a}, x -> length({digits}) between 10 and 15)"
     if kind == "iban":
         lengths = "map(" + ", ".join(f"'{k}', {v}" for k, v in (IBAN_LENGTHS | MORE_IBAN_LENGTHS).items()) + ")"
-        there = f"substring(t, x.s + 1, {IBAN_SPAN})"
-        whole = f"regexp_extract({there}, concat('^(?:[A-Z0-9] ?){{', try_element_at({lengths}, substring({there}, 1, 2)) - 1, '}}[A-Z0-9]'), 0)"
-        cut = f"filter(transform({a}, x -> struct(x.s as s, x.s + length(coalesce({whole}, '')) as e, coalesce({whole}, '') as m)), x -> x.e > x.s)"
+        whole = f"regexp_extract(x.m, concat('^(?:[A-Z0-9] ?){{', try_element_at({lengths}, substring(x.m, 1, 2)) - 1, '}}[A-Z0-9]'), 0)"
+        cut = f"filter(transform({a}, x -> struct(x.s as s, x.s + length(coalesce({whole}, '')) as e, coalesce({whole}, '') as m, x.near as near)), x -> x.e > x.s)"
         turned = "concat(substring(replace(x.m, ' ', ''), 5), substring(x.m, 1, 4))"
         rest = f"aggregate(split({turned}, ''), 0, (r, c) -> if(c between '0' and '9', (r * 10 + cast(c as int)) % 97, if(c between 'A' and 'Z', (r * 100 + ascii(c) - 55) % 97, r)))"
         return f"filter({cut}, x -> {rest} = 1)"
@@ -101,10 +107,9 @@ def _confirm(kind: str, a: str) -> str:
 
 
 def _scored(kind: str, a: str) -> str:
-    """SQL: structs (s, k, e, kind, score) of those over the threshold."""
+    """SQL: structs (s, k, e, kind, score) of those over the threshold, from structs (s, e, m, near)."""
     k = (*BASE_KINDS, *MORE_KINDS).index(kind)
-    near = f"lower(substring(t, greatest(1, x.s + 1 - {CONTEXT_CHARS}), x.s - greatest(0, x.s - {CONTEXT_CHARS})))"
-    word = f"rlike({near}, '(?<![a-z])(?:{'|'.join(CONTEXT[kind])})(?![a-z])')"
+    word = f"rlike(lower(x.near), '(?<![a-z])(?:{'|'.join(CONTEXT[kind])})(?![a-z])')"
     score = f"cast({SCORES[kind]} as double) + if({word}, cast({CONTEXT_ADDS} as double), 0)"
     out = f"transform({a}, x -> struct(x.s as s, {k} as k, x.e as e, '{kind}' as kind, least(1.0D, {score}) as score))"
     return out if kind in BASE_KINDS else f"filter({out}, y -> y.score >= {THRESHOLD})"
@@ -117,7 +122,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     found = []
     for kind in (*BASE_KINDS, *MORE_KINDS):
         test = f"contains(t, '{NEEDS[kind]}')" if kind in NEEDS else "has_digit"
-        spans = _scored(kind, _confirm(kind, _proposals("t", PATTERNS[kind])))
+        spans = _scored(kind, _confirm(kind, _proposals(kind)))
         found.append(f"case when {test} then {spans} else {none} end")
     docs = docs.withColumn("has_digit", F.expr("rlike(t, '[0-9]')"))
     return docs.select("doc_id", F.expr(f"array_sort(concat({', '.join(found)}))").alias("spans"))
@@ -150,36 +155,42 @@ _PLAIN = {
 def oracle() -> str:
     """Matches with their places from the pieces between them, then each kind's rule."""
     found = " union all ".join(
-        f"select doc_id, t, {k} as k, '{kind}' as kind, unnest(regexp_extract_all(t, '{p}')) as m, unnest(list_transform(string_split_regex(t, '{p}')[:-2], lambda x: length(x))) as gap, generate_subscripts(regexp_extract_all(t, '{p}'), 1) as i from d"
+        f"select doc_id, {k} as k, '{kind}' as kind, unnest(regexp_extract_all(t, '{p}')) as m, unnest(string_split_regex(t, '{p}')[:-2]) as gap, generate_subscripts(regexp_extract_all(t, '{p}'), 1) as i from d"
         for k, (kind, p) in enumerate(_PLAIN.items())
+        if kind != "iban"
     )
-    lengths = "map {" + ", ".join(f"'{c}': {n}" for c, n in IBAN_LENGTHS.items()) + "}"
+    lengths = "map {" + ", ".join(f"'{c}': {n}" for c, n in (IBAN_LENGTHS | MORE_IBAN_LENGTHS).items()) + "}"
+    at_iban = list(_PLAIN).index("iban")
     near = " ".join(f"when '{kind}' then regexp_matches(near, '(^|[^a-z])(?:{'|'.join(CONTEXT[kind])})([^a-z]|$)')" for kind in _PLAIN)
     base = " ".join(f"when '{kind}' then {SCORES[kind]}" for kind in _PLAIN)
     counts = ", ".join(f"cast(count(*) filter (kind = '{kind}') as bigint) as n_{kind}" for kind in _PLAIN)
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
     return rf"""
-with d as (select doc_id, coalesce(text, '') as t from documents),
-found as ({found}),
-placed as (
-  select *, cast(sum(gap + length(m)) over (partition by doc_id, kind order by i rows unbounded preceding) as bigint) - length(m) as s, {digits} as digits, replace(m, ' ', '') as bare from found
-), cut as (
-  select *, case when kind = 'iban' then length(regexp_extract(m, '^(?:[A-Z0-9] ?){{' || (len_ - 1) || '}}[A-Z0-9]')) else length(m) end as n
-  from (select *, coalesce({lengths}[substr(bare, 1, 2)], 99) as len_ from placed) where kind <> 'iban' or length(bare) >= len_
+with d as (select row_number() over () as row, doc_id, coalesce(text, '') as t from documents),
+found as ({found.replace("select doc_id,", "select row,")}),
+places as (
+  select row, {at_iban} as k, 'iban' as kind, i, regexp_extract(substr(t, i, 2 * 34), '^{_PLAIN["iban"]}') as m, t
+  from (select *, unnest(range(1, length(t) + 1)) as i from d where regexp_matches(t, '{_PLAIN["iban"]}')) where regexp_matches(substr(t, i, 2 * 34), '^{_PLAIN["iban"]}')
+), placed as (
+  select row, k, kind, m, lower(right(gap, {CONTEXT_CHARS})) as near, cast(sum(length(gap) + length(m)) over (partition by row, kind order by i rows unbounded preceding) as bigint) - length(m) as s, length(m) as n from found
+  union all
+  select row, k, kind, regexp_extract(m, '^(?:[A-Z0-9] ?){{' || (coalesce({lengths}[m[:2]], 99) - 1) || '}}[A-Z0-9]') as m, near, s, length(regexp_extract(m, '^(?:[A-Z0-9] ?){{' || (coalesce({lengths}[m[:2]], 99) - 1) || '}}[A-Z0-9]')) as n
+  from (select *, i - 1 as s, lower(right(substr(t, 1 + coalesce(lag(i) over (partition by row order by i), 0), i - 1 - coalesce(lag(i) over (partition by row order by i), 0)), {CONTEXT_CHARS})) as near from places)
+), cut as (select *, {digits} as digits, replace(m, ' ', '') as bare from placed where n > 0
 ), ok as (
-  select *, lower(substr(t, greatest(1, s + 1 - {CONTEXT_CHARS}), s - greatest(0, s - {CONTEXT_CHARS}))) as near from cut where case kind
+  select * from cut where case kind
     when 'ip' then len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 or cast('0' || substr(ltrim(p, '0'), 1, 3) as int) > 255)) = 0
     when 'card' then length(digits) between 14 and 19 and list_sum(list_transform(range(length(digits)), lambda j:
       case when j % 2 = 0 then cast(digits[length(digits) - j] as int) else cast(digits[length(digits) - j] as int) * 2 - case when cast(digits[length(digits) - j] as int) > 4 then 9 else 0 end end)) % 10 = 0
     when 'phone' then length(digits) between 10 and 15
-    when 'iban' then list_reduce(list_prepend(0, list_transform(string_split(substr(substr(bare, 1, len_), 5) || substr(bare, 1, 4), ''), lambda c: case when c between '0' and '9' then cast(c as int) else ascii(c) - 55 end)), lambda r, x: case when x < 10 then (r * 10 + x) % 97 else (r * 100 + x) % 97 end) = 1
+    when 'iban' then list_reduce(list_prepend(0, list_transform(string_split(substr(bare, 5) || substr(bare, 1, 4), ''), lambda c: case when c between '0' and '9' then cast(c as int) else ascii(c) - 55 end)), lambda r, x: case when x < 10 then (r * 10 + x) % 97 else (r * 100 + x) % 97 end) = 1
     else true end
 ), scored as (
   select *, case kind {base} end + case when case kind {near} end then {CONTEXT_ADDS} else 0 end as score from ok
-), kept as (select doc_id, k, kind, kind || ':' || cast(s as bigint) || ':' || cast(s + n as bigint) as span, s from scored where k < {len(BASE_KINDS)} or score >= {THRESHOLD}),
+), kept as (select row, k, kind, kind || ':' || cast(s as bigint) || ':' || cast(s + n as bigint) as span, s from scored where k < {len(BASE_KINDS)} or score >= {THRESHOLD}),
 per as (
-  select doc_id, {counts}, string_agg(span, ',' order by s, k) filter (k < {len(BASE_KINDS)}) as base, string_agg(span, ',' order by s, k) as spans from kept group by doc_id
+  select row, {counts}, string_agg(span, ',' order by s, k) filter (k < {len(BASE_KINDS)}) as base, string_agg(span, ',' order by s, k) as spans from kept group by row
 )
 select d.doc_id, {", ".join(f"coalesce(n_{kind}, 0) as n_{kind}" for kind in _PLAIN)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
-from d left join per on per.doc_id = d.doc_id
+from d left join per on per.row = d.row
 """
