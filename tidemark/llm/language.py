@@ -10,10 +10,15 @@ text's language is that of most of its words, its score their share.
 Training counts trigrams of at most SAMPLE texts of each language, chosen by a hash of
 the id, on the executors; the table sent to tasks is bounded by languages x 65536.
 
+Trigrams are scored SLICE bytes at a time, also within a text: slices end between words,
+and the sums of a word longer than a slice are added up. What stays for a whole text is
+one byte for each of its bytes and a row of scores for each of its words.
+
 Cases: a text that is null or has no letter is `und` with score 0; a text whose words
 have only scripts of no learned language gets the most frequent language with score 0;
 rows without a language train nothing; a null id is held in (no remainder); without any
-training row every text with letters is `und`; repeated rows give repeated results; an
+training row every text is `und`; ties go to the language that sorts first; any number
+of languages; very long texts are scored whole; repeated rows give repeated results; an
 empty table gives an empty result; other columns are not read.
 """
 
@@ -96,18 +101,25 @@ def word_bounds(x: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start, np.flatnonzero(last) + 1
 
 
-def grams(x: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of words, numbers of the trigrams around their letters, and starts of words among those."""
-    start, end = word_bounds(x, offsets)
-    if not len(start):
-        return start, np.empty(0, np.int64), start
-    before, after = np.zeros(len(x), np.uint32), np.zeros(len(x), np.uint32)
-    before[1:], after[:-1] = x[:-1], x[1:]
-    before[start], after[end - 1] = 0, 0
-    code = (before << np.uint32(16)) | (x.astype(np.uint32) << np.uint32(8)) | after
-    code = (code * np.uint32(2654435761)) >> np.uint32(16)
-    on = np.flatnonzero(x)
-    return start, code[on], np.concatenate([[0], np.cumsum(end - start)[:-1]])
+def codes(x: np.ndarray, start: np.ndarray, end: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Numbers of the trigrams around the letters of x[lo:hi]; start and end: the words that reach into it."""
+    before, after = np.zeros(hi - lo, np.uint32), np.zeros(hi - lo, np.uint32)
+    before[lo == 0 :], after[: hi - lo - (hi == len(x))] = x[max(0, lo - 1) : hi - 1], x[lo + 1 : hi + 1]
+    before[start[start >= lo] - lo], after[end[end <= hi] - 1 - lo] = 0, 0
+    code = (before << np.uint32(16)) | (x[lo:hi].astype(np.uint32) << np.uint32(8)) | after
+    return ((code * np.uint32(2654435761)) >> np.uint32(16))[x[lo:hi] != 0]
+
+
+def slices(start: np.ndarray, end: np.ndarray, most: int) -> Iterator[tuple[int, int, int, int]]:
+    """(lo, hi, first word, end of words): ranges of bytes of about `most`, which only cut words that are longer themselves."""
+    w, n = 0, len(start)
+    while w < n:
+        lo = int(start[w])
+        until = max(w + 1, int(np.searchsorted(end, lo + most, "right")))
+        hi = int(end[until - 1])
+        for a in range(lo, hi, most) if until == w + 1 else [lo]:
+            yield a, min(hi, a + most) if until == w + 1 else hi, w, until
+        w = until
 
 
 def word_scripts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -125,10 +137,11 @@ def counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = buffers.utf8(batch.column(0))
         for row, lang in enumerate(batch.column(1).to_pylist()):
             raw = data[offsets[row] : offsets[row + 1]]
-            x, ends = letters(raw), np.array([0, len(raw)])
-            start, code, _ = grams(x, ends)
+            x = letters(raw)
+            start, end = word_bounds(x, np.array([0, len(raw)]))
             got = totals.setdefault(lang, np.zeros(GRAMS + N_SCRIPTS, np.int64))
-            got[:GRAMS] += np.bincount(code, minlength=GRAMS)
+            for lo, hi, a, b in slices(start, end, SLICE):
+                got[:GRAMS] += np.bincount(codes(x, start[a:b], end[a:b], lo, hi), minlength=GRAMS)
             if len(start):
                 got[GRAMS:] += np.bincount(word_scripts(np.where(x > 0, raw, 0), start, start), minlength=N_SCRIPTS)
     for lang, got in totals.items():
@@ -149,17 +162,28 @@ class Model:
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each word: where it begins, its scores by language, and whether any language has its script."""
         x = letters(data)
-        start, code, at = grams(x, offsets)
+        start, end = word_bounds(x, offsets)
+        out = np.zeros((len(start), len(self.langs)), np.float32)
         if not len(start):
-            return start, np.empty((0, len(self.langs)), np.float32), np.empty(0, bool)
-        out = np.stack([np.add.reduceat(log[code], at) for log in self.logs], axis=1)
+            return start, out, np.empty(0, bool)
+        for lo, hi, a, b in slices(start, end, SLICE):
+            code = codes(x, start[a:b], end[a:b], lo, hi)
+            size = np.minimum(end[a:b], hi) - np.maximum(start[a:b], lo)
+            at = np.concatenate([[0], np.cumsum(size)[:-1]])
+            for k, log in enumerate(self.logs):
+                out[a:b, k] += np.add.reduceat(log[code], at)
         can = self.has[:, word_scripts(np.where(x > 0, data, 0), start, start)].T
         known = can.any(axis=1)
-        out = np.where(can, out, np.float32(-1e4))
+        np.copyto(out, np.float32(-1e4), where=~can)
         out[~known] = 0
         return start, out, known
 
 
+def label_type(n: int) -> np.dtype:
+    """What holds the numbers of n languages."""
+    return np.min_scalar_type(max(0, n - 1))
+
+
 def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
     """The best language of each word; first: the first word of each text, and the end. All texts advance together."""
     n = np.diff(first)
@@ -167,9 +191,9 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
     begin, n = first[:-1][order], n[order]
     steps = int(n[0]) if len(n) else 0
     live = np.searchsorted(-n, -np.arange(1, steps + 1), "right") if steps else []
-    best_before = np.zeros(len(scores), np.uint8)
+    best_before = np.zeros(len(scores), label_type(scores.shape[1]))
     stays = np.ones(scores.shape, bool)
-    ends = np.zeros(len(n), np.uint8)
+    ends = np.zeros(len(n), label_type(scores.shape[1]))
     now = None
     for t in range(steps):
         k = live[t]
@@ -187,7 +211,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
         low = live[t + 1] if t + 1 < steps else 0
         if low < k:
             ends[low:k] = now[low:].argmax(axis=1)
-    out = np.zeros(len(scores), np.uint8)
+    out = np.zeros(len(scores), label_type(scores.shape[1]))
     if steps:
         state = ends.copy()
         for t in range(steps - 1, -1, -1):
@@ -224,7 +248,7 @@ def label_words(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndar
         rise = upto - lower - low
         if len(on):
             gain[on] = np.maximum(gain[on], np.maximum.reduceat(rise, first[on]))
-    out = best.astype(np.uint8)[text_of]
+    out = best.astype(label_type(scores.shape[1]))[text_of]
     if scores.shape[1] > 1 and len(on):
         gain[on] = np.where(np.add.reduceat(most, first[on], dtype=np.float64) > 0, np.inf, gain[on])
     mixed = np.flatnonzero(gain > switch)
@@ -265,7 +289,7 @@ def predict(model: Model | None, column) -> tuple[list[str], np.ndarray]:
             continue
         _, label, known, first = _labels(model, data, offsets)
         text_of = np.repeat(np.arange(j - i), np.diff(first))
-        n = np.bincount(text_of[known] * len(model.langs) + label[known], minlength=(j - i) * len(model.langs)).reshape(j - i, -1)
+        n = np.bincount(text_of[known] * len(model.langs) + label[known].astype(np.int64), minlength=(j - i) * len(model.langs)).reshape(j - i, -1)
         best, total = n.argmax(axis=1), n.sum(axis=1)
         ascii_ = np.concatenate([[0], np.cumsum((SCRIPTS[data] == 1) & (data < 0x80), dtype=np.int32)])[offsets]
         names = np.where(total > 0, np.array(model.langs, object)[best], model.langs[model.frequent])
