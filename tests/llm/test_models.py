@@ -70,6 +70,81 @@ def test_viterbi_is_best():
                 assert abs(got - best.max()) < 1e-3
 
 
+def plain_language(train, texts, switch=language.SWITCH):
+    """Word by word and trigram by trigram, from the operator's description, for texts of a-z and spaces."""
+    langs = sorted({k for _, k in train})
+    number = lambda a, b, c: (((ord(a) if a else 0) << 16 | ord(b) << 8 | (ord(c) if c else 0)) * 2654435761 % 2**32) >> 16
+    grams = lambda w: [number(w[i - 1] if i else "", w[i], w[i + 1] if i + 1 < len(w) else "") for i in range(len(w))]
+    counts = np.zeros((len(langs), language.GRAMS))
+    for t, k in train:
+        for w in t.split():
+            for g in grams(w):
+                counts[langs.index(k), g] += 1
+    logs = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * language.GRAMS))
+    out = []
+    for t in texts:
+        path, best = [], np.zeros(len(langs))
+        for i, w in enumerate(t.split()):
+            stay = best >= best.max() - switch if i else np.ones(len(langs), bool)
+            path.append(np.where(stay, np.arange(len(langs)), best.argmax()))
+            best = np.maximum(best, best.max() - switch) * (i > 0) + sum(logs[:, g] for g in grams(w))
+        if not path:
+            out.append(("und", 0.0))
+            continue
+        at, labels = int(best.argmax()), []
+        for back in reversed(path):
+            labels.append(at)
+            at = int(back[at])
+        n = np.bincount(labels, minlength=len(langs))
+        out.append((langs[int(n.argmax())], n.max() / n.sum()))
+    return out
+
+
+def ascii_rows(rng, langs, n, most=40):
+    kinds = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(langs)]
+    say = lambda k, m: " ".join("".join(rng.choice([k, k[::-1], k[:2]]) for _ in range(rng.randrange(1, 4))) for _ in range(m))
+    picked = [i % langs if i < langs else rng.randrange(langs) for i in range(n)]
+    return [say(kinds[k], rng.randrange(1, most)) for k in picked], [f"l{k:03d}" for k in picked], lambda k, m: say(kinds[k], m)
+
+
+def test_language_equals_plain_code(spark):
+    rng = random.Random(12)
+    texts, langs, say = ascii_rows(rng, 5, 160)
+    texts += [say(rng.randrange(5), 30) + " " + say(rng.randrange(5), 30) for _ in range(30)] + ["", "1 2 3"]
+    langs += [None] * 32
+    docs = brute.documents(spark, texts, langs=langs, ids=[*range(150), *range(10), *range(160, 192)])
+    rows = docs.collect()
+    train = [(r.text, r.lang) for r in rows if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    want = plain_language(train, [r.text.replace("1 2 3", "") for r in rows])
+    got = sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in language.op8(spark, docs).collect())
+    assert got == sorted((r.doc_id, k, round(x, 9)) for r, (k, x) in zip(rows, want))
+
+
+def test_three_hundred_languages(spark):
+    texts, langs, _ = ascii_rows(random.Random(4), 300, 2400)
+    docs = brute.documents(spark, texts, langs=langs)
+    model = language.train(docs, F.lit(True))
+    assert len(model.langs) == 300
+    got = [r.lang_pred for r in language.identify(docs, model, F.lit(False)).orderBy("doc_id").collect()]
+    want = [k for k, _ in plain_language(list(zip(texts, langs)), texts[:60])]
+    assert got[:60] == want and np.mean([a == b for a, b in zip(got, langs)]) > 0.8
+
+
+def test_slices_change_no_score(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [say(rng, k, rng.randrange(60)) for k in SYLLABLES for _ in range(20)] + ["мир" * 300 + " the " + "x" * 900, "a" * 64, "b" * 65, ""]
+    docs = brute.documents(spark, texts, langs=[k for k in SYLLABLES for _ in range(20)] + [None] * 4)
+    model = language.train(docs, F.lit(True))
+    raw = [t.encode() for t in texts]
+    data, ends = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+    start, want, known = model.scores(data, ends)
+    for most in (1, 7, 64, 1000):
+        monkeypatch.setattr(language, "SLICE", most)
+        at, got, there = model.scores(data, ends)
+        assert (at == start).all() and (there == known).all() and np.allclose(got, want, rtol=1e-5, atol=1e-3)
+        assert (language.train(docs, F.lit(True)).logs == model.logs).all()
+
+
 def test_no_training_rows(spark):
     docs = brute.documents(spark, ["some text"], langs=[None])
     assert [tuple(r) for r in language.op8(spark, docs).select("lang_pred", "score").collect()] == [("und", 0.0)]
@@ -90,6 +165,45 @@ def test_quality_held_out_accuracy_and_cases(spark):
     assert {r.score for r in quality.op5(spark, docs, labels.limit(0)).collect()} == {0.5}
 
 
+def plain_probability(net, text):
+    """A text's probability by a plain convolution, chunk by chunk."""
+    x = [*text, *[0] * quality.WIDTH]
+    z = np.array([sum(net.table[w][x[i + w]].astype(float) for w in range(quality.WIDTH)) for i in range(len(text))]).reshape(len(text), quality.FILTERS)
+    pooled = [z[i : i + quality.CHUNK].max(axis=0) for i in range(0, len(text), quality.CHUNK)]
+    h = np.tanh(np.concatenate([np.max(pooled, axis=0), np.mean(pooled, axis=0)])) if pooled else np.zeros(2 * quality.FILTERS)
+    return 1 / (1 + np.exp(-(h @ net.out + net.bias)))
+
+
+def test_quality_equals_plain_code(spark):
+    rng = random.Random(5)
+    texts = [say(rng, "fr", rng.randrange(90)) + rng.choice(["", "***"]) * rng.randrange(9) for _ in range(60)] + [None, "", "y", "z" * 256, "é" * 700]
+    ids = [*range(60), 7, 61, 62, 63, None]
+    docs = brute.documents(spark, texts, ids=ids)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(4, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    net = quality.train(docs, labels, quality.remainder(5) != 0)
+    of = {}
+    for i, t in zip(ids, texts):
+        if i is not None and i < 60 and zlib.crc32(str(i).encode()) % 5:
+            of[i] = min(x for x in (t, of.get(i)) if x is not None)
+    by_id = sorted(of)
+    again = quality.Network().fit([of[i].encode() for i in by_id], [1 if i == 4 else i % 2 for i in by_id])
+    assert np.allclose(net.table, again.table) and np.allclose(net.out, again.out)
+    want = sorted((str(i), plain_probability(net, (t or "").encode())) for i, t in zip(ids, texts))
+    got = sorted((str(r.doc_id), r.score, r.predicted) for r in quality.op5(spark, docs, labels).collect())
+    assert [(i, p) for i, _, p in got] == [(i, int(x >= 0.3)) for i, x in want] and np.allclose([x for _, x, _ in got], [x for _, x in want], atol=1e-6)
+
+
+def test_blocks_change_no_response(monkeypatch):
+    net, rng = quality.Network(), np.random.default_rng(6)
+    texts = [rng.integers(0, 256, n).astype(np.uint8) for n in (0, 5, 256, 1300, 252, 40_000)]
+    data, ends = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    want = net.chunks(data, ends, places=True)
+    for block in (1, 2, 1000):
+        monkeypatch.setattr(quality, "BLOCK", block)
+        got = net.chunks(data, ends, places=True)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all() and (got[2][0] == want[2][0]).all()
+
+
 def test_chunks_cover_every_byte():
     """A text's response is that of a plain convolution over all of its bytes."""
     net, rng = quality.Network(), np.random.default_rng(5)

@@ -6,14 +6,17 @@ are one lookup. A text is covered by chunks of CHUNK places (chunks overlap by W
 bytes, so that no window is lost); each chunk keeps the largest response of each filter.
 The largest and the mean of its chunks' responses, through tanh, give one probability.
 
-Training takes at most SAMPLE labelled texts, chosen by a hash of the id, on the driver:
-gradients reach only the places that won the pooling, so a step is small. Scoring is one
-pass over the Arrow buffers of all texts, whole, in slices of bounded size.
+Training takes at most SAMPLE labelled texts, chosen by a hash of the id, on the driver,
+one text of each id: gradients reach only the places that won the pooling, so a step is
+small. Scoring is one pass over the Arrow buffers of all
+texts, whole: responses are made and pooled BLOCK chunks at a time, also within a text,
+so that a text of any length costs two bytes for each of its own.
 
 Cases: an empty or null text gets the probability of no response at all; a null id is
-not held out and trains nothing; of several labels of an id the highest counts; without
-labels every score is 0.5; repeated rows give repeated results; an empty table gives an
-empty result; other columns are not read.
+not held out and trains nothing; of several labels of an id the highest counts, of
+several texts of an id the smallest; without labels every score is 0.5; a score of
+exactly THRESHOLD is predicted 1; very long texts are scored whole; repeated rows give
+repeated results; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ from .language import remainder
 
 WIDTH, FILTERS, CHUNK = 5, 8, 256
 SAMPLE, EPOCHS, RATE, THRESHOLD = 2000, 6, 0.15, 0.3
-#: Bytes of texts handled at once.
-SLICE = 1 << 15
+#: Bytes of texts handled together, and chunks whose responses are held at once.
+SLICE, BLOCK = 1 << 15, 128
 
 
 class Network:
@@ -54,24 +57,30 @@ class Network:
         texts = [(int(f) * CHUNK, int(o), int(k)) for f, o, k in zip(first, offsets, size) if k]
         for to, at, k in texts:
             padded[to : to + k] = data[at : at + k]
-        index = padded.astype(np.intp)
-        z, more = np.empty((total, FILTERS), np.float32), np.empty((total, FILTERS), np.float32)
-        np.take(self.table[0], index[:total], axis=0, out=z, mode="clip")
-        for w in range(1, WIDTH):
-            np.take(self.table[w], index[w : total + w], axis=0, out=more, mode="clip")
-            z += more
-        for to, _, k in texts:
-            z[to + k : to + -(-(k + WIDTH - 1) // CHUNK) * CHUNK] = -1e9
-        z = z.reshape(-1, CHUNK, FILTERS)
+        # Where a text's bytes end in its chunks; what follows has no response.
+        ends = np.clip(np.repeat(size, n) - (np.arange(first[-1]) - np.repeat(first[:-1], n)) * CHUNK, 0, CHUNK)
+        pooled, at = np.empty((int(first[-1]), FILTERS), np.float32), np.empty((int(first[-1]), FILTERS), np.int64) if places else None
+        for lo in range(0, int(first[-1]), BLOCK):
+            hi = min(int(first[-1]), lo + BLOCK)
+            index = padded[lo * CHUNK : hi * CHUNK + WIDTH].astype(np.intp)
+            z, more = np.empty(((hi - lo) * CHUNK, FILTERS), np.float32), np.empty(((hi - lo) * CHUNK, FILTERS), np.float32)
+            np.take(self.table[0], index[: len(z)], axis=0, out=z, mode="clip")
+            for w in range(1, WIDTH):
+                np.take(self.table[w], index[w : len(z) + w], axis=0, out=more, mode="clip")
+                z += more
+            z = z.reshape(-1, CHUNK, FILTERS)
+            for c in np.flatnonzero(ends[lo:hi] < CHUNK):
+                z[c, ends[lo + c] :] = -1e9
+            if places:
+                at[lo:hi] = z.argmax(axis=1)
+                pooled[lo:hi] = np.take_along_axis(z, at[lo:hi, None, :], 1)[:, 0, :]
+            else:
+                pooled[lo:hi] = z.max(axis=1)
         # The last chunk of a text may hold only those zeros: it is none.
         real = -(-size // CHUNK)
-        kept = np.arange(len(z)) - np.repeat(first[:-1], n) < np.repeat(real, n)
-        first = np.concatenate([[0], np.cumsum(real)]).astype(np.int64)
-        if not places:
-            return z.max(axis=1)[kept], first, None
-        at = z.argmax(axis=1)
-        pooled = np.take_along_axis(z, at[:, None, :], 1)[:, 0, :][kept]
-        return pooled, first, ((at + np.arange(len(z))[:, None] * CHUNK)[kept], padded)
+        kept = np.arange(len(pooled)) - np.repeat(first[:-1], n) < np.repeat(real, n)
+        where = ((at + np.arange(len(pooled))[:, None] * CHUNK)[kept], padded) if places else None
+        return pooled[kept], np.concatenate([[0], np.cumsum(real)]).astype(np.int64), where
 
     def features(self, pooled: np.ndarray, first: np.ndarray) -> np.ndarray:
         out = np.zeros((len(first) - 1, 2 * FILTERS))
@@ -139,8 +148,9 @@ def train(docs: DataFrame, labels: DataFrame, may_train: Column, label: str = "q
     for y, n in sizes.items():
         share = F.when(F.col("y") == y, F.lit(min(1 << 20, -(-(sample // 2) * (1 << 20) // n)))).otherwise(share)
     chosen = marked.filter(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20)) < share)
-    # The sample is bounded: the side that is broadcast has about `sample` ids.
-    rows = docs.select("doc_id", "text").filter(may_train).join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "text"])
+    # The sample is bounded: the side that is broadcast has about `sample` ids, what comes back a text for each.
+    texts = docs.select("doc_id", "text").filter(may_train).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    rows = texts.toPandas().sort_values("doc_id")
     return Network().fit([(t or "").encode() for t in rows["text"]], rows["y"].tolist()) if len(rows) else None
 
 
