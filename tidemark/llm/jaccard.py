@@ -358,7 +358,7 @@ def probed(docs: DataFrame, pairs: DataFrame, join: Join, n_packs: int) -> DataF
     """The links among (a, b). Only documents of pairs are shuffled."""
     ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     some = docs.join(broadcast_checked(ids, ids.count()), "doc_id", "left_semi")
-    texts = packs(some, n_packs)
+    texts = packs(some, n_packs, together=True)
     asked = pairs.select(pack_of(F.col("a"), n_packs).alias("pid"), "a", pack_of(F.col("b"), n_packs).alias("to"), "b")
     lent = texts.groupBy("pid").cogroup(asked.groupBy("pid")).applyInArrow(lend, "pid int, a long, text binary, bs binary")
     return texts.groupBy("pid").cogroup(lent.groupBy("pid")).applyInArrow(probe(join), "a long, b long")
@@ -432,7 +432,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE)
     n_packs = max(1, -(-docs.count() // PACK))
     bits = min(48, max(20, (n_packs * PACK * CELLS - 1).bit_length()))
     join = Join(shingle, share, n_packs // 4 + 8, bits)
-    texts = packs(docs, n_packs)
+    texts = packs(docs, n_packs, together=True)
     told = texts.groupBy("pid").applyInArrow(tell(join), "bucket int, pid int, cells binary")
     counted = told.groupBy("bucket").applyInArrow(count, "pid int, bucket int, counts binary")
     found = texts.groupBy("pid").cogroup(counted.groupBy("pid")).applyInArrow(search_pack(join), "kind int, bucket int, pid int, blob binary")

@@ -3,10 +3,12 @@
 A window is 50 consecutive words. Super-k-mers travel as packed strings to the bucket of
 their minimiser; there words get numbers, every window is a row of numbers, and sorting
 the rows brings equal windows together, so that the smallest document of each is exact.
+A minimiser with many windows is sorted in classes of a hash of the window.
 
-Cases: a null text or one without words has no window and keeps nothing to remove; a
-null id counts as larger than all others; rows that share an id do not remove each
-other's words; an empty table gives an empty result; other columns are not read.
+Cases: a null text or one without words has no window and keeps nothing to remove; very
+long texts are taken whole; a null id counts as larger than all others; rows that share
+an id do not remove each other's words; repeated rows have equal results; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,19 +29,25 @@ def sort_windows(strings: list[bytes], n: np.ndarray, least: np.ndarray, window:
     ends = np.cumsum(n)
     at = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(first[:-1], n)
     views = np.lib.stride_tricks.sliding_window_view(units, window)
-    rows = np.ascontiguousarray(views[at]).view(f"S{4 * window}").ravel()
-    order = np.argsort(rows, kind="stable")
-    head = np.ones(len(rows), bool)
-    head[1:] = rows[order][1:] != rows[order][:-1]
-    low = np.minimum.reduceat(np.repeat(least, n)[order], np.flatnonzero(head))
-    out = np.empty(len(rows), np.int64)
-    out[order] = low[np.cumsum(head) - 1]
+    ids, out = np.repeat(least, n), np.empty(len(at), np.int64)
+    classes = -(-len(at) // windows.TOGETHER)
+    of = windows.Sums(units.astype(np.uint64) + np.uint64(1)).every(window)[at] % np.uint64(classes) if classes > 1 else None
+    for c in range(classes):
+        some = np.arange(len(at)) if of is None else np.flatnonzero(of == c)
+        if not len(some):
+            continue
+        rows = np.ascontiguousarray(views[at[some]]).view(f"S{4 * window}").ravel()
+        order = np.argsort(rows, kind="stable")
+        head = np.ones(len(rows), bool)
+        head[1:] = rows[order][1:] != rows[order][:-1]
+        low = np.minimum.reduceat(ids[some][order], np.flatnonzero(head))
+        out[some[order]] = low[np.cumsum(head) - 1]
     return np.split(out, ends[:-1])
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Columns: doc_id, n_units, n_removed, n_spans, kept_sha256, kept (the remaining words, joined by one space)."""
-    return windows.shared(docs, lambda buckets: windows.Plan(windows.word_units, window, gram, sort_windows, buckets))
+    return windows.shared(docs, lambda buckets, asks: windows.Plan(windows.word_units, window, gram, sort_windows, buckets, asks))
 
 
 def op6(spark: SparkSession, docs: DataFrame) -> DataFrame:

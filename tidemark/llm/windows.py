@@ -6,15 +6,18 @@ that share a minimiser are a super-k-mer. Equal windows have equal minimisers, s
 
 A  packs of documents send the distinct minimisers that they have to buckets,
 B  buckets answer each pack with those that other documents have too,
-C  packs send super-k-mers of such minimisers, each as one packed string with the places
-   where it occurs, to the minimiser's bucket; equal strings of a pack travel once,
-D  buckets compare windows exactly and answer with the windows that also start in a
-   document with a smaller id,
-E  packs cover units by those windows.
-
-Packs hold about PACK documents by a hash of their id, buckets a share of all minimisers:
-both numbers follow the input, neither is a key of the data. What every document has
-costs a bucket one entry for each pack. The text is shuffled once, for A, C and E.
+C  packs send the distinct strings of super-k-mers of such minimisers to the minimiser's
+   bucket, each once, packed, with the smallest and largest id that have it in the pack,
+D  buckets compare windows exactly and answer each string with the smallest id that has
+   each of its windows, in runs,
+E  packs find their strings again and cover units by the windows that also start in a
+   document with a smaller id.
+
+Packs hold about PACK documents or PACK_BYTES by a hash of id and text, buckets a share of
+all minimisers: both numbers follow the input, neither is a key of the data. What every
+document has costs a bucket one entry for each pack: minima are folded in the pack, and
+places of occurrence never travel. The text is shuffled once, for A, C and E.
+A text is one row of a pack, so that its length is bounded by what a row may have.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import buffers
 
-PACK = 500
+PACK, PACK_BYTES = 500, 2 << 20
 #: Windows in one packed string at most; longer runs are cut.
 RUN = 256
 LAST = np.iinfo(np.int64).max
@@ -156,7 +159,9 @@ class Plan:
     gram: int
     #: All strings of a bucket: strings, keys and smallest ids to the smallest id of each of their windows.
     compare: Callable[[list[bytes], np.ndarray, np.ndarray, int], list[np.ndarray]]
+    #: Buckets of strings, and of minimisers, which are much less.
     buckets: int = 8
+    asks: int = 8
 
 
 def _sorted_texts(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]:
@@ -185,7 +190,7 @@ def ask(plan: Plan) -> Callable[[pa.Table], pa.Table]:
         last = np.append(at[1:], len(key)) - 1
         flags = (row[at] != row[last]).astype(np.uint8) if len(at) else np.empty(0, np.uint8)
         key = key[at]
-        bucket = _bucketed(key, plan.buckets)
+        bucket = _bucketed(key, plan.asks)
         order = np.argsort(bucket, kind="stable")
         b, edges = np.unique(bucket[order], return_index=True)
         edges = np.append(edges, len(order))
@@ -230,133 +235,245 @@ def answer(t: pa.Table) -> pa.Table:
     return pa.table({"pid": pa.array([pids[i] for i in who], pa.int32()), "keys": pa.array(blobs, pa.binary())})
 
 
+@dataclass
+class Strings:
+    """Super-k-mers of a pack by minimiser and content: the occurrences in that order, and the distinct strings."""
+
+    begin: np.ndarray
+    n: np.ndarray
+    row: np.ndarray
+    key: np.ndarray
+    string: np.ndarray  # of each occurrence
+    head: np.ndarray  # an occurrence of each string
+    ordinal: np.ndarray  # of each string among those of its minimiser
+
+
+def _differ(u: Units, begin: np.ndarray, other: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether runs of units differ from others of the same length: bytes, or hashes of words."""
+    values, out = (u.data if u.start is None else u.hashes), np.zeros(len(begin), bool)
+    for lo, hi in buffers.runs(np.concatenate([[0], np.cumsum(length)]), 1 << 18):
+        first = np.concatenate([[0], np.cumsum(length[lo:hi])])
+        inner = np.arange(first[-1]) - np.repeat(first[:-1], length[lo:hi])
+        unlike = values[np.repeat(begin[lo:hi], length[lo:hi]) + inner] != values[np.repeat(other[lo:hi], length[lo:hi]) + inner]
+        out[lo:hi] = np.logical_or.reduceat(unlike, first[:-1])
+    return out
+
+
+def strings_of(plan: Plan, u: Units, k: Skmers, on: np.ndarray) -> Strings:
+    """The super-k-mers `on`, all of each minimiser. Those that a hash takes for equal are compared, and told apart where they are not."""
+    begin, n, row, key = k.at[on], k.n[on], k.row[on], (k.key[on] >> _U(16)) << _U(16)
+    identity = k.sums.of(begin, begin + n + plan.window - 1)
+    while True:
+        order = np.lexsort((n, identity, key))
+        same = np.zeros(len(order), bool)
+        same[1:] = (n[order][1:] == n[order][:-1]) & (identity[order][1:] == identity[order][:-1]) & (key[order][1:] == key[order][:-1])
+        head = order[~same][np.cumsum(~same) - 1]
+        unlike = same.copy()
+        unlike[same] = _differ(u, begin[order[same]], begin[head[same]], n[order[same]] + plan.window - 1)
+        if not unlike.any():
+            break
+        identity[order[unlike]] = mixed(identity[order[unlike]] + _U(1))
+    begin, n, row, key = begin[order], n[order], row[order], key[order]
+    heads = np.flatnonzero(~same)
+    of_key = np.ones(len(heads), bool)
+    of_key[1:] = key[heads][1:] != key[heads][:-1]
+    at = np.flatnonzero(of_key)
+    ordinal = np.arange(len(heads)) - np.repeat(at, np.diff(np.append(at, len(heads))))
+    return Strings(begin, n, row, key, np.cumsum(~same) - 1, heads, ordinal)
+
+
+def _texts(plan: Plan, u: Units, begin: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Strings as bytes; words are joined by one space."""
+    if u.start is None:
+        mem = u.data.tobytes()
+        return [mem[a:b] for a, b in zip(begin.tolist(), (begin + n + plan.window - 1).tolist())]
+    mem = np.where(SPACE[u.data], np.uint8(0x20), u.data).tobytes()
+    lo, hi = u.start[begin], u.end[begin + n + plan.window - 2]
+    return [mem[a:b] if b"  " not in mem[a:b] else b" ".join(mem[a:b].split()) for a, b in zip(lo.tolist(), hi.tolist())]
+
+
+SENT = pa.schema([("bucket", pa.int32()), ("pid", pa.int32()), ("strings", pa.binary())])
+
+
+def packed_strings(plan: Plan, t: pa.Table, u: Units, did: np.ndarray, s: Strings) -> pa.Table:
+    """(bucket, pid, strings): minimiser, windows, bytes, smallest and largest id of each string of the pack."""
+    heads = s.head
+    if not len(heads):
+        return SENT.empty_table()
+    least, most = np.minimum.reduceat(did[s.row], heads), np.maximum.reduceat(did[s.row], heads)
+    order = np.argsort(_bucketed(s.key[heads], plan.buckets), kind="stable")
+    heads, least, most = heads[order], least[order], most[order]
+    texts = _texts(plan, u, s.begin[heads], s.n[heads])
+    size = np.array([len(x) for x in texts], np.uint32)
+    b, edges = np.unique(_bucketed(s.key[heads], plan.buckets), return_index=True)
+    blobs = []
+    for lo, hi in zip(edges, np.append(edges[1:], len(heads))):
+        raw = np.frombuffer(b"".join(texts[lo:hi]), np.uint8)
+        blobs.append(buffers.packed(s.key[heads[lo:hi]], s.n[heads[lo:hi]].astype(np.uint16), size[lo:hi], raw, least[lo:hi], most[lo:hi]))
+    pid = t.column("pid")[0].as_py()
+    return pa.table({"bucket": pa.array(b, pa.int32()), "pid": pa.array([pid] * len(b), pa.int32()), "strings": pa.array(blobs, pa.binary())})
+
+
 def send(plan: Plan) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """C: (bucket, pid, strings): packed strings of the pack's shared super-k-mers and where they occur."""
-    schema = pa.schema([("bucket", pa.int32()), ("pid", pa.int32()), ("strings", pa.binary())])
+    """C: the pack's strings of minimisers that others have too."""
 
     def run(t: pa.Table, asked: pa.Table) -> pa.Table:
         if not t.num_rows or not asked.num_rows:
-            return schema.empty_table()
+            return SENT.empty_table()
         did, data, offsets, t = _sorted_texts(t)
         shared = np.sort(np.concatenate([_keys48(buffers.unpacked(b, np.uint8)[0]) for b in asked.column("keys").to_pylist()]))
         u = plan.units(data, offsets)
         k = skmers(u, plan.window, plan.gram)
-        key = (k.key >> _U(16)) << _U(16)
-        at = np.minimum(np.searchsorted(shared, key), len(shared) - 1)
-        on = np.flatnonzero(shared[at] == key)
-        begin, n, row, key = k.at[on], k.n[on], k.row[on], key[on]
-        identity = k.sums.of(begin, begin + n + plan.window - 1)
-        bucket = _bucketed(key, plan.buckets)
-        order = np.lexsort((row, identity, key, bucket))
-        begin, n, row, key, identity, bucket = (x[order] for x in (begin, n, row, key, identity, bucket))
-        head = np.ones(len(key), bool)
-        head[1:] = (identity[1:] != identity[:-1]) | (key[1:] != key[:-1])
-        string_of = np.cumsum(head) - 1
-        heads = np.flatnonzero(head)
-        if u.start is None:
-            mem = data.tobytes()
-            strings = [mem[a:b] for a, b in zip(begin[heads].tolist(), (begin[heads] + n[heads] + plan.window - 1).tolist())]
-        else:
-            flat = np.where(SPACE[data], np.uint8(0x20), data)
-            mem = flat.tobytes()
-            lo, hi = u.start[begin[heads]], u.end[begin[heads] + n[heads] + plan.window - 2]
-            strings = [b" ".join(mem[a:b].split(b" ")) if b"  " not in mem[a:b] else b" ".join(mem[a:b].split()) for a, b in zip(lo.tolist(), hi.tolist())]
-        size = np.array([len(s) for s in strings], np.uint32)
-        b, edges = np.unique(bucket, return_index=True)
-        edges = np.append(edges, len(bucket))
-        blobs = []
-        for i in range(len(b)):
-            lo, hi = edges[i], edges[i + 1]
-            s0, s1 = string_of[lo], string_of[hi - 1] + 1
-            blobs.append(
-                buffers.packed(
-                    key[heads[s0:s1]], n[heads[s0:s1]].astype(np.uint16), size[s0:s1], np.frombuffer(b"".join(strings[s0:s1]), np.uint8),
-                    (string_of[lo:hi] - s0).astype(np.uint32), row[lo:hi].astype(np.uint32), did[row[lo:hi]], begin[lo:hi] - u.first[row[lo:hi]],
-                )
-            )
-        pid = t.column("pid")[0].as_py()
-        return pa.table({"bucket": pa.array(b, pa.int32()), "pid": pa.array([pid] * len(b), pa.int32()), "strings": pa.array(blobs, pa.binary())})
+        return packed_strings(plan, t, u, did, strings_of(plan, u, k, np.flatnonzero(_among(k.key, shared))))
+
+    return run
+
+
+def send_all(plan: Plan) -> Callable[[pa.Table], pa.Table]:
+    """The same of all minimisers."""
+
+    def run(t: pa.Table) -> pa.Table:
+        did, data, offsets, t = _sorted_texts(t)
+        u = plan.units(data, offsets)
+        k = skmers(u, plan.window, plan.gram)
+        return packed_strings(plan, t, u, did, strings_of(plan, u, k, np.arange(len(k.at))))
 
     return run
 
 
+def _among(key: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the first 48 bits of hashes are among sorted keys."""
+    key = (key >> _U(16)) << _U(16)
+    return keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key if len(keys) else np.zeros(len(key), bool)
+
+
+@dataclass
+class Bucket:
+    """Strings of a bucket, those of several packs once, and the entries of the packs."""
+
+    pids: list[int]
+    strings: list[bytes]
+    key: np.ndarray
+    n: np.ndarray
+    least: np.ndarray
+    pack: np.ndarray  # of each entry, by number in pids
+    of: np.ndarray  # its string
+    ordinal: np.ndarray
+    most: np.ndarray
+
+
+def bucket_of(t: pa.Table) -> Bucket:
+    ids: dict[tuple[int, bytes], int] = {}
+    keys, sizes, entries = [], [], []
+    for i, blob in enumerate(t.column("strings").to_pylist()):
+        key, n, size, raw, low, high = buffers.unpacked(blob, np.uint64, np.uint16, np.uint32, np.uint8, np.int64, np.int64)
+        mem, ends = raw.tobytes(), np.cumsum(size).tolist()
+        local, begin = np.empty(len(size), np.int64), 0
+        for j, (k, end) in enumerate(zip(key.tolist(), ends)):
+            name = (k, mem[begin:end])
+            x = ids.get(name)
+            if x is None:
+                x = ids[name] = len(ids)
+                keys.append(k)
+                sizes.append(n[j])
+            local[j] = x
+            begin = end
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        at = np.flatnonzero(first)
+        entries.append((np.full(len(key), i), local, np.arange(len(key)) - np.repeat(at, np.diff(np.append(at, len(key)))), low, high))
+    pack, of, ordinal, low, most = (np.concatenate(x) for x in zip(*entries))
+    least = np.full(len(ids), LAST)
+    np.minimum.at(least, of, low)
+    return Bucket(t.column("pid").to_pylist(), [s for _, s in ids], np.array(keys, np.uint64), np.array(sizes, np.int64), least, pack, of, ordinal, most)
+
+
+ANSWERED = pa.schema([("pid", pa.int32()), ("hits", pa.binary())])
+
+
+def answered(b: Bucket, lows: list[np.ndarray]) -> pa.Table:
+    """(pid, hits): for each string of a pack the runs of windows that some id has which is smaller than the pack's largest with it."""
+    flat = np.concatenate([np.empty(0, np.int64), *lows])
+    first = np.concatenate([[0], np.cumsum([len(x) for x in lows])]).astype(np.int64)
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[first[:-1]] = True
+    begin = np.flatnonzero(new)
+    runs = np.searchsorted(begin, first)  # of each string
+    string = np.repeat(np.arange(len(lows)), np.diff(runs))
+    length, at, low = np.diff(np.append(begin, len(flat))), begin - first[string], flat[begin]
+    parts = []
+    for lo, hi in buffers.runs(np.concatenate([[0], np.cumsum(np.diff(runs)[b.of])]), 1 << 20):
+        n = np.diff(runs)[b.of[lo:hi]]
+        entry = np.repeat(np.arange(lo, hi), n)
+        run = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + runs[b.of[entry]]
+        on = low[run] < b.most[entry]
+        parts.append((entry[on], run[on]))
+    entry, run = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64),) * 2
+    who, edges = np.unique(b.pack[entry], return_index=True)
+    blobs = []
+    for i, j in zip(edges, np.append(edges[1:], len(entry))):
+        e, r = entry[i:j], run[i:j]
+        blobs.append(buffers.packed(b.key[b.of[e]], b.ordinal[e].astype(np.uint32), at[r].astype(np.uint16), length[r].astype(np.uint16), low[r]))
+    return pa.table([pa.array([b.pids[i] for i in who], pa.int32()), pa.array(blobs, pa.binary())], schema=ANSWERED)
+
+
 def compare(plan: Plan) -> Callable[[pa.Table], pa.Table]:
-    """D: (pid, hits): runs of windows that also start in a document with a smaller id."""
+    """D: strings of a minimiser that has several are compared window by window; all windows of a lone one start first where it does."""
 
     def run(t: pa.Table) -> pa.Table:
-        pids = t.column("pid").to_pylist()
-        ids: dict[tuple[int, bytes], int] = {}
-        keys, sizes, occ = [], [], []
-        for i, blob in enumerate(t.column("strings").to_pylist()):
-            key, n, size, raw, of, row, did, at = buffers.unpacked(blob, np.uint64, np.uint16, np.uint32, np.uint8, np.uint32, np.uint32, np.int64, np.int64)
-            mem, ends = raw.tobytes(), np.cumsum(size).tolist()
-            local, begin = np.empty(len(size), np.int64), 0
-            for j, (k, end) in enumerate(zip(key.tolist(), ends)):
-                name = (k, mem[begin:end])
-                x = ids.get(name)
-                if x is None:
-                    x = ids[name] = len(ids)
-                    keys.append(k)
-                    sizes.append(n[j])
-                local[j] = x
-                begin = end
-            occ.append((np.full(len(of), i), local[of], row, did, at))
-        del mem
-        strings = [s for _, s in ids]
-        del ids
-        of_pack, string, row, did, at = (np.concatenate(x) for x in zip(*occ))
-        key, n = np.array(keys, np.uint64), np.array(sizes, np.int64)
-        least = np.full(len(strings), LAST)
-        np.minimum.at(least, string, did)
-        order = np.argsort(key, kind="stable")
-        same = np.zeros(len(key) + 1, bool)
-        same[1:-1] = key[order][1:] == key[order][:-1]
-        several = np.zeros(len(key), bool)
-        several[order] = same[1:] | same[:-1]
-        # A minimiser with one string: all its windows start first where the string does.
-        alone = ~several[string]
-        got = [(x[alone & (least[string] < did)]) for x in (of_pack, row, at)]
-        parts = [(*got, n[string[alone & (least[string] < did)]])]
+        b = bucket_of(t)
+        order = np.argsort(b.key, kind="stable")
+        same = np.zeros(len(b.key) + 1, bool)
+        same[1:-1] = b.key[order][1:] == b.key[order][:-1]
+        several = same[1:] | same[:-1]
+        lows: list[np.ndarray] = [None if x else np.full(b.n[i], b.least[i]) for i, x in zip(order.tolist(), several)]  # type: ignore[list-item]
         which = np.flatnonzero(several)
-        if len(which):
-            lows = plan.compare([strings[i] for i in which], n[which], least[which], plan.window)
-            first = np.concatenate([[0], np.cumsum(n[which])])
-            low = np.concatenate(lows)
-            new = np.zeros(len(key), np.int64)
-            new[which] = np.arange(len(which))
-            for lo in range(0, int((~alone).sum()), 4096):
-                o = np.flatnonzero(~alone)[lo : lo + 4096]
-                x = new[string[o]]
-                length = n[string[o]]
-                total = np.cumsum(length)
-                inner = np.arange(total[-1]) - np.repeat(total - length, length)
-                hit = low[np.repeat(first[x], length) + inner] < np.repeat(did[o], length)
-                edge = np.ones(len(hit), bool)
-                edge[1:] = (hit[1:] != hit[:-1]) | (inner[1:] == 0)
-                begin = np.flatnonzero(edge)
-                long = np.diff(np.append(begin, len(hit)))
-                begin, long = begin[hit[begin]], long[hit[begin]]
-                who = o[np.searchsorted(total, begin, "right")]
-                parts.append((of_pack[who], row[who], at[who] + inner[begin], long))
-        of_pack, row, at, n = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((at, row, of_pack))
-        of_pack, row, at, n = (x[order] for x in (of_pack, row, at, n))
-        who, edges = np.unique(of_pack, return_index=True)
-        edges = np.append(edges, len(of_pack))
-        blobs = [buffers.packed(*(x[edges[i] : edges[i + 1]].astype(k) for x, k in ((row, np.uint32), (at, np.int64), (n, np.uint32)))) for i in range(len(who))]
-        return pa.table({"pid": pa.array([pids[i] for i in who], pa.int32()), "hits": pa.array(blobs, pa.binary())})
+        part_of, upto = order[which], np.cumsum(b.n[order[which]])
+        # Minimisers are compared together up to so many windows, since windows of different ones are never equal.
+        edge, begin = np.append(np.flatnonzero(b.key[part_of][1:] != b.key[part_of][:-1]) + 1, len(which)), 0
+        while begin < len(which):
+            fit = edge[upto[edge - 1] <= (upto[begin - 1] if begin else 0) + TOGETHER]
+            end = int(max(fit[-1] if len(fit) else 0, edge[np.searchsorted(edge, begin, "right")]))
+            part = part_of[begin:end]
+            for i, x in zip(which[begin:end].tolist(), plan.compare([b.strings[i] for i in part], b.n[part], b.least[part], plan.window)):
+                lows[i] = x
+            begin = end
+        by_string: list[np.ndarray] = [None] * len(lows)  # type: ignore[list-item]
+        for i, x in zip(order.tolist(), lows):
+            by_string[i] = x
+        return answered(b, by_string)
 
     return run
 
 
-def _covered(u: Units, hits: list[bytes], window: int) -> np.ndarray:
-    """Whether each unit lies in a hit window."""
+#: Windows that are compared together, unless one minimiser has more.
+TOGETHER = 1 << 18
+
+
+def _covered(plan: Plan, u: Units, did: np.ndarray, hits: list[bytes]) -> np.ndarray:
+    """Whether each unit lies in a window that a document with a smaller id has."""
     step = np.zeros(len(u.hashes) + 1, np.int64)
-    for blob in hits:
-        row, at, n = buffers.unpacked(blob, np.uint32, np.int64, np.uint32)
-        begin = u.first[row] + at
-        np.add.at(step, begin, 1)
-        np.add.at(step, begin + n + (window - 1), -1)
+    if hits:
+        key, ordinal, at, n, low = (np.concatenate(x) for x in zip(*[buffers.unpacked(b, np.uint64, np.uint32, np.uint16, np.uint16, np.int64) for b in hits]))
+        k = skmers(u, plan.window, plan.gram)
+        s = strings_of(plan, u, k, np.flatnonzero(_among(k.key, np.unique(key))))
+        order = np.lexsort((at, ordinal, key))
+        key, ordinal, at, n, low = (x[order] for x in (key, ordinal, at, n, low))
+        # Strings are named by the number of their minimiser and by their number under it.
+        names, number = np.unique(key, return_inverse=True)
+        name = (number << 32) + ordinal.astype(np.int64)
+        mine = (np.searchsorted(names, s.key[s.head]) << 32) + s.ordinal
+        first, last = np.searchsorted(name, mine, "left"), np.searchsorted(name, mine, "right")
+        size = (last - first)[s.string]
+        for lo, hi in buffers.runs(np.concatenate([[0], np.cumsum(size)]), 1 << 20):
+            occurrence = np.repeat(np.arange(lo, hi), size[lo:hi])
+            inner = np.arange(len(occurrence)) - np.repeat(np.cumsum(size[lo:hi]) - size[lo:hi], size[lo:hi])
+            run = first[s.string[occurrence]] + inner
+            on = low[run] < did[s.row[occurrence]]
+            begin, length = s.begin[occurrence[on]] + at[run[on]], n[run[on]].astype(np.int64)
+            np.add.at(step, begin, 1)
+            np.add.at(step, begin + length + (plan.window - 1), -1)
     return np.cumsum(step[:-1]) > 0
 
 
@@ -366,9 +483,9 @@ def cover(plan: Plan) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(t: pa.Table, hits: pa.Table) -> pa.Table:
         if not t.num_rows:
             return SCHEMA.empty_table()
-        _, data, offsets, t = _sorted_texts(t)
+        did, data, offsets, t = _sorted_texts(t)
         u = plan.units(data, offsets)
-        gone = _covered(u, hits.column("hits").to_pylist(), plan.window)
+        gone = _covered(plan, u, did, hits.column("hits").to_pylist())
         rows = np.arange(len(u.first) - 1)
         of = np.repeat(rows, np.diff(u.first))
         removed = np.bincount(of[gone], minlength=len(rows))
@@ -406,26 +523,26 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed
 OUT = "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def packs(docs: DataFrame, n_packs: int) -> DataFrame:
-    """(pid, did, tv, doc_id, text): did orders documents, a null id last."""
-    did = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST)))
-    return docs.select(
-        pack_of(did, n_packs).alias("pid"),
-        did.alias("did"),
-        F.xxhash64("text").alias("tv"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    )
+def pack_count(docs: DataFrame) -> int:
+    got = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    return max(1, -(-got["n"] // PACK), -(-got["b"] // PACK_BYTES))
 
 
 def pack_of(did, n_packs: int):
     return F.pmod(F.xxhash64(did), F.lit(n_packs)).cast("int")
 
 
-def shared(docs: DataFrame, plan_of: Callable[[int], Plan]) -> DataFrame:
+def packs(docs: DataFrame, n_packs: int, together: bool = False) -> DataFrame:
+    """(pid, did, tv, doc_id, text): did orders documents, a null id last. together: rows that share an id lie in one pack, unless it is null."""
+    did, tv = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))), F.xxhash64("text")
+    spread = F.when(F.col("doc_id").isNotNull(), pack_of(did, n_packs)).otherwise(pack_of(tv, n_packs)) if together else F.pmod(F.xxhash64(did, tv), F.lit(n_packs)).cast("int")
+    return docs.select(spread.alias("pid"), did.alias("did"), tv.alias("tv"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def shared(docs: DataFrame, plan_of: Callable[[int, int], Plan]) -> DataFrame:
     """For each document what is left when windows that a document with a smaller id has are removed."""
-    n_packs = max(1, -(-docs.count() // PACK))
-    plan = plan_of(n_packs // 4 + 8)
+    n_packs = pack_count(docs)
+    plan = plan_of(n_packs // 4 + 8, n_packs // 32 + 8)
     texts = packs(docs, n_packs)
     asked = texts.groupBy("pid").applyInArrow(ask(plan), "bucket int, pid int, keys binary")
     answers = asked.groupBy("bucket").applyInArrow(answer, "pid int, keys binary")
