@@ -3,23 +3,24 @@ import random
 import brute
 import pytest
 import tidemark.llm.jaccard as jaccard
+from tidemark.llm import windows
 from tidemark.llm.components import components
 
 
-@pytest.mark.parametrize("seed", [0])
+@pytest.mark.parametrize("seed", [0, 1])
 def test_equals_brute_force(spark, monkeypatch, seed):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(40)]
     base = [[rng.choice(words) for _ in range(rng.randrange(3, 90))] for _ in range(6)]
     texts = list(brute.ODD_TEXTS)
-    for _ in range(90):
+    for _ in range(120):
         w = list(rng.choice(base))
         for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
             w[rng.randrange(len(w))] = rng.choice(words)
         if rng.random() < 0.3:
             w = w[: max(1, len(w) - rng.randrange(8))]
         texts.append(" ".join(w).upper() if rng.random() < 0.2 else " ".join(w))
-    monkeypatch.setattr(jaccard, "PACK", 15)
+    monkeypatch.setattr(windows, "PACK", 15)
     docs = brute.with_more_columns(brute.documents(spark, texts))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.op10(spark, docs).collect()}
     assert got == brute.jaccard_components(list(enumerate(texts)))
@@ -38,7 +39,7 @@ def test_small_packs_and_cells_equal_brute_force(spark, monkeypatch, seed, block
         if rng.random() < 0.3:
             w = w[: max(1, len(w) - rng.randrange(8))]
         texts.append(" ".join(w).upper() if rng.random() < 0.2 else " ".join(w))
-    monkeypatch.setattr(jaccard, "PACK", 7)
+    monkeypatch.setattr(windows, "PACK", 7)
     monkeypatch.setattr(jaccard, "BLOCK", block)
     docs = brute.with_more_columns(brute.documents(spark, texts))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.op10(spark, docs).collect()}
@@ -65,6 +66,32 @@ def test_last_search_in_many_cells_loses_no_link(spark, monkeypatch):
         assert {(min(r), max(r)) for r in rows} == want and want
 
 
+def test_one_passage_in_every_document_and_a_hot_group(spark, monkeypatch):
+    """Shingles of every document, one large group of near copies, one of equal texts, and many rows without an id."""
+    rng = random.Random(11)
+    passage, base = [f"p{i}" for i in range(25)], [f"b{i}" for i in range(50)]
+    texts = [" ".join([*passage, *(f"w{rng.randrange(60)}" for _ in range(rng.randrange(30)))]) for _ in range(60)]
+    for _ in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(50)] = f"x{rng.randrange(9)}"
+        texts.append(" ".join(w))
+    texts += ["same five words in here"] * 30
+    monkeypatch.setattr(windows, "PACK", 6)
+    monkeypatch.setattr(jaccard, "BLOCK", 9)
+    docs = brute.documents(spark, texts + texts[:20], ids=[*range(150), *[None] * 20])
+    rows = jaccard.op10(spark, docs).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows if r.doc_id is not None} == brute.jaccard_components(list(enumerate(texts)))
+    assert sorted(r.n_shingles for r in rows if r.doc_id is None) == sorted(len(brute.shingles(t)) for t in texts[:20])
+
+
+def test_very_long_text(spark):
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(100_000))
+    rows = jaccard.op10(spark, brute.documents(spark, [long, "x " + long, "short one"])).orderBy("doc_id").collect()
+    assert [(r.n_shingles > 99_000, r.component_id) for r in rows] == [(True, 0), (True, 0), (False, 2)]
+
+
 def test_ids_null_and_repeated(spark):
     docs = brute.documents(spark, ["a b c d e", "a b c d e", "x y z q r", "x y z q r", "a b c d e"], ids=[7, 3, 7, 9, None])
     rows = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.op10(spark, docs).collect())

@@ -21,11 +21,13 @@ cost work; this order keeps what several documents have out of the short lists.
 
 So no list yields all its pairs, and yet no link between components is missed. The
 smallest id that links reach names a component. Text travels by pack once; probing
-shuffles documents of candidate pairs and compressed texts of the middles of stars.
+shuffles documents of candidate pairs, and the text of a star's middle once for every pack
+that holds others of the star, by a join that Spark splits where a middle has many.
 
 Cases: a null text or one without words has an empty set and no link; a text of fewer
-words than a shingle is one shingle; rows that share an id are one node, with a row
-each; a row without an id has no links and a null component; an empty table gives an
+words than a shingle is one shingle; very long texts are taken whole; rows that share an
+id are one node, with a row each; a row without an id has no links and a null component;
+ties of counts go by hash, of components by the smallest id; an empty table gives an
 empty result; other columns are not read.
 """
 
@@ -39,10 +41,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import buffers
+from . import buffers, windows
 from .common import broadcast_checked, cut
 from .components import components
-from .windows import LAST, PACK, Sums, _bucketed, _sorted_texts, mixed, pack_of, packs, word_units
+from .windows import LAST, PACK_BYTES, Sums, _bucketed, _sorted_texts, mixed, pack_count, pack_of, packs, word_units
 
 SHINGLE, SHARE = 4, 85
 #: Cells of the hash space for each document.
@@ -57,7 +59,9 @@ class Join:
     shingle: int = SHINGLE
     #: Per cent that an intersection must have of the union.
     share: int = SHARE
+    #: Buckets of lists, and of cells, which are counted.
     buckets: int = 8
+    asks: int = 8
     #: Cells are the first bits of a hash.
     bits: int = 28
 
@@ -103,7 +107,7 @@ def _cells(token: np.ndarray, join: Join) -> np.ndarray:
 
 def _width(join: Join) -> int:
     """Cells of a bucket."""
-    return -(-(1 << join.bits) // join.buckets)
+    return -(-(1 << join.bits) // join.asks)
 
 
 def tell(join: Join) -> Callable[[pa.Table], pa.Table]:
@@ -305,29 +309,6 @@ def _unpack_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(did, mask=null.astype(bool)), pa.array(n)], names=["doc_id", "n_shingles"])
 
 
-LENT = pa.schema([("pid", pa.int32()), ("a", pa.int64()), ("text", pa.binary()), ("bs", pa.binary())])
-
-
-def lend(t: pa.Table, pairs: pa.Table) -> pa.Table:
-    """Texts of documents a, compressed, each once for every pack that has partners b to probe."""
-    if not t.num_rows or not pairs.num_rows:
-        return LENT.empty_table()
-    a, to, b = (pairs.column(c).to_numpy() for c in ("a", "to", "b"))
-    did, data, offsets, t = _sorted_texts(t.filter(pa.array(np.isin(t.column("did").to_numpy(), a))))
-    order = np.lexsort((b, to, a))
-    a, to, b = a[order], to[order], b[order]
-    head = np.ones(len(a), bool)
-    head[1:] = (a[1:] != a[:-1]) | (to[1:] != to[:-1])
-    edges = np.append(np.flatnonzero(head), len(a))
-    out, text = [], {}
-    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        for row in range(*np.searchsorted(did, [a[lo], a[lo] + 1])):
-            if row not in text:
-                text[row] = buffers.packed(data[offsets[row] : offsets[row + 1]])
-            out.append((int(to[lo]), int(a[lo]), text[row], b[lo:hi].tobytes()))
-    return pa.table([pa.array(list(x), f.type) for x, f in zip(zip(*out), LENT)], schema=LENT) if out else LENT.empty_table()
-
-
 def probe(join: Join) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Links among the pairs: sets of lent texts are probed in those of the pack."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -335,16 +316,16 @@ def probe(join: Join) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(t: pa.Table, lent: pa.Table) -> pa.Table:
         if not t.num_rows or not lent.num_rows:
             return schema.empty_table()
-        partners = [np.frombuffer(b, np.int64) for b in lent.column("bs").to_pylist()]
+        partners = lent.column("bs").to_pylist()
         did, data, offsets, t = _sorted_texts(t.filter(pa.array(np.isin(t.column("did").to_numpy(), np.concatenate(partners)))))
         token, first = shingle_sets(data, offsets, join.shingle)
+        theirs_data, theirs_at = buffers.utf8(lent.column("text"))
         out, a = [], lent.column("a").to_pylist()
-        for lo in range(0, len(a), PACK):
-            texts = [buffers.unpacked(x, np.uint8)[0] for x in lent.column("text")[lo : lo + PACK].to_pylist()]
-            theirs, begin = shingle_sets(np.concatenate(texts), np.concatenate([[0], np.cumsum([len(x) for x in texts])]), join.shingle)
-            for i in range(len(texts)):
+        for lo, hi in buffers.runs(theirs_at, PACK_BYTES):
+            theirs, begin = shingle_sets(theirs_data[theirs_at[lo] : theirs_at[hi]], theirs_at[lo : hi + 1] - theirs_at[lo], join.shingle)
+            for i in range(hi - lo):
                 mine = theirs[begin[i] : begin[i + 1]]
-                for b in partners[lo + i].tolist():
+                for b in partners[lo + i]:
                     for row in range(*np.searchsorted(did, [b, b + 1])):
                         if len(mine) and first[row] < first[row + 1] and join.linked(mine, token[first[row] : first[row + 1]]):
                             out.append((a[lo + i], b))
@@ -356,16 +337,17 @@ def probe(join: Join) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
 def probed(docs: DataFrame, pairs: DataFrame, join: Join, n_packs: int) -> DataFrame:
     """The links among (a, b). Only documents of pairs are shuffled."""
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    some = docs.join(broadcast_checked(ids, ids.count()), "doc_id", "left_semi")
-    texts = packs(some, n_packs, together=True)
-    asked = pairs.select(pack_of(F.col("a"), n_packs).alias("pid"), "a", pack_of(F.col("b"), n_packs).alias("to"), "b")
-    lent = texts.groupBy("pid").cogroup(asked.groupBy("pid")).applyInArrow(lend, "pid int, a long, text binary, bs binary")
+    others = cut(pairs.select(F.col("b").alias("doc_id")).distinct())
+    texts = packs(docs.join(broadcast_checked(others), "doc_id", "left_semi"), n_packs, together=True)
+    middles = cut(pairs.select(F.col("a").alias("doc_id")).distinct())
+    middle = docs.join(broadcast_checked(middles), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.coalesce("text", F.lit("")).alias("text"))
+    asked = pairs.groupBy(pack_of(F.col("b"), n_packs).alias("pid"), "a").agg(F.collect_list("b").alias("bs"))
+    lent = asked.join(middle.hint("merge"), "a").select("pid", "a", "text", "bs")
     return texts.groupBy("pid").cogroup(lent.groupBy("pid")).applyInArrow(probe(join), "a long, b long")
 
 
 #: Documents and queries of a cell of the last search.
-BLOCK = 2000
+BLOCK = 512
 
 
 def search_cell(join: Join) -> Callable[[pa.Table], pa.Table]:
@@ -421,7 +403,7 @@ def _opened_links(docs: DataFrame, lists: DataFrame, members: DataFrame, comps:
     documents = placed.select("most", "comp", "doc", part("nd").alias("db"), every("nq").alias("qb"), F.lit(0).alias("query"))
     queries = placed.filter("comp <> most").select("most", "comp", "doc", every("nd").alias("db"), part("nq").alias("qb"), F.lit(1).alias("query"))
     ids = cut(each.select("doc").distinct())
-    some = docs.join(broadcast_checked(ids, ids.count()), F.col("doc_id") == F.col("doc"), "left_semi")
+    some = docs.join(broadcast_checked(ids), F.col("doc_id") == F.col("doc"), "left_semi")
     rows = documents.union(queries).join(some, F.col("doc") == F.col("doc_id")).select("most", "db", "qb", "query", "comp", "doc", F.coalesce("text", F.lit("")).alias("text"))
     return rows.groupBy("most", "db", "qb").applyInArrow(search_cell(join), "a long, b long")
 
@@ -429,9 +411,9 @@ def _opened_links(docs: DataFrame, lists: DataFrame, members: DataFrame, comps:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE) -> DataFrame:
     """For each row: doc_id, n_shingles, component_id."""
     docs = docs.select("doc_id", "text")
-    n_packs = max(1, -(-docs.count() // PACK))
-    bits = min(48, max(20, (n_packs * PACK * CELLS - 1).bit_length()))
-    join = Join(shingle, share, n_packs // 4 + 8, bits)
+    n_packs = pack_count(docs)
+    bits = min(48, max(20, (n_packs * windows.PACK * CELLS - 1).bit_length()))
+    join = Join(shingle, share, n_packs // 4 + 8, n_packs // 16 + 8, bits)
     texts = packs(docs, n_packs, together=True)
     told = texts.groupBy("pid").applyInArrow(tell(join), "bucket int, pid int, cells binary")
     counted = told.groupBy("bucket").applyInArrow(count, "pid int, bucket int, counts binary")
