@@ -18,7 +18,8 @@ def test_assign_and_cases(spark):
     docs = brute.with_more_columns(brute.documents(spark, ["a"] * 50, ids=[None, 7, 7, *range(100, 147)]))
     out = sharding.assign(docs, "doc_id")
     rows = out.collect()
-    assert len(rows) == 50 and sorted(out.columns) == sorted(docs.columns)
+    assert len(rows) == 50 and set(out.columns) == set(docs.columns) | {"input_slot", "input_shard"}
+    assert {(r.input_slot, r.input_shard) for r in rows} == {(7, 7)}
     assert len({r.shard for r in rows if r.doc_id == 7}) == 1
     table = sharding.fill(sharding.SHARDS, sharding.SLOTS)
     assert all(table[r.slot] == r.shard for r in rows)

@@ -9,7 +9,9 @@ rows with the bit set go ahead while they are no more than k, else only they sta
 race. Rows still level after the last slice have equal scores; the smallest ids win.
 
 The index of a block is a few megabytes and is built once; blocks of queries meet blocks
-of the index in cells of a bounded size, and the k best of each cell meet by query.
+of the index in cells of a bounded size, and the k best of each cell meet by query. Query
+blocks are as large as index blocks where there are many queries, since the index travels
+once for each, and smaller where there would be fewer than CELLS cells.
 
 Cases: vectors that are null or hold null or non-finite components, and rows without an
 id, take no part; of rows that share an id the smallest vector counts; a shorter vector
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCK_ROWS, BLOCK_QUERIES = 65536, 512
+BLOCK_ROWS, BLOCK_QUERIES, FEWEST_QUERIES, CELLS = 65536, 8192, 512, 64
 
 
 def pack(bits: np.ndarray) -> np.ndarray:
@@ -168,7 +170,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, block_
     """The k best other vectors of each query: query_id, rank, vec_id, score."""
     rows = quantised(vectors, scale)
     total = vectors.count()
-    nr, nq = max(1, -(-total // block_rows)), max(1, -(-vectors.filter(is_query).count() // block_queries))
+    asked, nr = vectors.filter(is_query).count(), max(1, -(-total // block_rows))
+    nq = max(1, -(-asked // block_queries), min(-(-asked // FEWEST_QUERIES), -(-CELLS // nr)))
     part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     index = rows.withColumn("rb", part(nr)).groupBy("rb").applyInPandas(_build_block, "rb int, ids binary, slices binary, first binary, low binary")
     index = index.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))

@@ -8,8 +8,10 @@ shard: placement is one lookup in a table whose size is a parameter, never the d
 Adding or removing a shard moves few keys, and no shard holds over one slot more than
 another.
 
-Cases: a null key is placed as the key "\\0null"; equal keys, and so repeated rows, go
-to the same shard; an empty table gives an empty result; other columns are not read.
+Cases: a null key is placed as the key "\\0null"; a key of any length is hashed whole;
+equal keys, and so repeated rows, go to the same shard; an empty table gives an empty
+result; other columns are kept as they are, one with the name of a new column as
+"input_" and that name.
 """
 
 from __future__ import annotations
@@ -65,17 +67,17 @@ def slot_of(key: Column, slots: int) -> Column:
 
 
 def assign(df: DataFrame, key: str, shards: int = SHARDS, slots: int = SLOTS, slot: str = "slot", shard: str = "shard") -> DataFrame:
-    """df with the columns slot and shard; their names are parameters, for tables that have such columns."""
+    """df with the columns slot and shard; a column of df that has one of these names goes on as input_slot or input_shard."""
     places = slot_table(df.sparkSession, shards, slots).toDF("__slot", "__shard")
     out = df.withColumn("__place", slot_of(F.col(key), slots)).join(F.broadcast(places), F.col("__place") == F.col("__slot"))
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in (slot, shard)]
+    kept = [F.col(f"`{c}`").alias(f"input_{c}" if c in (slot, shard) else c) for c in df.columns]
     return out.select(*kept, F.col("__slot").alias(slot), F.col("__shard").alias(shard))
 
 
 def write_shards(df: DataFrame, key: str, path: str, shards: int = SHARDS, slots: int = SLOTS, files_per_shard: int = 8) -> None:
     """Write one folder for each shard; a salt spreads a shard over several tasks and files."""
     out = assign(df, key, shards, slots, shard="shard")
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files_per_shard))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in out.columns]), F.lit(files_per_shard))
     out.repartition(F.col("shard"), salt).write.partitionBy("shard").mode("errorifexists").parquet(path)
 
 
