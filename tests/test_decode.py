@@ -1,4 +1,5 @@
 import json
+import random
 import struct
 
 import helpers as h
@@ -113,6 +114,32 @@ def test_decode_in_spark_by_source(spark):
     assert [(r["source_name"], r["table"], r["operation"]) for r in got] == [("primary", "orders", "insert"), ("primary", "orders", "update"), ("primary", "orders", "delete"), ("second", "t", "insert")]
 
 
+@pytest.mark.parametrize("width", [1, 3, 7, 1 << 16])
+def test_ranges_decode_like_one_reader(spark, width):
+    """Relations that change, transactions over several ranges, empty and unfinished ones."""
+    rng, transactions = random.Random(width), []
+    plan = CapturePlan.of("primary", [Stream("o", "primary", ("public.orders",))])
+    for i in range(40):
+        payloads = [ORDERS, h.relation(8, "public", "other", ["id"])] if i % 9 == 0 else [h.relation(7, "public", "orders", ["id", "status"])] if i % 9 == 4 else []
+        for _ in range(rng.choice([0, 1, 2, 12])):
+            payloads.append(rng.choice([h.insert(7, f"a{i}", str(i)), h.insert(8, "x"), h.truncate(7, 8), h.update(7, ["b", ...], key=[None, "1"]), HEARTBEAT_PREFIX]))
+        transactions.append(payloads)
+    rows = h.frames(*transactions)
+    rows += [("primary", len(rows), "keepalive", 9, None, None, None, None, None, None)] + h.frames([h.insert(7, "z", "9")], start=len(rows) + 1)[:-1]
+    want, _ = read(plan, rows)
+    got = decode_frames(spark.createDataFrame(rows, FRAMES).repartition(5), plan, width).orderBy("wal_pos").collect()
+    assert [r.asDict() for r in got] == [{f: r.get(f) for f in got[0].asDict()} for r in want]
+
+
+def test_state_errors_in_spark(spark):
+    begin, commit = h.frames([])
+    lone = h.frames([ORDERS, h.insert(7, "a", "1")])[1:3]
+    later = lambda f, pos: (f[0], pos, *f[2:])
+    for rows, text in (([begin, later(begin, 5)], "inside another"), ([commit], "without a begin"), (lone, "outside of a transaction")):
+        with pytest.raises(Exception, match=text):
+            decode_frames(spark.createDataFrame(rows, FRAMES), ALL, 2).collect()
+
+
 def test_frame_source_offsets_and_acknowledgement(tmp_path):
     from tidemark.sources.frames import FrameReader, write_frames
 

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 import helpers as h
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import errors as e
 from tidemark import maintenance
 from tidemark.operators import capture, stats
-from tidemark.operators.capture import BatchLimits, SegmentLimits, batch_numbers, segment_numbers
+from tidemark.operators.capture import BatchLimits, SegmentLimits
 from tidemark.operators.log_store import ALREADY, PERSISTED, Limits, LogStore, Retention
 from tidemark.operators.validate import check_resume
 
@@ -221,19 +222,60 @@ def test_backup_and_restore(spark, tmp_path):
     assert not (tmp_path / "other").exists()
 
 
-def test_batches():
-    assert batch_numbers([1] * 5, [1] * 5, BatchLimits(2, 100, 100)) == [1, 1, 2, 2, 3]
-    assert batch_numbers([3, 3, 9, 1], [1] * 4, BatchLimits(100, 5, 100)) == [1, 2, 3, 4]
-    assert batch_numbers([1, 1, 1], [60, 50, 40], BatchLimits(100, 100, 100)) == [1, 2, 2]
-    assert batch_numbers([1, 1], [100, 1], BatchLimits(100, 100, 100)) == [1, 2]
-    assert batch_numbers([], [], BatchLimits()) == []
-
-
-def test_segments():
-    assert segment_numbers([2, 2, 2], [1] * 3, None, SegmentLimits(4, 100)) == [1, 1, 2]
-    assert segment_numbers([3, 3], [1] * 2, None, SegmentLimits(4, 100)) == [1, 2]
-    assert segment_numbers([9, 1], [1] * 2, None, SegmentLimits(4, 100)) == [1, 2]
-    assert segment_numbers([1, 1, 1], [1] * 3, [0, 5, 20], SegmentLimits(100, 100, 10)) == [1, 1, 2]
+def batch_numbers(events, sizes, limits, times=None):
+    """The batch of each transaction by the rules: it takes one at least; it ends before a limit is passed, when one is reached, and after its delay."""
+    out, batch, n, e, b, began = [], 1, 0, 0, 0, 0
+    for count, size, now in zip(events, sizes, times or [0] * len(events)):
+        if n and (n + 1 > limits.transactions or e + count > limits.events or b + size > limits.bytes or (times and now - began >= limits.delay_ms)):
+            batch, n, e, b = batch + 1, 0, 0, 0
+        began = began if n else now
+        n, e, b = n + 1, e + count, b + size
+        out.append(batch)
+        if n >= limits.transactions or e >= limits.events or b >= limits.bytes:
+            batch, n, e, b = batch + 1, 0, 0, 0
+    return out
+
+
+def folded(spark, events, sizes, limits, times=None, width=1 << 18, f=capture.batches):
+    column, order = ("event_count", "decoded_bytes", "o"), "o"
+    if f is capture.segments:
+        column = ("events", "bytes", "batch_id")
+        order = "batch_id"
+    rows = [("s", i * 3 + 5, e, b, t) for i, (e, b, t) in enumerate(zip(events, sizes, times or [0] * len(events)))]
+    df = spark.createDataFrame(rows, f"src string, {order} long, {column[0]} long, {column[1]} long, t long").repartition(3)
+    args = (df, "src", limits) if f is capture.segments else (df, "src", "o", limits)
+    got = f(*args, time="t" if times else None, width=width)
+    return [r[got.columns[-1]] for r in got.orderBy(order).collect()]
+
+
+def test_batches(spark):
+    b = lambda *a: folded(spark, *a)
+    assert b([1] * 5, [1] * 5, BatchLimits(2, 100, 100)) == [1, 1, 2, 2, 3]
+    assert b([3, 3, 9, 1], [1] * 4, BatchLimits(100, 5, 100)) == [1, 2, 3, 4]
+    assert b([1, 1, 1], [60, 50, 40], BatchLimits(100, 100, 100)) == [1, 2, 2]
+    assert b([1, 1], [100, 1], BatchLimits(100, 100, 100)) == [1, 2]
+    assert b([], [], BatchLimits()) == []
+    assert b([1] * 4, [1] * 4, BatchLimits(9, 99, 99, 10), [0, 9, 10, 25]) == [1, 1, 2, 3]
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_batches_over_ranges_equal_the_rules(spark, seed):
+    rng = random.Random(seed)
+    n = 300
+    events, sizes, times = [rng.randrange(1, 6) for _ in range(n)], [rng.randrange(50) for _ in range(n)], sorted(rng.randrange(900) for _ in range(n))
+    for limits, t in ((BatchLimits(7, 12, 90, 15), times), (BatchLimits(5, 100, 10**6, 4), times), (BatchLimits(9, 9, 60), None)):
+        want = batch_numbers(events, sizes, limits, t)
+        for width in (1, 20, 1 << 18):
+            assert folded(spark, events, sizes, limits, t, width) == want
+
+
+def test_segments(spark):
+    b = lambda *a: folded(spark, *a, f=capture.segments)
+    assert b([2, 2, 2], [1] * 3, SegmentLimits(4, 100)) == [1, 1, 2]
+    assert b([3, 3], [1] * 2, SegmentLimits(4, 100)) == [1, 2]
+    assert b([9, 1], [1] * 2, SegmentLimits(4, 100)) == [1, 2]
+    assert b([1, 1, 1], [1] * 3, SegmentLimits(100, 100, 10), [0, 5, 20]) == [1, 1, 2]
+    assert folded(spark, [1] * 50, [3] * 50, SegmentLimits(7, 100, 5), list(range(50)), 9, capture.segments) == [i // 5 + 1 for i in range(50)]
 
 
 def test_running_sums_over_many_ranges(spark):

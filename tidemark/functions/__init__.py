@@ -135,16 +135,26 @@ def compile_template(template: str) -> list[tuple[bool, str]]:
     return out + ([(False, rest)] if rest else [])
 
 
-def render_key(template: str, image: Column) -> Column:
-    """The key of a row image, or null where a field is missing, null or no scalar."""
-    fields = F.from_json(image, "map<string,string>")
-    kinds = F.try_parse_json(image)
+def parsed_object(image: Column) -> Column:
+    """The fields of a JSON object as variants by name; null where a text is no object, or null."""
+    return F.try_variant_get(F.try_parse_json(image), "$", "map<string,variant>")
+
+
+def render_parsed(template: str, fields: Column) -> Column:
+    """The key of a parsed row image, or null where a field is missing, null or no scalar."""
     parts = []
     for is_field, text in compile_template(template):
-        if is_field:
-            kind = F.schema_of_variant(F.try_variant_get(kinds, "$['" + text.replace("'", "\\'") + "']", "variant"))
-            scalar = ~(kind.startswith("OBJECT") | kind.startswith("ARRAY") | (kind == "VOID"))
-            parts.append(F.when(scalar, F.try_element_at(fields, F.lit(text))))
-        else:
+        if not is_field:
             parts.append(F.lit(text))
+            continue
+        value = F.try_element_at(fields, F.lit(text))
+        string = F.try_variant_get(value, "$", "string")
+        # Objects and arrays have texts too, which begin with their bracket; a text value may as well, so only those are looked at again.
+        nested = string.rlike("^[\\[{]") & F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)")
+        parts.append(F.when(~nested, string))
     return F.concat(*parts) if parts else F.lit("")
+
+
+def render_key(template: str, image: Column) -> Column:
+    """The key of a row image, or null where it is no object or a field is missing, null or no scalar."""
+    return render_parsed(template, parsed_object(image))

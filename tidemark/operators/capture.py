@@ -1,16 +1,18 @@
 """From filtered row changes to sequenced events: ordinals, sequences, transactions, batches, segments.
 
 Sums that run over all transactions have two levels: a range of positions in the log
-first, then the few rows that stand for the ranges. Only the greedy folds (batches,
-segments) go over one group for a source, because each step depends on the last; they
-see one row for each transaction or batch, never events.
+first, then the few rows that stand for the ranges. So have the greedy folds (batches,
+segments), though each step depends on the last: where a group ends depends only on where
+it begins, so each range tells for every entry where a chain of groups leaves it, in runs
+of entries that leave alike, and one row for each run goes to the task that chains ranges.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,15 +24,16 @@ from ..functions import marker, payload_bytes
 RANGE = 1 << 30
 
 
-def running_before(df: DataFrame, by: list[str], order: str, value: str, out: str, width: int = RANGE) -> DataFrame:
-    """The sum of value over rows that come earlier by a numeric order, within by."""
+def running_before(df: DataFrame, by: list[str], order: str, value: str, out: str, width: int = RANGE, of: Callable = F.sum) -> DataFrame:
+    """The sum (or maximum, then null before the first) of value over rows that come earlier by a numeric order, within by."""
+    none, both = (F.lit(0), lambda a, b: a + b) if of is F.sum else (F.lit(None), F.greatest)
     ranged = df.withColumn("__range", F.floor(F.col(order) / width).cast("long"))
-    totals = ranged.groupBy(*by, "__range").agg(F.sum(value).alias("__total"))
+    totals = ranged.groupBy(*by, "__range").agg(of(value).alias("__total"))
     earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*by, "__range", F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("__base"))
+    bases = totals.select(*by, "__range", F.coalesce(of("__total").over(earlier), none).alias("__base"))
     within = Window.partitionBy(*by, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = ranged.withColumn("__within", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    return summed.join(bases, [*by, "__range"]).withColumn(out, F.col("__base") + F.col("__within")).drop("__range", "__base", "__within")
+    summed = ranged.withColumn("__within", F.coalesce(of(value).over(within), none))
+    return summed.join(bases, [*by, "__range"]).withColumn(out, both(F.col("__base"), F.col("__within"))).drop("__range", "__base", "__within")
 
 
 def ordinals(changes: DataFrame, transaction: list[str], position: str = "wal_pos", out: str = "ordinal") -> DataFrame:
@@ -96,59 +99,117 @@ class SegmentLimits:
     age_ms: int = 900_000
 
 
-def batch_numbers(events: list[int], sizes: list[int], limits: BatchLimits) -> list[int]:
-    """The batch of each transaction, from 1. A batch takes at least one; it ends before a limit is passed and when one is reached."""
-    out, batch, n, e, b = [], 1, 0, 0, 0
-    for count, size in zip(events, sizes):
-        if n and (n + 1 > limits.transactions or e + count > limits.events or b + size > limits.bytes):
-            batch, n, e, b = batch + 1, 0, 0, 0
-        n, e, b = n + 1, e + count, b + size
-        out.append(batch)
-        if n >= limits.transactions or e >= limits.events or b >= limits.bytes:
-            batch, n, e, b = batch + 1, 0, 0, 0
-    return out
-
-
-def segment_numbers(events: list[int], sizes: list[int], times: list[int] | None, limits: SegmentLimits, first: int = 1) -> list[int]:
-    """The segment of each batch: a segment is sealed before it would pass a limit or is too old, and after it reaches one."""
-    out, segment, e, b, opened = [], first, 0, 0, None
-    for i, (count, size) in enumerate(zip(events, sizes)):
-        now = times[i] if times else 0
-        old = opened is not None and now - opened >= limits.age_ms
-        if e and (e + count > limits.events or b + size > limits.bytes or old):
-            segment, e, b, opened = segment + 1, 0, 0, None
-        opened = now if opened is None else opened
-        e, b = e + count, b + size
-        out.append(segment)
-        if e >= limits.events or b >= limits.bytes:
-            segment, e, b, opened = segment + 1, 0, 0, None
-    return out
-
-
-def batches(transactions: DataFrame, source: str, order: str, limits: BatchLimits) -> DataFrame:
-    """transactions (one row each, with event_count and decoded_bytes) with a batch_id for each source."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        return rows.assign(batch_id=batch_numbers(rows["event_count"].tolist(), rows["decoded_bytes"].tolist(), limits))
-
-    slim = transactions.select(source, order, F.col("event_count").cast("long"), F.col("decoded_bytes").cast("long"))
-    schema = f"{source} string, {order} long, event_count long, decoded_bytes long, batch_id long"
-    return slim.groupBy(source).applyInPandas(fold, schema)
-
-
-def batch_totals(batched: DataFrame, source: str) -> DataFrame:
-    return batched.groupBy(source, "batch_id").agg(
-        F.count(F.lit(1)).alias("transactions"), F.sum("event_count").alias("events"), F.sum("decoded_bytes").alias("bytes")
-    )
+#: Rows of one range of a fold, at least as many as a group can have.
+FOLD = 1 << 18
+
+
+def _passed(sizes: np.ndarray, limit: int) -> np.ndarray:
+    """For a group that begins at each row: the first later row that would take it over a limit, or that comes when it is reached."""
+    upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    over, full = np.searchsorted(upto, upto[:-1] + limit, "right") - 1, np.searchsorted(upto, upto[:-1] + limit, "left")
+    return np.maximum(np.minimum(over, full), np.arange(1, len(upto)))
+
+
+def _aged(times: np.ndarray, limit: int) -> np.ndarray:
+    """The first later row that comes when a group is as old as the limit. Times do not fall; one that does counts as the last."""
+    times = np.maximum.accumulate(times)
+    return np.maximum(np.searchsorted(times, times + limit, "left"), np.arange(1, len(times) + 1))
+
+
+def batch_ends(rows: pd.DataFrame, limits: BatchLimits) -> np.ndarray:
+    """Where a batch that begins at each row ends: one row at least, before a limit is passed, when one is reached, and after its delay."""
+    ends = [_passed(np.ones(len(rows), np.int64), limits.transactions), _passed(rows["events"].to_numpy(), limits.events), _passed(rows["bytes"].to_numpy(), limits.bytes)]
+    return np.minimum.reduce([*ends, _aged(rows["time"].to_numpy(), limits.delay_ms)])
+
+
+def segment_ends(rows: pd.DataFrame, limits: SegmentLimits) -> np.ndarray:
+    """Where a segment that begins at each batch is sealed: before it would pass a limit, after it reaches one, and before it is too old."""
+    ends = [_passed(rows["events"].to_numpy(), limits.events), _passed(rows["bytes"].to_numpy(), limits.bytes)]
+    return np.minimum.reduce([*ends, _aged(rows["time"].to_numpy(), limits.age_ms)])
+
+
+def _chains(ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the first n rows: where a chain of groups that begins there leaves them, and how many groups it has."""
+    leaves, groups = np.empty(n, np.int64), np.empty(n, np.int64)
+    for i in range(n - 1, -1, -1):
+        e = ends[i]
+        leaves[i], groups[i] = (e, 1) if e >= n else (leaves[e], groups[e] + 1)
+    return leaves, groups
+
+
+def greedy(rows: DataFrame, source: str, order: str, ends: Callable[[pd.DataFrame], np.ndarray], reach: int, out: str, width: int = FOLD) -> DataFrame:
+    """rows (source, order, events, bytes, time) with the number of their group, from 1: ends() tells where groups end that begin anywhere.
+
+    reach: rows that a group can have at most. A range sees so many rows after its own.
+    """
+    width = max(width, reach)
+    numbered = running_before(rows.withColumn("__one", F.lit(1)), [source], order, "__one", "__i").withColumn("__r", F.expr(f"__i div {width}")).drop("__one")
+    # The first rows of a range also end the one before.
+    seen = numbered.withColumn("__for", F.explode(F.expr(f"if(__r > 0 and __i % {width} < {reach}, array(__r, __r - 1), array(__r))")))
+
+    def tell(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("__i", kind="stable")
+        n = int((part["__r"] == part["__for"]).sum())
+        leaves, groups = _chains(ends(part), n)
+        new = np.ones(n, bool)
+        new[1:] = (leaves[1:] != leaves[:-1]) | (groups[1:] != groups[:-1])
+        at = np.flatnonzero(new)
+        base = int(part["__i"].iloc[0])
+        return pd.DataFrame({source: part[source].iloc[0], "__r": part["__for"].iloc[0], "entry": base + at, "until": base + np.append(at[1:], n), "leaves": base + leaves[at], "groups": groups[at]})
+
+    def chain(runs: pd.DataFrame) -> pd.DataFrame:
+        runs = runs.sort_values("entry", kind="stable")
+        entry, until, leaves, groups, r = (runs[c].to_numpy() for c in ("entry", "until", "leaves", "groups", "__r"))
+        at, number, got = 0, 1, []
+        while (k := int(np.searchsorted(entry, at, "right")) - 1) < len(entry) and at < until[k]:
+            got.append((runs[source].iloc[0], int(r[k]), at, number))
+            at, number = int(leaves[k]), number + int(groups[k])
+        return pd.DataFrame(got, columns=[source, "__r", "entry", "number"])
+
+    def number(key: tuple, part: pd.DataFrame, begins: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("__i", kind="stable").reset_index(drop=True)
+        own, base = part[part["__r"] == part["__for"]], int(part["__i"].iloc[0])
+        stop, of = ends(part), np.zeros(len(part), np.int64)
+        # Rows before the range's entry belong to the last group of an earlier one.
+        at, group = (int(begins["entry"].iloc[0]) - base, int(begins["number"].iloc[0])) if len(begins) else (len(part), 0)
+        while at < len(own):
+            of[at : stop[at]] = group
+            at, group = int(stop[at]), group + 1
+        # What reaches over the end is told by this range, too.
+        return part.assign(**{out: of})[lambda x: x[out] > 0][[source, order, out]]
+
+    keys = f"{source} string, __r long"
+    told = seen.groupBy(source, "__for").applyInPandas(tell, f"{keys}, entry long, until long, leaves long, groups long")
+    begins = told.groupBy(source).applyInPandas(chain, f"{keys}, entry long, number long").withColumnRenamed("__r", "__for")
+    found = seen.groupBy(source, "__for").cogroup(begins.groupBy(source, "__for")).applyInPandas(number, f"{source} string, {order} long, {out} long")
+    return numbered.drop("__i", "__r").join(found, [source, order])
+
+
+def batches(transactions: DataFrame, source: str, order: str, limits: BatchLimits, time: str | None = None, width: int = FOLD) -> DataFrame:
+    """transactions (one row each, with event_count and decoded_bytes, unique in order) with a batch_id for each source.
+
+    time: a column of milliseconds in which they came; without it no batch waits, and delay_ms ends none.
+    """
+    rows = transactions.select(source, order, F.col("event_count").cast("long").alias("events"), F.col("decoded_bytes").cast("long").alias("bytes"), _time(time))
+    found = greedy(rows, source, order, lambda part: batch_ends(part, limits), limits.transactions, "batch_id", width)
+    return found.select(source, order, F.col("events").alias("event_count"), F.col("bytes").alias("decoded_bytes"), *([F.col("time").alias(time)] if time else []), "batch_id")
 
 
-def segments(totals: DataFrame, source: str, limits: SegmentLimits) -> DataFrame:
-    """Batches (batch_id, events, bytes) with the segment that each goes to."""
+def _time(column: str | None) -> Column:
+    return (F.lit(0).cast("long") if column is None else F.col(column).cast("long")).alias("time")
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("batch_id", kind="stable")
-        return rows.assign(segment_id=segment_numbers(rows["events"].tolist(), rows["bytes"].tolist(), None, limits))
 
-    slim = totals.select(source, "batch_id", F.col("events").cast("long"), F.col("bytes").cast("long"))
-    return slim.groupBy(source).applyInPandas(fold, f"{source} string, batch_id long, events long, bytes long, segment_id long")
+def batch_totals(batched: DataFrame, source: str, time: str | None = None) -> DataFrame:
+    """What each batch holds; with a time column, when its last transaction came."""
+    last = [F.max(time).alias(time)] if time else []
+    return batched.groupBy(source, "batch_id").agg(F.count(F.lit(1)).alias("transactions"), F.sum("event_count").alias("events"), F.sum("decoded_bytes").alias("bytes"), *last)
+
+
+def segments(totals: DataFrame, source: str, limits: SegmentLimits, time: str | None = None, width: int = FOLD) -> DataFrame:
+    """Batches (batch_id, events, bytes; one event at least) with the segment that each goes to.
+
+    time: a column of milliseconds in which they are written; without it no segment is too old.
+    """
+    rows = totals.select(source, "batch_id", F.col("events").cast("long"), F.col("bytes").cast("long"), _time(time))
+    found = greedy(rows, source, "batch_id", lambda part: segment_ends(part, limits), limits.events, "segment_id", width)
+    return found.select(source, "batch_id", "events", "bytes", *([F.col("time").alias(time)] if time else []), "segment_id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import LATENCY_BOUNDS, divide, saturating_sub
+from .capture import RANGE, running_before
 
 
 def segment_statistics(events: DataFrame) -> DataFrame:
@@ -108,13 +109,15 @@ def latency_samples(delivered: DataFrame, commit_ms: str, now_ms: str) -> DataFr
 
 
 def quantiles(values: DataFrame, column: str, by: list[str]) -> DataFrame:
-    """Exact p50, p95, p99 and the maximum."""
-    p = lambda q: F.percentile(column, F.lit(q))
-    return values.groupBy(*by).agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.max(column).alias("max"))
+    """Exact p50, p95, p99 and the maximum. Equal values are counted first, so that a hot group sends each once."""
+    counted = values.groupBy(*by, column).agg(F.count(F.lit(1)).alias("__n"))
+    p = lambda q: F.percentile(column, F.lit(q), F.col("__n"))
+    return counted.groupBy(*by).agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.max(column).alias("max"))
 
 
-def redeliveries(delivered: DataFrame, consumer: str, order: str) -> DataFrame:
-    """Per consumer: new events and those at or below a sequence delivered before."""
-    before = F.max("sequence").over(Window.partitionBy(consumer).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    marked = delivered.withColumn("__again", F.coalesce(F.col("sequence") <= before, F.lit(False)))
-    return marked.groupBy(consumer).agg(F.count_if(~F.col("__again")).alias("new_events"), F.count_if("__again").alias("redelivered"))
+def redeliveries(delivered: DataFrame, consumer: str, order: str, width: int = RANGE) -> DataFrame:
+    """Per consumer: new events and those at or below a sequence delivered before. The running maximum has two levels."""
+    marked = running_before(delivered, [consumer], order, "sequence", "__before", width, F.max)
+    return marked.withColumn("__again", F.coalesce(F.col("sequence") <= F.col("__before"), F.lit(False))).groupBy(consumer).agg(
+        F.count_if(~F.col("__again")).alias("new_events"), F.count_if("__again").alias("redelivered")
+    )

@@ -2,9 +2,10 @@
 
 A frame's payload is a tagged message: relations (R), which later rows refer to by number,
 inserts, updates, deletes and truncates; origins (O) and types (Y) are passed over. Rows
-between a begin and a commit frame are one transaction. Decoding depends on all earlier
-relations of a source, so a source's frames are folded in order: in a batch by one group
-for each source, in a stream with the cache and the open transaction as state.
+between a begin and a commit frame are one transaction. Decoding a row depends on its
+transaction and on the relations before it, and on nothing else: in a batch, ranges of
+positions are decoded side by side, each with the relations known where it begins and with
+its transactions whole; in a stream the relations and the open transaction are state.
 """
 
 from __future__ import annotations
@@ -17,11 +18,14 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import lsn
 from ..errors import DecodeError, StreamStateError
 from ..functions import EPOCH_2000_MS
 from ..model import CAPTURED
+from ..operators.capture import running_before
 from ..plans import CapturePlan
 
 FRAMES = "source_name string, pos long, event string, wal_start long, payload binary, xid long, final_lsn long, end_lsn long, commit_micros long, prefix string"
@@ -228,16 +232,49 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
     return out
 
 
-def decode_frames(frames: DataFrame, plan: CapturePlan) -> DataFrame:
-    """Frames of whole sources to captured rows; an unfinished transaction stays out."""
+#: Positions of a range that is decoded by one task.
+WIDTH = 1 << 16
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        reader, out = TransactionReader(rows["source_name"].iloc[0], plan), []
-        for frame in rows.sort_values("pos").to_dict("records"):
-            out += reader.feed(frame)
+
+def _grouped(frames: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Frames with the range in which their transaction begins (__g), and for each range the relations known in it.
+
+    Only begins and commits are numbered, by two-level sums; frames that come into a range within a transaction go back to its first range.
+    """
+    marks = frames.filter("event in ('begin', 'commit')").select("source_name", "pos", "event", F.expr("if(event = 'begin', 4294967296L, 1L)").alias("__code"))
+    marks = running_before(marks, ["source_name"], "pos", "__code", "__before", width)
+    begins, commits, wrong = F.expr("shiftright(__before, 32)"), F.expr("__before & 4294967295L"), lambda text: F.raise_error(F.lit(text)).cast("long")
+    number = F.when(F.col("event") == "begin", F.when(begins == commits, begins).otherwise(wrong("a transaction begins inside another")))
+    marks = marks.withColumn("n", number.otherwise(F.when(begins == commits + 1, commits).otherwise(wrong("a commit comes without a begin"))))
+    spans = marks.groupBy("source_name", "n").agg(F.min(F.expr("if(event = 'begin', pos, null)")).alias("begin"), F.max(F.expr("if(event = 'commit', pos, null)")).alias("commit"))
+    last = frames.groupBy("source_name").agg(F.max("pos").alias("last"))
+    spans = spans.join(last, "source_name").select("source_name", F.expr(f"begin div {width}").alias("__from"), F.coalesce("commit", "last").alias("__until"))
+    # One row for each range that begins within a transaction.
+    inside = spans.filter(f"__until div {width} > __from").withColumn("__r", F.explode(F.expr(f"sequence(__from + 1, __until div {width})")))
+    placed = frames.withColumn("__r", F.expr(f"pos div {width}")).join(inside, ["source_name", "__r"], "left").withColumn("__g", F.expr("if(pos <= __until, __from, __r)"))
+    known = frames.filter("event = 'data' and substring(payload, 1, 1) = X'52'").select("source_name", "pos", "payload", F.hex(F.substring("payload", 2, 4)).alias("id"))
+    known = known.withColumn("next", F.lead("pos").over(Window.partitionBy("source_name", "id").orderBy("pos"))).join(last, "source_name")
+    known = known.withColumn("__g", F.explode(F.expr(f"sequence(pos div {width}, coalesce(next, last) div {width})"))).select(*[F.col(c).alias(c) for c in ("source_name", "__g", "pos", "payload")])  # names of their own
+    return placed.select("__g", *frames.columns), known
+
+
+def decode_frames(frames: DataFrame, plan: CapturePlan, width: int = WIDTH) -> DataFrame:
+    """Frames of whole sources to captured rows; an unfinished transaction stays out. A transaction is decoded by one task."""
+
+    def fold(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        out: list[dict] = []
+        if len(rows):
+            reader = TransactionReader(rows["source_name"].iloc[0], plan)
+            relations, at = sorted(zip(known["pos"].tolist(), known["payload"].tolist())), 0
+            for frame in rows.sort_values("pos").to_dict("records"):
+                while at < len(relations) and relations[at][0] < frame["pos"]:
+                    reader.decoder.decode(bytes(relations[at][1]))
+                    at += 1
+                out += reader.feed(frame)
         return _frame(out)
 
-    return frames.groupBy("source_name").applyInPandas(fold, CAPTURED)
+    placed, known = _grouped(frames, width)
+    return placed.groupBy("source_name", "__g").cogroup(known.groupBy("source_name", "__g")).applyInPandas(fold, CAPTURED)
 
 
 def decode_stream(frames: DataFrame, plan: CapturePlan) -> DataFrame:
