@@ -152,5 +152,9 @@ def test_frame_source_offsets_and_acknowledgement(tmp_path):
     write_frames(path, "b", rows[4:])
     more = [x[1] for p in reader.partitions(end, reader.latestOffset()) for x in reader.read(p)]
     assert more == [4, 5, 6]
+    paced = FrameReader(path, 3)
+    assert paced.latestOffset() == {"next": 4}  # a file at least
+    assert len(paced.partitions({"next": 0}, {"next": 4})) == 1 and paced.latestOffset() == {"next": 7} == FrameReader(path, 3).latestOffset()
+    write_frames(path, "none", [])
     reader.commit(end)
     assert (tmp_path / "f" / "acknowledged").read_text() == "4"

@@ -12,7 +12,7 @@ from . import config as configuration
 from . import maintenance
 from .errors import TidemarkError
 from .functions import human_bytes, shorten
-from .metrics import Metrics, directory_size
+from .metrics import Metrics
 from .operators.capture import SegmentLimits
 from .operators.log_store import Limits, LogStore, Retention
 from .streaming import capture as capturing
@@ -79,7 +79,7 @@ def inspect(spark, c, args) -> None:
         print(row["line"])
         return
     state = store.state()
-    sizes = spark.createDataFrame([(directory_size(store.path),)], "n long")
+    sizes = spark.createDataFrame([(store.files.size(store.path),)], "n long")
     print(store.stats(), "size", sizes.select(human_bytes(F.col("n"))).first()[0])
     print("sources", state.source_offsets)
     for key, at in sorted(state.consumer_offsets.items()):

@@ -37,6 +37,10 @@ class DuplicateMarker(DataSafetyError):
     pass
 
 
+class DuplicateEvent(DataSafetyError):
+    pass
+
+
 class PartiallyPersisted(DataSafetyError):
     def __init__(self, duplicates: int, events: int):
         super().__init__(f"{duplicates} of {events} events are already in the log")

@@ -9,9 +9,12 @@ from dataclasses import dataclass, field
 from enum import Enum
 
 import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import LATENCY_BOUNDS
-from .operators.log_store import LogStore, directory_size
+from .operators.log_store import LogStore
 
 PREFIX = "tidemark"
 
@@ -25,8 +28,15 @@ class RuntimeState(Enum):
     FAILED = "failed"
 
 
-def storage_ready(sampled: bool, healthy: bool, used: int, limit: int, free: int, reserve: int) -> bool:
-    return sampled and healthy and used < limit and free > reserve
+def storage_ready(sampled, healthy, used, limit, free, reserve):
+    """Of numbers or of columns."""
+    return sampled & healthy & (used < limit) & (free > reserve)
+
+
+def readiness(samples: DataFrame, lane: str, order: str, healthy: str, used: Column, limit: Column, free: Column, reserve: Column) -> DataFrame:
+    """storage_ready() for samples of storage: within a lane, one unhealthy sample makes all later ones not ready."""
+    so_far = F.min(F.col(healthy).cast("int")).over(Window.partitionBy(lane).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) == 1
+    return samples.withColumn("__healthy", so_far).withColumn("ready", storage_ready(F.lit(True), F.col("__healthy"), used, limit, free, reserve)).drop("__healthy")
 
 
 @dataclass
@@ -60,7 +70,7 @@ class Metrics:
         lags = {k: max(0, s.high_watermark - v) for k, v in s.consumer_offsets.items()}
         durable = max((lsn.position(v) or 0 for v in s.source_offsets.values()), default=0)
         return {
-            "storage_bytes": directory_size(store.path), "retained_events": sum(x.event_count for x in s.segments), "segments": len(s.segments),
+            "storage_bytes": store.files.size(store.path), "retained_events": sum(x.event_count for x in s.segments), "segments": len(s.segments),
             "first_sequence": s.first_sequence or 0, "high_watermark": s.high_watermark, "retained_span": max(0, s.high_watermark - (s.first_sequence or 0) + (s.high_watermark > 0)),
             "retention_floor": s.retention_floor, "consumers": len(lags), "max_consumer_lag": max(lags.values(), default=0), "durable_position": durable,
             "wal_lag_bytes": max(0, (wal_end or durable) - durable),

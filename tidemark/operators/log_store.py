@@ -6,14 +6,15 @@ the files, offsets and marks that it adds, so that events, replay markers and th
 source's position become visible together or not at all. Readers fold the records, from
 the last snapshot on, and read only the files these name; files of an interrupted write
 are never seen, and vacuum() removes them. Events stay on the executors throughout: the
-driver handles a row for each commit or segment.
+driver handles a row for each commit or segment. The path may be in any store that Spark
+reads (see files.py). Rows of a commit are written by ranges of their sequence, so that
+each file holds a range of its own and its statistics tell readers which.
 """
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
+import threading
 import time
 import uuid
 from collections.abc import Callable
@@ -24,14 +25,19 @@ from pyspark.sql import functions as F
 
 from .. import lsn
 from ..errors import (
-    ByteLimitExceeded, DuplicateMarker, DuplicateSequence, EventLimitExceeded, IdentityMismatch, IntegrityError, PartiallyPersisted, ResourceLimit,
+    ByteLimitExceeded, DuplicateEvent, DuplicateMarker, DuplicateSequence, EventLimitExceeded, IdentityMismatch, IntegrityError, PartiallyPersisted, ResourceLimit,
     SequenceExpired, TidemarkError, UnsupportedFormat,
 )
+from ..files import Files, files_of
 from ..functions import marker, parse_lsn, payload_bytes, source_event_id
-from ..model import STORED
+from ..model import CAPTURED, STORED
 from . import capture, replay, validate
 
 FORMAT = 2
+#: What a file of events holds at most, about.
+FILE_BYTES, FILE_EVENTS = 128 << 20, 1 << 20
+#: Room that a batch needs beside its bytes.
+HEADROOM = 16 << 20
 SNAPSHOT_EVERY = 20
 MARKERS = "marker string, segment_id long"
 
@@ -80,6 +86,7 @@ class Limits:
     storage_bytes: int = 100 << 30
     reserve_bytes: int = 1 << 30
     consumers: int = 10_000
+    headroom_bytes: int = HEADROOM
 
 
 @dataclass(frozen=True)
@@ -104,8 +111,11 @@ class LogStore:
         self.spark, self.path, self.database, self.slot, self.limits = spark, path, database, slot, limits
         self.now_ms = clock or (lambda: int(time.time() * 1000))
         self._cached = State()
-        os.makedirs(f"{path}/_commits", exist_ok=True)
-        os.makedirs(f"{path}/data", exist_ok=True)
+        self.files: Files = files_of(spark, path)
+        self.files.make(f"{path}/_commits")
+        self.files.make(f"{path}/data")
+        #: Woken by every commit of this process; other processes are seen by looking again.
+        self.committed = threading.Condition()
         if self.state().version < 0:
             self._commit(lambda s: replace(s, segments=(Segment(1, self.now_ms()),)))
 
@@ -118,11 +128,11 @@ class LogStore:
         """The latest state; only records after the one known are read."""
         s = self._cached
         if s.version < 0:
-            known = sorted(f for f in os.listdir(f"{self.path}/_commits") if f.endswith(".snapshot"))
+            known = sorted(f for f in self.files.names(f"{self.path}/_commits") if f.endswith(".snapshot"))
             if known:
-                s = _load(open(f"{self.path}/_commits/{known[-1]}").read())
-        while os.path.exists(self._file(s.version + 1)):
-            s = _load(open(self._file(s.version + 1)).read(), s)
+                s = _load(self.files.read(f"{self.path}/_commits/{known[-1]}"))
+        while self.files.exists(self._file(s.version + 1)):
+            s = _load(self.files.read(self._file(s.version + 1)), s)
         self._cached = s
         return s
 
@@ -131,25 +141,13 @@ class LogStore:
         for _ in range(attempts):
             old = self.state()
             new = replace(change(old), version=old.version + 1)
-            tmp = f"{self.path}/_commits/.{uuid.uuid4().hex}"
-            with open(tmp, "w") as f:
-                f.write(_dump(new, old))
-                f.flush()
-                os.fsync(f.fileno())
-            try:
-                os.link(tmp, self._file(new.version))
-            except FileExistsError:
+            if not self.files.publish(self._file(new.version), _dump(new, old)):
                 continue
-            finally:
-                os.unlink(tmp)
-            fd = os.open(f"{self.path}/_commits", os.O_RDONLY)
-            os.fsync(fd)
-            os.close(fd)
             self._cached = new
             if new.version % SNAPSHOT_EVERY == SNAPSHOT_EVERY - 1:
-                with open(tmp, "w") as f:
-                    f.write(_dump(new, None))
-                os.replace(tmp, f"{self._file(new.version)[:-5]}.snapshot")
+                self.files.write(f"{self._file(new.version)[:-5]}.snapshot", _dump(new, None))
+            with self.committed:
+                self.committed.notify_all()
             return new
         raise TidemarkError("other writers keep publishing")
 
@@ -233,6 +231,23 @@ class LogStore:
         finally:
             rows.unpersist()
 
+    def append_event(self, row: dict, source_name: str) -> int:
+        """One captured event as a transaction of its own; its id must be new to all segments. Returns its sequence."""
+        state = self.state()
+        one = self.spark.createDataFrame([tuple({**row, "source_name": source_name}.get(f) for f in CAPTURED.names)], CAPTURED)
+        own = source_event_id(F.lit(self.database), F.lit(self.slot), F.col("xid"), F.col("wal_start"), F.lit(1))
+        if not self.log(0, state).select("event_id").join(F.broadcast(one.select(own.alias("event_id"))), "event_id", "left_semi").isEmpty():  # one row
+            raise DuplicateEvent("an event with this id is in the log")
+        self.persist(one, source_name)
+        return self.state().high_watermark
+
+    def wait(self, after: int, seconds: float) -> bool:
+        """Whether there are events after a sequence, at once or within some seconds: a commit of this process wakes it."""
+        with self.committed:
+            if self.state().high_watermark <= after:
+                self.committed.wait(seconds)
+        return self.state().high_watermark > after
+
     def _write(self, events: DataFrame, source_name: str, end_lsn: str, before_commit: Callable[[], None] | None) -> str:
         per = events.groupBy("end_lsn").agg(F.count(F.lit(1)).alias("n"), F.sum("payload_bytes").alias("b"))
         top = per.agg(F.max("n").alias("n"), F.max("b").alias("b"), F.sum("n").alias("all_n"), F.sum("b").alias("all_b"), F.count(F.lit(1)).alias("t")).first()
@@ -255,7 +270,8 @@ class LogStore:
             F.struct(F.col("xid").alias("transaction_id"), F.lit(None).cast("string").alias("begin_lsn"), "commit_lsn").alias("transaction"),
             "schema", "table", "operation", "key", "before", "after", "commit_timestamp_ms", "end_lsn", "payload_bytes",
         )
-        out.sortWithinPartitions("sequence").write.parquet(f"{self.path}/data/{folder}/events")
+        parts = max(1, -(-top["all_b"] // FILE_BYTES), -(-top["all_n"] // FILE_EVENTS))
+        out.repartitionByRange(parts, "sequence").sortWithinPartitions("sequence").write.parquet(f"{self.path}/data/{folder}/events")
         events.select("marker").distinct().withColumn("segment_id", F.lit(active.id).cast("long")).write.parquet(f"{self.path}/data/{folder}/markers")
         got = self.spark.read.schema(STORED).parquet(f"{self.path}/data/{folder}/events").agg(
             F.count(F.lit(1)).alias("n"), F.sum("payload_bytes").alias("b"), F.min("sequence").alias("lo"), F.max("sequence").alias("hi"),
@@ -287,8 +303,8 @@ class LogStore:
         return PERSISTED
 
     def _capacity(self, needed: int) -> None:
-        used, free = directory_size(self.path), shutil.disk_usage(self.path).free
-        if used + needed > self.limits.storage_bytes or free < self.limits.reserve_bytes + needed:
+        used, free = self.files.size(self.path), self.files.free(self.path)
+        if used + needed + self.limits.headroom_bytes > self.limits.storage_bytes or free < self.limits.reserve_bytes + needed + self.limits.headroom_bytes:
             raise ResourceLimit("the log has no room for this batch")
 
     def _rotated(self, s: State, events: int, size: int) -> State:
@@ -362,13 +378,13 @@ class LogStore:
         """Remove what no commit names: pruned segments and interrupted writes. Call it from the writer."""
         known = {f.rsplit("/", 1)[0] for s in self.state().segments for f in s.files}
         out = []
-        for segment in sorted(os.listdir(f"{self.path}/data")):
-            for part in sorted(os.listdir(f"{self.path}/data/{segment}")):
+        for segment in self.files.names(f"{self.path}/data"):
+            for part in self.files.names(f"{self.path}/data/{segment}"):
                 if f"{segment}/{part}" not in known:
-                    shutil.rmtree(f"{self.path}/data/{segment}/{part}")
+                    self.files.delete(f"{self.path}/data/{segment}/{part}")
                     out.append(f"{segment}/{part}")
-            if not os.listdir(f"{self.path}/data/{segment}"):
-                os.rmdir(f"{self.path}/data/{segment}")
+            if not self.files.names(f"{self.path}/data/{segment}"):
+                self.files.delete(f"{self.path}/data/{segment}")
         return out
 
     def violations(self) -> DataFrame:
@@ -391,10 +407,6 @@ class LogStore:
         return {**self.stats(), "first_sequence": state.first_sequence, "high_watermark": state.high_watermark, "events": ids["n"], "markers": markers["n"]}
 
 
-def directory_size(path: str) -> int:
-    return sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(path) for f in names if os.path.exists(f"{d}/{f}"))
-
-
 def _dump(new: State, old: State | None) -> str:
     """A record: what differs from the last state, segments by id; without one, all."""
     out = asdict(new)

@@ -42,6 +42,11 @@ def recent(log: DataFrame, n: int, last: int, floor: int = 0) -> DataFrame:
     return log.filter(F.col("sequence").between(first, last)).orderBy("sequence")
 
 
+def latest(log: DataFrame, n: int) -> DataFrame:
+    """The last n events of a log whose end is not known, ascending: a top-k of one pass."""
+    return log.orderBy(F.desc("sequence")).limit(n).orderBy("sequence")
+
+
 def lookup(log: DataFrame, sequence: int) -> DataFrame:
     return log.filter(F.col("sequence") == sequence)
 

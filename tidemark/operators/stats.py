@@ -35,7 +35,7 @@ def store_stats(segments: DataFrame, markers: DataFrame, source_offsets: DataFra
 
 
 def retention_candidates(
-    segments: DataFrame, max_events: int | None = None, max_bytes: int | None = None, max_age_ms: int | None = None, now_ms: int = 0, delete_batch: int | None = None
+    segments: DataFrame, max_events: int | None = None, max_bytes: int | None = None, max_age_ms: int | None = None, now_ms: int | Column = 0, delete_batch: int | None = None
 ) -> DataFrame:
     """The oldest sealed segments that a limit condemns, up to the first that none does.
 

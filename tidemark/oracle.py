@@ -54,6 +54,30 @@ seg as (
          case when s.full or s.e + t.events > 500 or s.b + t.bytes > 60000 then t.bytes else s.b + t.bytes end
   from (select *, e >= 500 or b >= 60000 as full from seg) s join totals t on t.batch_id = s.batch_id + 1
 )"""
+
+
+def _fold(rows: str, first: str, limits: list[tuple[str, str, int]], age: int, out: str) -> str:
+    """A recursive walk over rows (k from 1, time, ...): groups end before a limit is passed, when one is reached, and when they are old."""
+    sums = [f"s{i}" for i in range(len(limits))]
+    stop = "f.done or " + " or ".join(f"f.{s} + {value} > {limit}" for s, (_, value, limit) in zip(sums, limits)) + f" or t.time - f.began >= {age}"
+    done = lambda at: " or ".join(f"{s} >= {limit}" for s, (_, _, limit) in zip(sums, limits))
+    start = ", ".join(f"{value} as {s}" for s, (_, value, _) in zip(sums, limits)).replace("t.", "")
+    step = ", ".join(f"case when {stop} then {value} else f.{s} + {value} end as {s}" for s, (_, value, _) in zip(sums, limits))
+    return f"""
+{out} as (
+  select k, 1 as g, time as began, {start} from {rows} where k = 1
+  union all
+  select t.k, f.g + cast({stop} as integer), case when {stop} then t.time else f.began end, {step}
+  from (select *, {done("f")} as done from {out}) f join {rows} t on t.k = f.k + 1
+)"""
+
+
+_TIMED = f"""
+timed as (
+  select end_lsn_num, count(*) as events, cast(sum(payload_bytes) as bigint) as bytes, min(commit_timestamp_ms) as time, row_number() over (order by end_lsn_num) as k from kept group by end_lsn_num
+), {_fold("timed", "", [("n", "1", 10), ("e", "t.events", 40), ("b", "t.bytes", 4000)], 3 * 3_600_000, "late")}, parts as (
+  select g as k, cast(sum(t.events) as bigint) as events, cast(sum(t.bytes) as bigint) as bytes, max(t.time) as time from late join timed t on t.k = late.k group by g
+), {_fold("parts", "", [("e", "t.events", 500), ("b", "t.bytes", 60000)], 36 * 3_600_000, "old")}"""
 #: Mutations by rule, spelt out for the two rules of the queries.
 _MUTATIONS = """
 mut as (
@@ -125,6 +149,8 @@ def oracle_sql() -> dict[str, str]:
               select end_lsn, count(*) as n, count(*) filter (wal_pos % 10 < 4) as e, bool_or('tx-v1:7:primary:' || end_lsn in (select marker from markers)) as m from numbered group by end_lsn))""",
         "event_id_exists": _L + "select event_id, wal_pos from numbered n where exists (select 1 from numbered m where m.event_id = n.event_id and m.wal_pos % 17 = 0)",
         "group_commit_batches": _B + "select end_lsn_num, cast(batch_id as bigint) as batch_id from fold",
+        "group_commit_batches_delayed": f"with recursive {_CHANGES}, {_LOG}, {_TIMED} select t.end_lsn_num, cast(g as bigint) as batch_id from late join timed t on t.k = late.k",
+        "segment_assignment_aged": f"with recursive {_CHANGES}, {_LOG}, {_TIMED} select t.k as batch_id, t.events, t.bytes, cast(g as bigint) as segment_id from old join parts t on t.k = old.k",
         "batch_totals": _B + "select cast(batch_id as bigint) as batch_id, transactions, events, bytes from totals",
         "segment_assignment": _S + "select cast(batch_id as bigint) as batch_id, events, bytes, cast(segment_id as bigint) as segment_id from seg",
         "segment_statistics": _L + "select * from catalog",
@@ -147,7 +173,7 @@ def oracle_sql() -> dict[str, str]:
             select segment_id, 'duplicate id' as violation from e where n > 1 union select segment_id, 'overlap' from e where first_sequence <= p union select segment_id, 'unsealed before the last' from e where not sealed and segment_id < newest""",
         "source_offsets": _L + "select 'primary' as source_name, arg_max(end_lsn, end_lsn_num) as durable_lsn from tx",
         "ack_monotone_offsets": _L + "select consumer, sequence from acks",
-        "consumer_lag": _L + "select consumer, sequence, (select max(sequence) from log) - sequence as lag from (select consumer, max(sequence) as sequence from deliveries where sequence <= 900 group by consumer)",
+        "consumer_lag": _L + "select consumer, sequence, (select max(sequence) from log) - sequence as lag from (select consumer, max(sequence) as sequence from deliveries where sequence % 5 <> 0 and sequence % 7 <> 0 group by consumer)",
         "wal_lag": _L + "select w as wal_end, d as durable, greatest(w - d, 0) as lag, greatest(d - w, 0) as floor from (select max(end_lsn_num) as w, max(end_lsn_num) filter (end_lsn_num % 3 = 0) as d from tx)",
         "cache_invalidate_keys": _M + "select sequence, pos, kind, key from mut where rule_index = 1",
         "cache_upsert_mutations": _M + "select * replace (coalesce(ttl_seconds, 0) as ttl_seconds) from mut",
@@ -157,7 +183,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_event_join": _C + "select stream, count(*) as events from changes, (values ('people', 'users'), ('both', 'users'), ('both', 'orders'), ('all', 'users'), ('all', 'orders'), ('all', 'clicks')) s(stream, t) where t = table_name group by stream",
         "toast_incomplete_events": _L + "select sequence, event_id from log where sequence % 11 = 0",
         "key_template_render": _L + "select sequence, 'tenant:' || json_extract_string(after_json, '$.status') || ':row:' || json_extract_string(after_json, '$.id') as cache_key, cast(null as varchar) as no_key from log",
-        "tuple_json_render": "select c_custkey, '{\"blob\":{\"__binary_hex\":\"' || lower(hex(c_name)) || '\"},\"id\":\"' || c_custkey || '\",\"note\":null}' as image from customer",
+        "tuple_json_render": "select c_custkey, '{\"blob\":{\"__binary_hex\":\"' || lower(hex(c_name)) || '\"},\"id\":\"' || c_custkey || '\",\"note\":null,\"old\":{\"__unchanged_toast\":true}}' as image from customer",
         "required_tables": _N + "select * from required",
         "required_tables_missing": _N + "select * from required except select schema_name, table_name from published",
         "restricted_tables": _N + "select * from required intersect select schema_name, table_name from published where has_row_filter or has_column_filter",

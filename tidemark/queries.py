@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import functions as X
+from . import metrics
 from .operators import cache, capture, replay, stats, validate
 from .plans import CapturePlan, Stream
 from .sources import derived
@@ -17,7 +18,9 @@ PLAN = CapturePlan.of(derived.SOURCE_NAME, [Stream("people", derived.SOURCE_NAME
 USERS, EVERYTHING = Stream("people", derived.SOURCE_NAME, ("public.users",)), Stream("all", derived.SOURCE_NAME, ("public.*",))
 BATCH = capture.BatchLimits(transactions=10, events=40, bytes=4000)
 SEGMENT = capture.SegmentLimits(events=500, bytes=60_000)
-RANGE = 1 << 18
+#: Batches that also wait no longer than three hours of the tables' time, and segments that are at most a day and a half old.
+DELAYED, AGED = capture.BatchLimits(transactions=10, events=40, bytes=4000, delay_ms=3 * 3_600_000), capture.SegmentLimits(events=500, bytes=60_000, age_ms=36 * 3_600_000)
+RANGE, FOLD = 1 << 18, 1 << 10
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -50,11 +53,20 @@ def transactions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def batched(spark: SparkSession, d: str) -> DataFrame:
-    return capture.batches(transactions(spark, d), "source_name", "end_lsn_num", BATCH)
+    return capture.batches(transactions(spark, d), "source_name", "end_lsn_num", BATCH, width=FOLD)
 
 
 def segmented(spark: SparkSession, d: str) -> DataFrame:
-    return capture.segments(capture.batch_totals(batched(spark, d), "source_name"), "source_name", SEGMENT)
+    return capture.segments(capture.batch_totals(batched(spark, d), "source_name"), "source_name", SEGMENT, width=FOLD)
+
+
+def timed(spark: SparkSession, d: str) -> DataFrame:
+    """Transactions with the milliseconds of their commit."""
+    return kept(spark, d).groupBy("source_name", "end_lsn", "end_lsn_num").agg(F.count(F.lit(1)).alias("event_count"), F.sum("payload_bytes").alias("decoded_bytes"), F.min("commit_timestamp_ms").alias("time"))
+
+
+def timed_batches(spark: SparkSession, d: str) -> DataFrame:
+    return capture.batches(timed(spark, d), "source_name", "end_lsn_num", DELAYED, "time", FOLD)
 
 
 def segment_events(spark: SparkSession, d: str) -> DataFrame:
@@ -114,9 +126,7 @@ def stream_replay_emitted_limit(spark, d):
 
 
 def recent_events(spark, d):
-    rows = events(spark, d)
-    last = rows.agg(F.max("sequence")).first()[0] or 0
-    return replay.recent(rows, 20, last).select(VIEW)
+    return replay.latest(events(spark, d), 20).select(VIEW)
 
 
 def point_lookup(spark, d):
@@ -180,6 +190,15 @@ def group_commit_batches(spark, d):
     return batched(spark, d).select("end_lsn_num", "batch_id")
 
 
+def group_commit_batches_delayed(spark, d):
+    return timed_batches(spark, d).select("end_lsn_num", "batch_id")
+
+
+def segment_assignment_aged(spark, d):
+    totals = capture.batch_totals(timed_batches(spark, d), "source_name", "time")
+    return capture.segments(totals, "source_name", AGED, "time", FOLD).select("batch_id", "events", "bytes", "segment_id")
+
+
 def batch_totals(spark, d):
     return capture.batch_totals(batched(spark, d), "source_name").drop("source_name")
 
@@ -211,9 +230,8 @@ def _aged(spark, d):
 
 
 def retention_candidates_age(spark, d):
-    c = _aged(spark, d)
-    now = c.agg(F.max("last_timestamp_ms")).first()[0] or 0
-    return stats.retention_candidates(c, max_age_ms=1000, now_ms=now).select("segment_id", "last_timestamp_ms")
+    now = F.max("last_timestamp_ms").over(Window.partitionBy())  # of the catalog: a row for each segment
+    return stats.retention_candidates(_aged(spark, d), max_age_ms=1000, now_ms=now).select("segment_id", "last_timestamp_ms")
 
 
 def retention_outcome(spark, d):
@@ -257,7 +275,7 @@ def ack_monotone_offsets(spark, d):
 
 
 def consumer_lag(spark, d):
-    offsets = _deliveries(spark, d).filter("sequence <= 900").groupBy("consumer").agg(F.max("sequence").alias("sequence"))
+    offsets = _deliveries(spark, d).filter("sequence % 5 <> 0 and sequence % 7 <> 0").groupBy("consumer").agg(F.max("sequence").alias("sequence"))
     high = events(spark, d).agg(F.max("sequence").alias("high"))
     return stats.consumer_lag(offsets.crossJoin(high), F.col("high")).select("consumer", "sequence", "lag")  # high is one row
 
@@ -318,11 +336,15 @@ def key_template_render(spark, d):
 
 
 def tuple_json_render(spark, d):
-    """Row images from tagged values: null, text, unchanged and binary."""
-    row = spark.read.parquet(f"{d}/customer.parquet")
-    text = lambda c: F.col(c).cast("string")
-    image = F.to_json(F.struct(F.struct(F.lower(F.hex(F.encode("c_name", "UTF-8"))).alias("__binary_hex")).alias("blob"), text("c_custkey").alias("id"), F.lit(None).cast("string").alias("note")), {"ignoreNullFields": "false"})
-    return row.select("c_custkey", image.alias("image"))
+    """Row images from tagged values (null, text, unchanged and binary), rendered by the decoder."""
+    from .sources.pgoutput import render_tuples
+
+    hexed = lambda c: F.hex(F.encode(c, "UTF-8"))
+    size = lambda c: F.hex(F.octet_length(F.encode(c, "UTF-8"))).cast("string")
+    sized = lambda tag, c: F.concat(F.lit(tag), F.lpad(size(c), 8, "0"), hexed(c))
+    raw = F.concat(F.lit("0004"), sized("62", F.col("c_name")), sized("74", F.col("c_custkey").cast("string")), F.lit("6E"), F.lit("75"))
+    rows = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.unhex(raw).alias("tuple"))
+    return render_tuples(rows, "c_custkey", "tuple", ["blob", "id", "note", "old"], "image")
 
 
 def _tables(spark, d):
@@ -452,9 +474,7 @@ def zero_safe_ratio(spark, d):
 def storage_ready(spark, d):
     """Samples by supplier; being unhealthy once latches."""
     s = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", (F.col("s_suppkey") * 13 % 100).alias("used"), (F.col("s_suppkey") % 50 != 49).alias("ok"))
-    s = s.withColumn("lane", F.col("s_suppkey") % 8)
-    healthy = F.min(F.col("ok").cast("int")).over(Window.partitionBy("lane").orderBy("s_suppkey").rowsBetween(Window.unboundedPreceding, 0)) == 1
-    return s.withColumn("healthy", healthy).select("s_suppkey", (F.col("ok") & F.col("healthy") & (F.col("used") < 80) & (100 - F.col("used") > 10)).alias("ready"))
+    return metrics.readiness(s.withColumn("lane", F.col("s_suppkey") % 8), "lane", "s_suppkey", "ok", F.col("used"), F.lit(80), 100 - F.col("used"), F.lit(10)).select("s_suppkey", "ready")
 
 
 def backup_file_order(spark, d):
@@ -486,7 +506,7 @@ NAMES_OF_QUERIES = (
     "change_log_projection", "capture_plan_filter", "event_ordinal", "global_sequence", "stream_view_exact", "stream_view_schema_wildcard", "replay_range",
     "replay_count_byte_bounded", "replay_one_event_at_least", "stream_replay_emitted_limit", "recent_events", "point_lookup", "bounded_run_prefix", "log_sequence_bounds",
     "lsn_parse_compare", "source_clock", "transaction_stats", "transaction_limit_violations", "replay_marker_antijoin", "duplicate_transaction_counts", "event_id_exists",
-    "group_commit_batches", "batch_totals", "segment_assignment", "segment_statistics", "store_stats", "retention_candidates_count", "retention_candidates_bytes",
+    "group_commit_batches", "group_commit_batches_delayed", "batch_totals", "segment_assignment", "segment_assignment_aged", "segment_statistics", "store_stats", "retention_candidates_count", "retention_candidates_bytes",
     "retention_candidates_age", "retention_outcome", "integrity_violations", "catalog_violations", "source_offsets", "ack_monotone_offsets", "consumer_lag", "wal_lag",
     "cache_invalidate_keys", "cache_upsert_mutations", "cache_final_state", "cache_mapping_errors", "event_rule_join", "stream_event_join", "toast_incomplete_events",
     "key_template_render", "tuple_json_render", "required_tables", "required_tables_missing", "restricted_tables", "publication_unnecessary_tables", "publication_join",

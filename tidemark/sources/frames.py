@@ -22,8 +22,10 @@ FIELDS = [x.split()[0] for x in FRAMES.split(", ")]
 
 
 def write_frames(path: str, name: str, frames: list[tuple]) -> None:
-    """Frames as one file, visible once complete."""
+    """Frames as one file, visible once complete; without frames there is none."""
     os.makedirs(path, exist_ok=True)
+    if not frames:
+        return
     tmp = f"{path}/.{name}"
     with open(tmp, "wb") as f:
         for frame in frames:
@@ -53,16 +55,29 @@ class FilePart(InputPartition):
 
 
 class FrameReader(DataSourceStreamReader):
-    def __init__(self, path: str):
-        self.path = path
+    """frames_per_batch bounds what a micro-batch takes, a file's frames at least: 0 takes all."""
+
+    def __init__(self, path: str, frames_per_batch: int = 0):
+        self.path, self.most, self.next = path, frames_per_batch, 0
+        if os.path.exists(f"{path}/.planned"):
+            with open(f"{path}/.planned") as f:
+                self.next = int(f.read())
 
     def initialOffset(self) -> dict:
         return {"next": 0}
 
     def latestOffset(self) -> dict:
-        return {"next": max((last + 1 for _, last, _ in _ranges(self.path)), default=0)}
+        ends = [last + 1 for _, last, _ in _ranges(self.path) if last >= self.next]
+        if not ends:
+            return {"next": self.next}
+        within = [end for end in ends if not self.most or end - self.next <= self.most]
+        return {"next": within[-1] if within else ends[0]}
 
     def partitions(self, start: dict, end: dict) -> list[FilePart]:
+        # What was asked for is where the next batch begins, also after a restart: no offset goes back.
+        if self.most and end["next"] > self.next:
+            self.next = end["next"]
+            self._write(".planned", self.next)
         return [FilePart(f, start["next"], end["next"]) for first, last, f in _ranges(self.path) if first < end["next"] and last >= start["next"]]
 
     def read(self, partition: FilePart) -> Iterator[tuple]:
@@ -72,10 +87,13 @@ class FrameReader(DataSourceStreamReader):
                 yield tuple(x[k] for k in FIELDS)
 
     def commit(self, end: dict) -> None:
-        tmp = f"{self.path}/.acknowledged"
+        self._write("acknowledged", end["next"])
+
+    def _write(self, name: str, position: int) -> None:
+        tmp = f"{self.path}/.{name}.tmp"
         with open(tmp, "w") as f:
-            f.write(str(end["next"]))
-        os.replace(tmp, f"{self.path}/acknowledged")
+            f.write(str(position))
+        os.replace(tmp, f"{self.path}/{name}")
 
 
 class FrameSource(DataSource):
@@ -87,7 +105,7 @@ class FrameSource(DataSource):
         return FRAMES
 
     def streamReader(self, schema) -> FrameReader:
-        return FrameReader(self.options["path"])
+        return FrameReader(self.options["path"], int(self.options.get("framesPerBatch", 0)))
 
 
 def register(spark: SparkSession) -> None:

@@ -90,6 +90,17 @@ class Change:
     after: str | None = None
 
 
+def render_tuples(rows: DataFrame, key: str, value: str, names: list[str], out: str) -> DataFrame:
+    """Tuples of columns by these names, as they come in messages, to row images: (key, out). Rows keep their places, nothing is shuffled."""
+    of = Relation(0, "", "", 0, [Column(0, n, 25, -1) for n in names])
+
+    def render(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({key: part[key], out: [Decoder()._tuple(Reader(bytes(x)), of) for x in part[value]]})
+
+    return rows.select(key, value).mapInPandas(render, f"{key} {rows.schema[key].dataType.simpleString()}, {out} string")
+
+
 @dataclass
 class Decoder:
     relations: dict[int, Relation] = field(default_factory=dict)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hmac
 import threading
-import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -51,8 +50,10 @@ class ApiLimits:
     name_bytes: int = 128
     event_bytes: int = 16 << 20
     subscriptions: int = 1024
-    batch: int = 256
+    #: Events and bytes of them that the driver holds at once for a subscription, and sequences whose sizes it looks at.
+    batch: int = 4096
     batch_bytes: int = 64 << 20
+    read: int = 1 << 16
 
 
 @dataclass
@@ -110,15 +111,15 @@ class Consumers:
                 if at >= state.high_watermark:
                     if not follow:
                         return
-                    time.sleep(poll_s)
+                    self.store.wait(at, poll_s)
                     continue
                 if at + 1 < state.retention_floor:
                     raise SequenceExpired(at + 1, state.retention_floor)
-                upto = min(at + self.limits.batch, state.high_watermark)
+                upto = min(at + self.limits.read, state.high_watermark)
                 rows = self.store.log(at + 1, state).filter(F.col("sequence") <= upto)
                 parts = ("event_id", "schema", "table", "source.database", "source.slot", "source.lsn", "key", "before", "after")
                 rows = rows.filter(view).withColumn("__size", event_size(*[F.col(c) for c in parts]))
-                for row in rows.orderBy("sequence").collect():
+                for row in self._bounded(rows):
                     if row["__size"] > self.limits.event_bytes:
                         raise ApiError("resource_exhausted", f"event {row['sequence']} has {row['__size']} bytes")
                     self.delivered[key] = max(self.delivered.get(key, 0), row["sequence"])
@@ -131,6 +132,20 @@ class Consumers:
             with self.lock:
                 self.active.discard(key)
 
+    def _bounded(self, rows: DataFrame) -> Iterator[Row]:
+        """A range of sequences in order. The driver holds batch events and about batch_bytes of them at once, one event at least."""
+        sizes = [(r["sequence"], r["__size"]) for r in rows.select("sequence", "__size").orderBy("sequence").collect()]
+        begin = 0
+        while begin < len(sizes):
+            end, held = begin, 0
+            while end < len(sizes) and (end == begin or (end - begin < self.limits.batch and held + sizes[end][1] <= self.limits.batch_bytes)):
+                held, end = held + sizes[end][1], end + 1
+            if end == len(sizes) and begin == 0:
+                yield from rows.orderBy("sequence").collect()
+            else:
+                yield from rows.filter(F.col("sequence").between(sizes[begin][0], sizes[end - 1][0])).orderBy("sequence").collect()
+            begin = end
+
     def ack(self, stream: str, consumer: str, sequence: int, token: str | None = None) -> int:
         """The offset only moves forward, and not beyond what was delivered."""
         self.authorizer.check(token, stream)
