@@ -5,10 +5,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tidemark import oracle, queries
+from tidemark import oracle, queries, store_oracle
 from tidemark.sources import artefacts
 
 SF = "/root/testdata/sf0.001"
+SQL = oracle.oracle_sql() | store_oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -25,9 +26,9 @@ def canonical(x):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", queries.NAMES_OF_QUERIES)
+@pytest.mark.parametrize("name", queries.queries())
 def test_query_equals_sql(spark, duck, name):
-    got, want = queries.queries()[name](spark, SF), duck.sql(oracle.oracle_sql()[name])
+    got, want = queries.queries()[name](spark, SF), duck.sql(SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
     rows = sorted(tuple(canonical(r[c]) for c in sorted(got.columns)) for r in got.collect())
     order = [want.columns.index(c) for c in sorted(want.columns)]
@@ -41,7 +42,7 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(queries.queries()) == set(oracle.oracle_sql())
+    assert set(queries.queries()) == set(SQL)
 
 
 def test_artefacts(spark, tmp_path):

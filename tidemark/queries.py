@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import functions as X
-from . import metrics
+from . import metrics, store_queries
+from .cache_rules import RULES
 from .operators import cache, capture, replay, stats, validate
 from .plans import CapturePlan, Stream
 from .sources import derived
@@ -285,7 +286,6 @@ def wal_lag(spark, d):
     return t.select("wal_end", "durable", X.saturating_sub(F.col("wal_end"), F.col("durable")).alias("lag"), X.saturating_sub(F.col("durable"), F.col("wal_end")).alias("floor"))
 
 
-RULES = [cache.Rule("public.users", "user:{id}", "upsert", 60), cache.Rule("public.orders", "order:{id}:{status}", "invalidate")]
 
 
 def cache_invalidate_keys(spark, d):
@@ -517,4 +517,4 @@ NAMES_OF_QUERIES = (
 
 
 def queries() -> dict[str, Query]:
-    return {name: globals()[name] for name in NAMES_OF_QUERIES}
+    return {name: globals()[name] for name in NAMES_OF_QUERIES} | store_queries.queries()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DATABASE, SLOT, SOURCE_NAME = "shop", "main", "primary"
 
@@ -42,3 +43,31 @@ def captured(changes: DataFrame, source_name: str = SOURCE_NAME) -> DataFrame:
         f"'{source_name}' as source_name", "wal_pos", "lsn as wal_start", "xid", "end_lsn as commit_lsn", "end_lsn", "schema_name as `schema`",
         "table_name as `table`", "operation", "key_json as key", "before_json as before", "after_json as after", "commit_timestamp_ms",
     )
+
+
+#: The columns of every relation of the derived frames, and the relations' numbers.
+FRAME_COLUMNS, RELATIONS = ("id", "k", "status"), {"users": 1, "orders": 2, "clicks": 3}
+
+
+def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived changes as replication frames (pgoutput.FRAMES): 16 positions a transaction, relations again every 50 transactions."""
+    text = lambda c: f"if({c} is null, '6E', concat('74', lpad(hex(octet_length({c})), 8, '0'), hex(encode({c}, 'UTF-8'))))"
+    image = lambda c: "concat('0003', " + ", ".join(text(f"get_json_object({c}, '$.{n}')") for n in FRAME_COLUMNS) + ")"
+    number = "lpad(hex(case table_name " + " ".join(f"when '{t}' then {n}" for t, n in RELATIONS.items()) + " end), 8, '0')"
+    rows = event_changes(spark, sf_dir)
+    data = rows.selectExpr(
+        "txn * 16 + 4 + wal_pos % 7 as pos", "'data' as event", "wal_pos * 256 as wal_start",
+        f"""unhex(case operation when 'insert' then concat('49', {number}, '4E', {image('after_json')})
+            when 'update' then concat('55', {number}, '4F', {image('before_json')}, '4E', {image('after_json')})
+            else concat('44', {number}, '4F', {image('before_json')}) end) as payload""",
+    )
+    whole = rows.groupBy("txn").agg(F.min("xid").alias("xid"), F.min("end_lsn_num").alias("end"), F.min("commit_timestamp_ms").alias("ms"))
+    begin = whole.selectExpr("txn * 16 as pos", "'begin' as event", "end - 1024 as wal_start", "xid", "end - 8 as final_lsn", "(ms - 946684800000) * 1000 as commit_micros")
+    commit = whole.selectExpr("txn * 16 + 15 as pos", "'commit' as event", "end - 8 as wal_start", "end as end_lsn")
+    hexed = lambda t: "".join(f"{b:02X}" for b in t.encode() + b"\0")
+    columns = f"{len(FRAME_COLUMNS):04X}" + "".join(f"00{hexed(c)}00000019FFFFFFFF" for c in FRAME_COLUMNS)
+    known = [(n - 1, bytes.fromhex(f"52{n:08X}{hexed('public')}{hexed(t)}66{columns}")) for t, n in RELATIONS.items()]
+    named = whole.filter("txn % 50 = 0").withColumn("r", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(bytearray(x)).alias("payload")) for i, x in known])))
+    relations = named.selectExpr("txn * 16 + 1 + r.i as pos", "'data' as event", "end - 1024 as wal_start", "r.payload as payload")
+    out = data.unionByName(relations, True).unionByName(begin, True).unionByName(commit, True)
+    return out.selectExpr(f"'{SOURCE_NAME}' as source_name", "pos", "event", "wal_start", "payload", "xid", "final_lsn", "end_lsn", "commit_micros", "cast(null as string) as prefix")
