@@ -39,30 +39,60 @@ def readiness(samples: DataFrame, lane: str, order: str, healthy: str, used: Col
     return samples.withColumn("__healthy", so_far).withColumn("ready", storage_ready(F.lit(True), F.col("__healthy"), used, limit, free, reserve)).drop("__healthy")
 
 
+#: Counters that a process keeps, beside what a commit counts.
+COUNTERS = (
+    "transactions", "events", "commits", "decoded_bytes", "staged_bytes", "staged_transactions", "reconnects", "replayed", "heartbeats",
+    "retention_sweeps", "retention_deleted_events", "retention_deleted_bytes", "retention_errors",
+    "consumer_limit_rejections", "subscription_limit_rejections", "subscription_waits", "delivered_events", "acknowledgements", "seeks", "replay_errors",
+    "storage_samples", "storage_sample_errors", "sink_deliveries", "sink_retries", "sink_failures",
+)
+#: Gauges that something sets, beside those of a storage sample.
+GAUGES = ("active_subscriptions", "last_commit_timestamp_ms", "last_batch_events", "last_batch_bytes", "retention_last_sweep_ms", "sink_offset", "source_wal_end")
+
+
 @dataclass
 class Metrics:
-    """Counters of a process; unhealthy storage stays so."""
-
-    transactions: int = 0
-    events: int = 0
-    commits: int = 0
-    decoded_bytes: int = 0
-    reconnects: int = 0
-    replayed: int = 0
+    """Counters and gauges of a process; unhealthy storage stays so."""
+
     state: RuntimeState = RuntimeState.STARTING
     storage_healthy: bool = True
+    counts: dict = field(default_factory=lambda: dict.fromkeys(COUNTERS, 0))
+    gauges: dict = field(default_factory=lambda: dict.fromkeys(GAUGES, 0))
+    last_sample: dict | None = None
     buckets: list = field(default_factory=lambda: [0] * len(LATENCY_BOUNDS))
     latency_sum: float = 0.0
     lock: threading.Lock = field(default_factory=threading.Lock)
 
-    def committed(self, transactions: int, events: int, size: int, seconds: float) -> None:
+    def add(self, counter: str, n: int = 1) -> None:
         with self.lock:
-            self.transactions, self.events, self.commits = self.transactions + transactions, self.events + events, self.commits + 1
-            self.decoded_bytes += size
+            self.counts[counter] += n
+
+    def set(self, gauge: str, value: int) -> None:
+        if gauge not in self.gauges:
+            raise KeyError(gauge)
+        self.gauges[gauge] = value
+
+    @property
+    def commits(self) -> int:
+        return self.counts["commits"]
+
+    def committed(self, transactions: int, events: int, size: int, seconds: float, staged: int = 0, staged_bytes: int = 0) -> None:
+        with self.lock:
+            for k, n in (("transactions", transactions), ("events", events), ("commits", 1), ("decoded_bytes", size), ("staged_transactions", staged), ("staged_bytes", staged_bytes)):
+                self.counts[k] += n
+            self.gauges["last_batch_events"], self.gauges["last_batch_bytes"] = events, size
             self.latency_sum += seconds
             for i, bound in enumerate(LATENCY_BOUNDS):
                 self.buckets[i] += seconds <= bound
 
+    def pruned(self, outcome: dict, now_ms: int) -> None:
+        """What LogStore.prune() returns."""
+        with self.lock:
+            self.counts["retention_sweeps"] += 1
+            self.counts["retention_deleted_events"] += outcome["deleted_events"]
+            self.counts["retention_deleted_bytes"] += outcome["deleted_bytes"]
+            self.gauges["retention_last_sweep_ms"] = now_ms
+
     def sample(self, store: LogStore, wal_end: int | None = None) -> dict:
         from . import lsn
 
@@ -73,7 +103,9 @@ class Metrics:
             "storage_bytes": store.files.size(store.path), "retained_events": sum(x.event_count for x in s.segments), "segments": len(s.segments),
             "first_sequence": s.first_sequence or 0, "high_watermark": s.high_watermark, "retained_span": max(0, s.high_watermark - (s.first_sequence or 0) + (s.high_watermark > 0)),
             "retention_floor": s.retention_floor, "consumers": len(lags), "max_consumer_lag": max(lags.values(), default=0), "durable_position": durable,
-            "wal_lag_bytes": max(0, (wal_end or durable) - durable),
+            "wal_lag_bytes": max(0, (wal_end or durable) - durable), "source_offsets": len(s.source_offsets), "replay_markers": sum(x.marker_count for x in s.segments),
+            "sealed_segments": sum(x.sealed for x in s.segments), "stored_bytes": sum(x.stored_bytes for x in s.segments), "storage_free_bytes": store.files.free(store.path),
+            "storage_limit_bytes": store.limits.storage_bytes, "storage_reserve_bytes": store.limits.reserve_bytes,
         }
 
     def render(self, sample: dict, version: str = "0.1.0") -> str:
@@ -81,11 +113,12 @@ class Metrics:
         out = [f"# TYPE {PREFIX}_build_info gauge", f'{PREFIX}_build_info{{version="{version}"}} 1', f"# TYPE {PREFIX}_runtime_state gauge"]
         out += [f'{PREFIX}_runtime_state{{state="{s.value}"}} {int(s is self.state)}' for s in RuntimeState]
         with self.lock:
-            counters = {k: getattr(self, k) for k in ("transactions", "events", "commits", "decoded_bytes", "reconnects", "replayed")}
+            counters, gauges = dict(self.counts), dict(self.gauges)
             buckets, total, count = list(self.buckets), self.latency_sum, self.commits
         for k, v in counters.items():
             out += [f"# TYPE {PREFIX}_{k}_total counter", f"{PREFIX}_{k}_total {v}"]
-        for k, v in {**sample, "storage_healthy": int(self.storage_healthy)}.items():
+        ready = storage_ready(True, self.storage_healthy, sample["storage_bytes"], sample["storage_limit_bytes"], sample["storage_free_bytes"], sample["storage_reserve_bytes"])
+        for k, v in {**sample, **gauges, "storage_healthy": int(self.storage_healthy), "storage_ready": int(ready)}.items():
             out += [f"# TYPE {PREFIX}_{k} gauge", f"{PREFIX}_{k} {v}"]
         name = f"{PREFIX}_commit_seconds"
         out.append(f"# TYPE {name} histogram")

@@ -55,6 +55,16 @@ def transaction_stats(events: DataFrame, by: list[str], images: Iterable[str] =
     return out if memory is None else out.withColumn("is_staged", F.col("decoded_bytes") > memory)
 
 
+#: Bytes that a staged transaction has before its events, and each event before its JSON. Fixed values.
+STAGED_HEADER, STAGED_RECORD = 12, 8
+
+
+def staged_stats(events: DataFrame, by: list[str], line: Column) -> DataFrame:
+    """Events and the bytes of each transaction as it is staged: a header, then each event's JSON with its length."""
+    size = F.sum(F.octet_length(line) + F.lit(STAGED_RECORD)) + F.lit(STAGED_HEADER)
+    return events.groupBy(*by).agg(F.count(F.lit(1)).alias("event_count"), size.cast("long").alias("staged_bytes"))
+
+
 def limit_violations(stats: DataFrame, max_events: int, max_bytes: int) -> DataFrame:
     """Transactions over a limit; reaching it is allowed."""
     reason = F.when(F.col("event_count") > max_events, "event_limit").when(F.col("decoded_bytes") > max_bytes, "byte_limit")

@@ -102,6 +102,8 @@ tables as (
   select schema_name, table_name from tables where schema_name = 'public' or (schema_name = 'audit' and table_name in ('china', 'nowhere'))
   union select 'audit', 'china' union select 'audit', 'nowhere'
 )"""
+_LINE = """'{"sequence":' || sequence || ',"event_id":"' || event_id || '","schema":"public","table":"' || table_name || '","operation":"' || operation || '","key":' || key_json
+            || ',"before":' || coalesce(before_json, 'null') || ',"after":' || coalesce(after_json, 'null') || ',"commit_timestamp_ms":' || commit_timestamp_ms || '}'"""
 _VIEW = "sequence, event_id, schema_name, table_name, operation"
 _L, _B, _S, _M = f"with {_CHANGES}, {_LOG} ", f"with recursive {_CHANGES}, {_LOG}, {_BATCHES} ", f"with recursive {_CHANGES}, {_LOG}, {_BATCHES}, {_SEGMENTS} ", f"with {_CHANGES}, {_LOG}, {_MUTATIONS} "
 _C, _N = f"with {_CHANGES} ", f"with {_NATION} "
@@ -204,8 +206,8 @@ def oracle_sql() -> dict[str, str]:
         "end_to_end_latency_samples": _L + "select count(*) filter (t and l >= 0) as samples, count(*) filter (t and l < 0) as clock_skew, count(*) filter (not t) as missing, cast(sum(l) filter (t and l >= 0) as bigint) as latency_ms from (select sequence % 10 <> 0 as t, sequence % 40 - 5 as l from deliveries)",
         "redelivery_counts": _L + "select consumer, count(*) filter (not again) as new_events, count(*) filter (again) as redelivered from (select consumer, coalesce(sequence <= max(sequence) over (partition by consumer order by delivered_at rows between unbounded preceding and 1 preceding), false) as again from deliveries) group by consumer",
         "event_size_guard": _L + "select sequence, z as encoded_size from (select sequence, strlen(event_id) + 6 + strlen(table_name) + 8 + strlen(lsn) + payload_bytes as z from log) where z > 150",
-        "event_json_line": _L + """select sequence, '{"sequence":' || sequence || ',"event_id":"' || event_id || '","schema":"public","table":"' || table_name || '","operation":"' || operation || '","key":' || key_json
-            || ',"before":' || coalesce(before_json, 'null') || ',"after":' || coalesce(after_json, 'null') || ',"commit_timestamp_ms":' || commit_timestamp_ms || '}' as line from log""",
+        "event_json_line": _L + f"select sequence, {_LINE} as line from log",
+        "transaction_staged_bytes": _L + f"select end_lsn, count(*) as event_count, cast(12 + sum(8 + strlen({_LINE})) as bigint) as staged_bytes from log group by end_lsn",
         "wire_projection": _L + "select sequence, event_id, case operation when 'insert' then 1 when 'update' then 2 else 3 end as operation, after_json is not null as has_after from log",
         "retryable_sqlstate": f"select s_suppkey, case when s_suppkey % 4 <> 0 then c end as state, s_suppkey % 4 <> 0 and c not in ('57P04', '42601') as retryable from (select s_suppkey, {_SQLSTATE} as c from supplier)",
         "backoff_schedule": "select range as attempt, least(15000, 250 * cast(pow(2, least(range, 16)) as bigint)) as delay_ms from range(20)",

@@ -439,10 +439,17 @@ def event_size_guard(spark, d):
     return events(spark, d).withColumn("encoded_size", size).filter("encoded_size > 150").select("sequence", "encoded_size")
 
 
-def event_json_line(spark, d):
+def _line():
     parsed = lambda c: F.try_parse_json(c)
-    line = F.to_json(F.struct("sequence", "event_id", F.col("schema_name").alias("schema"), F.col("table_name").alias("table"), "operation", parsed("key_json").alias("key"), parsed("before_json").alias("before"), parsed("after_json").alias("after"), "commit_timestamp_ms"), {"ignoreNullFields": "false"})
-    return events(spark, d).select("sequence", line.alias("line"))
+    return F.to_json(F.struct("sequence", "event_id", F.col("schema_name").alias("schema"), F.col("table_name").alias("table"), "operation", parsed("key_json").alias("key"), parsed("before_json").alias("before"), parsed("after_json").alias("after"), "commit_timestamp_ms"), {"ignoreNullFields": "false"})
+
+
+def event_json_line(spark, d):
+    return events(spark, d).select("sequence", _line().alias("line"))
+
+
+def transaction_staged_bytes(spark, d):
+    return capture.staged_stats(events(spark, d), ["end_lsn"], _line())
 
 
 def wire_projection(spark, d):
@@ -511,7 +518,7 @@ NAMES_OF_QUERIES = (
     "cache_invalidate_keys", "cache_upsert_mutations", "cache_final_state", "cache_mapping_errors", "event_rule_join", "stream_event_join", "toast_incomplete_events",
     "key_template_render", "tuple_json_render", "required_tables", "required_tables_missing", "restricted_tables", "publication_unnecessary_tables", "publication_join",
     "replica_identity_exists", "source_validation", "resume_gap", "commit_latency_histogram", "latency_quantiles", "interval_throughput", "end_to_end_latency_samples",
-    "redelivery_counts", "event_size_guard", "event_json_line", "wire_projection", "retryable_sqlstate", "backoff_schedule", "display_columns", "zero_safe_ratio",
+    "redelivery_counts", "event_size_guard", "event_json_line", "transaction_staged_bytes", "wire_projection", "retryable_sqlstate", "backoff_schedule", "display_columns", "zero_safe_ratio",
     "storage_ready", "backup_file_order", "inspect_tables", "artefact_parsing", "orders_change_feed",
 )
 
