@@ -226,6 +226,23 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["replay", str(tmp_path / "none")], spark) == 10 and cli.main(["nonsense"], spark) == 2
 
 
+def test_supervised_capture_by_command_line(spark, tmp_path):
+    path = tmp_path / "c.toml"
+    path.write_text(GOOD.format(dir=tmp_path).replace('[[streams]]', f'frames_dir = "{tmp_path}/frames"\n[[streams]]', 1))
+    c = config.load(str(path))
+    orders = h.relation(7, "public", "orders", ["id"])
+    rows = h.frames([orders, h.insert(7, "1"), h.insert(7, "2")], [h.insert(7, "3")], source=c.source.name)
+    spark.createDataFrame(rows, FRAMES).coalesce(1).write.parquet(c.runtime.frames_dir)
+    assert cli.main(["capture", str(path)], spark) == 0
+    got = cli.open_store(spark, c).log().orderBy("sequence").collect()
+    assert [json.loads(r["after"])["id"] for r in got] == ["1", "2", "3"]
+
+
+def test_what_may_pass():
+    assert capturing.may_pass(Exception("java.net.ConnectException: refused")) and capturing.may_pass(Exception("x (SQLSTATE 57P01)"))
+    assert not capturing.may_pass(Exception("tidemark.errors.DecodeError: ConnectException")) and not capturing.may_pass(e.DecodeError("ConnectException")) and not capturing.may_pass(Exception("else"))
+
+
 def test_metrics(spark, tmp_path):
     m = Metrics(state=RuntimeState.CAPTURING)
     m.committed(2, 10, 100, 0.003)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import threading
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from .operators.log_store import Limits, LogStore, Retention
 from .streaming import capture as capturing
 from .streaming.consumers import ApiLimits, Authorizer, Consumers
 from .streaming.sinks import CacheSink, MemoryKeyValue, SinkWorker
+from .streaming.supervisor import Supervisor
 
 
 def session() -> SparkSession:
@@ -44,12 +46,19 @@ def event_lines(rows):
 
 
 def capture(spark, c, args) -> None:
-    store = open_store(spark, c)
-    step = capturing.Capture(store, c.source.name, c.plan(), stop_after=args.stop_after_events)
-    query = capturing.start(capturing.read_frames(spark, c.runtime.frames_dir, c.plan()), step, f"{c.runtime.data_dir}/_stream", args.interval)
-    query.awaitTermination()
-    r = c.runtime
-    store.prune(Retention(r.retention_events, r.retention_bytes, r.retention_age_ms, r.retention_delete_batch))
+    """Supervised: it starts again after failures that may pass, and a signal ends it between batches."""
+    store, metrics, r = open_store(spark, c), Metrics(), c.runtime
+
+    def connect():
+        step = capturing.Capture(store, c.source.name, c.plan(), on_commit=lambda batch: metrics.add("commits"), stop_after=args.stop_after_events)
+        return capturing.start(capturing.read_frames(spark, r.frames_dir, c.plan()), step, f"{r.data_dir}/_stream", args.interval)
+
+    supervisor = Supervisor(connect, metrics, capturing.may_pass)
+    if threading.current_thread() is threading.main_thread():
+        supervisor.install_signals()
+    supervisor.run()
+    outcome = store.prune(Retention(r.retention_events, r.retention_bytes, r.retention_age_ms, r.retention_delete_batch))
+    metrics.pruned(outcome, store.now_ms())
     store.vacuum()
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import lsn
+from ..errors import DataSafetyError, TidemarkError
 from ..functions import parse_lsn
 from ..model import CAPTURED
 from ..operators.log_store import PERSISTED, LogStore
@@ -84,6 +85,23 @@ def start(captured: DataFrame, capture: Capture, checkpoint: str, interval: str
     return query
 
 
+#: What a failure's text says when the same input may work later: lost machines and stores that do not answer.
+PASSING = ("ConnectException", "SocketTimeoutException", "SocketException", "UnknownHostException", "ExecutorLost", "FetchFailed", "Job aborted due to stage failure: ResultStage", "(SQLSTATE 08", "(SQLSTATE 53", "(SQLSTATE 57P0", "(SQLSTATE 55006)")
+
+
+def may_pass(e: Exception) -> bool:
+    """Whether a failed stream is worth starting again. Failures of data safety, also those that executors report by name, are not."""
+    text = str(e)
+    return not isinstance(e, TidemarkError) and not any(c.__name__ in text for c in fatal()) and any(x in text for x in PASSING)
+
+
+def fatal() -> list[type]:
+    kinds = [DataSafetyError]
+    for k in kinds:
+        kinds += k.__subclasses__()
+    return kinds
+
+
 def stop(query: StreamingQuery, timeout_s: int = 30) -> bool:
     """End between micro-batches, which are whole transactions."""
     query.stop()
