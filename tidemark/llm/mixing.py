@@ -29,7 +29,7 @@ as its table's rows ask for, CHUNKS at least. Windows without a partition run ov
 for each source only.
 
 Cases: a null text or one without words has size 0 and takes nothing; the null source is
-a source, last in order; documents of a chunk are in the order of id, size and a hash of
+a source, last in order; documents of a chunk (by id and bytes) are in the order of id, size and a hash of
 the text, so that ties are between equal rows only, which take the same words in either
 order; repeated rows, also of one id, are documents of their own; very long texts are cut
 at the borders of blocks like all others; an empty table gives an empty result; other
@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, hash60
+from .common import WORD, cut, hash60
 
 
 @dataclass(frozen=True)
@@ -77,7 +77,7 @@ def _shuffle(seed: str, n: str, x: str, rounds: int, back: bool = False) -> str:
 def _sized(docs: DataFrame, mix: Mix, keep: list[str]) -> DataFrame:
     """Each document with its size, source key, a hash of the text and its chunk."""
     tv = F.coalesce(F.md5("text"), F.lit(""))
-    chunk = hash60(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "tv")) % mix.chunks
+    chunk = hash60(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), "tv"), "bytes")) % mix.chunks
     keep = [*keep, *(c for c in docs.columns if c == "__tie")]
     sized = docs.select(
         "doc_id",
@@ -85,9 +85,10 @@ def _sized(docs: DataFrame, mix: Mix, keep: list[str]) -> DataFrame:
         F.col("source").isNull().cast("int").alias("snull"),
         F.coalesce("source", F.lit("")).alias("src"),
         tv.alias("tv"),
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("string").alias("bytes"),
         *keep,
     )
-    return sized.withColumn("chunk", chunk.cast("int"))
+    return sized.withColumn("chunk", chunk.cast("int")).drop("bytes")
 
 
 def _keyed(docs: DataFrame, mix: Mix, keep: list[str]) -> DataFrame:
@@ -129,12 +130,15 @@ def _sources(chunks: DataFrame, mix: Mix) -> DataFrame:
 _SEED = "concat('source:', snull, ':', src)"
 
 
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """A stated number of partitions, which Spark does not merge: a few rows are small, what they unfold to is not."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _unfolded(sources: DataFrame, n: str, keys: list[str], mix: Mix) -> DataFrame:
     """A row j for each of the first n numbers; sources with many are split over rows first."""
     runs = sources.filter(f"{n} > 0").withColumn("first", F.expr(f"explode(sequence(0, ({n} - 1) div {mix.run}))"))
-    # A stated number of partitions: the few rows of runs are small, what they unfold to is not.
-    runs = runs.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "first")
-    return runs.withColumn("j", F.expr(f"explode(sequence(first * {mix.run}, least({n}, (first + 1) * {mix.run}) - 1))"))
+    return _spread(runs, *keys, "first").withColumn("j", F.expr(f"explode(sequence(first * {mix.run}, least({n}, (first + 1) * {mix.run}) - 1))"))
 
 
 def draw(sources: DataFrame, mix: Mix) -> DataFrame:
@@ -156,7 +160,7 @@ def slots(sources: DataFrame, mix: Mix) -> DataFrame:
     drawn = drawn.withColumn("upto", F.sum("draws").over(within) - F.col("draws")).withColumn("at", F.sum("draws").over(beside) - F.col("draws"))
     drawn = drawn.join(runs.hint("merge"), ["snull", "src", "run"]).withColumn("from", F.expr("run_start + upto"))
     drawn = drawn.join(sources.select("snull", "src", "blocks", "last_words", "passes", "rest", "last_at", "all_slots"), ["snull", "src"])
-    j = drawn.withColumn("k", F.expr("explode(sequence(0L, draws - 1))")).withColumn("j", F.expr("`from` + k"))
+    j = _spread(drawn, "snull", "src", "shard").withColumn("k", F.expr("explode(sequence(0L, draws - 1))")).withColumn("j", F.expr("`from` + k"))
     j = j.withColumn("pass", F.expr("j div blocks")).withColumn("i", F.expr("j % blocks"))
     j = j.withColumn("block", F.expr(_shuffle(_SEED, "blocks", "i", mix.rounds)))
     j = j.withColumn("block_size", F.expr(f"if(block = blocks - 1, last_words, {b})"))
@@ -169,8 +173,9 @@ def slots(sources: DataFrame, mix: Mix) -> DataFrame:
 
 def _placed(docs: DataFrame, mix: Mix, keep: list[str]) -> tuple[DataFrame, DataFrame]:
     """Sources, and documents with the words before them in their source."""
-    chunks = _chunks(docs, mix)
-    sources = _sources(chunks, mix)
+    # Both are small and read often: a row for each chunk, a row for each source.
+    chunks = cut(_chunks(docs, mix))
+    sources = cut(_sources(chunks, mix))
     prefix = Window.partitionBy("snull", "src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
     starts = chunks.withColumn("chunk_start", F.sum("words").over(prefix) - F.col("words")).drop("words")
     starts = starts.join(sources.select("snull", "src", F.col("n").alias("source_size"), "target", "passes"), ["snull", "src"])
@@ -268,7 +273,7 @@ def oracle(mix: Mix = Mix()) -> str:
     return f"""
 with d as (
   select doc_id, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size,
-         cast(source is null as integer) as snull, coalesce(source, '') as src, coalesce(md5(text), '') as tv, {h("coalesce(cast(doc_id as varchar), '') || ':' || coalesce(md5(text), '')")} % {mix.chunks} as chunk
+         cast(source is null as integer) as snull, coalesce(source, '') as src, coalesce(md5(text), '') as tv, {h("coalesce(cast(doc_id as varchar), md5(text), '') || ':' || coalesce(strlen(text), 0)")} % {mix.chunks} as chunk
   from documents
 ), p as (
   select *, cast(sum(size) over (partition by snull, src order by chunk, doc_id, size, tv rows unbounded preceding) as bigint) - size as start,
