@@ -59,3 +59,36 @@ def test_proximity_by_default_needs_three_terms(spark):
     docs = brute.documents(spark, ["zeta one alpha two beta", "zeta " + "x " * 50 + "alpha beta", "beta zeta alpha", "alpha beta", "beta zeta", "alpha zeta"])
     rows = d.proximity(docs, bench(spark, [(4, "alpha beta zeta")]), within=6).collect()
     assert sorted((r.doc_id, r.item, r.start) for r in rows) == [(0, "4", 0), (2, "4", 0)]
+
+
+def test_very_long_text_and_common_terms(spark):
+    """An item of words that every document has, and one deep in a long text."""
+    rng = random.Random(1)
+    item, rare = "the of and to in a is that it was", " ".join(f"r{i}" for i in range(12))
+    long = " ".join(rng.choice(item.split()) for _ in range(100_000)) + f" {rare} " + " ".join(["the"] * 5)
+    texts = [long, item, "the of and to in a is that it", f"x {rare}"]
+    items = [(1, item), (2, rare), (3, rare)]
+    got = {r.doc_id: tuple(r)[1:] for r in d.contamination(brute.documents(spark, texts), bench(spark, items)).collect()}
+    assert got == brute.decontaminate(list(enumerate(texts)), items) and got[0][2] == 2
+
+
+def test_few_lists_or_many_give_the_same(spark):
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choice("abcde") for _ in range(n))
+    items, texts = [(i, say(12)) for i in range(6)], [say(80) for _ in range(30)]
+    texts += [f"{say(5)} {items[i % 6][1]} {say(5)}" for i in range(12)]
+    want = brute.decontaminate(list(enumerate(texts)), items)
+    for lists in (1, 2, 5, 10):
+        assert {r.doc_id: tuple(r)[1:] for r in d.contamination(brute.documents(spark, texts), bench(spark, items), lists=lists).collect()} == want
+
+
+def test_broadcasts_are_checked_by_rows_and_bytes(spark, monkeypatch):
+    from tidemark.llm import common
+
+    df = spark.createDataFrame([(1, "x" * 1000, [1, 2])], "a long, b string, c array<int>")
+    hinted = lambda x, *rows: common.broadcast_checked(x, *rows) is not x
+    assert hinted(df) and hinted(df.limit(0)) and not hinted(df, 10**9)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 1000)
+    assert not hinted(df)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 2000)
+    assert hinted(df)

@@ -2,6 +2,7 @@ import random
 
 import brute
 import corpus_pipeline as p
+from pyspark.sql import functions as F
 from tidemark.llm import decontamination, mixing, sharding
 
 
@@ -59,3 +60,29 @@ def test_shared_ids_keep_each_text(spark):
     docs = brute.documents(spark, [a, a, b, b, b, "clean words of their own kind", None], ids=[7, 3, 7, 9, 7, 9, None])
     rows = p.drop_near_duplicates(spark, docs, "").collect()
     assert sorted((str(r.doc_id), r.text) for r in rows) == [("3", a), ("7", b), ("9", "clean words of their own kind"), ("None", None)]
+
+
+def test_run_with_repeated_rows_no_ids_and_clashing_columns(spark, tmp_path):
+    item = "one two three four five six seven eight nine ten"
+    texts = [item, item, f"before {item} after", "clean words that nobody has seen", "clean words that nobody has seen", None, "", "12 34", "a last clean text of several words"]
+    docs = brute.documents(spark, texts, ids=[None, None, 3, 4, 4, 5, 6, 7, 8], langs=[None] + ["en"] * 8, sources=["a"] * 9)
+    docs = brute.with_more_columns(docs).withColumns({c: F.lit("x") for c in ("did", "tv", "rn", "start_", "component_id", "wid", "w", "many", "node", "comp")})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = p.run(spark, str(tmp_path))
+    assert set(out.columns) == set(docs.columns) | {"input_slot", "input_shard"}
+    rows = out.collect()
+    assert {r.doc_id for r in rows} == {4, 8} and all(r.input_slot == 7 and r.did == "x" for r in rows)
+    # One source: its target is its size, so that each document comes once.
+    assert sorted(r.text for r in rows) == [texts[8], texts[3]]
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    docs = brute.documents(spark, [])
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in p.STAGES:
+        assert stage(spark, docs, str(tmp_path)).collect() == []
+    assert p.run(spark, str(tmp_path)).collect() == []
+    some = brute.documents(spark, ["some text", None])
+    assert p.decontaminate(spark, some, str(tmp_path)).count() == 2
