@@ -186,13 +186,13 @@ def greedy(rows: DataFrame, source: str, order: str, ends: Callable[[pd.DataFram
             of[at : stop[at]] = group
             at, group = int(stop[at]), group + 1
         # What reaches over the end is told by this range, too.
-        return part.assign(**{out: of})[lambda x: x[out] > 0][[source, order, out]]
+        return part.assign(**{out: of})[lambda x: x[out] > 0][[source, order, "events", "bytes", "time", out]]
 
     keys = f"{source} string, __r long"
     told = seen.groupBy(source, "__for").applyInPandas(tell, f"{keys}, entry long, until long, leaves long, groups long")
     begins = told.groupBy(source).applyInPandas(chain, f"{keys}, entry long, number long").withColumnRenamed("__r", "__for")
-    found = seen.groupBy(source, "__for").cogroup(begins.groupBy(source, "__for")).applyInPandas(number, f"{source} string, {order} long, {out} long")
-    return numbered.drop("__i", "__r").join(found, [source, order])
+    schema = f"{source} string, {order} long, events long, bytes long, time long, {out} long"
+    return seen.groupBy(source, "__for").cogroup(begins.groupBy(source, "__for")).applyInPandas(number, schema)
 
 
 def batches(transactions: DataFrame, source: str, order: str, limits: BatchLimits, time: str | None = None, width: int = FOLD) -> DataFrame:

@@ -16,9 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from .pgoutput import FRAMES
-
-FIELDS = [x.split()[0] for x in FRAMES.split(", ")]
+from .pgoutput import FIELDS, FRAMES
 
 
 def write_frames(path: str, name: str, frames: list[tuple]) -> None:

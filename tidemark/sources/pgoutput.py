@@ -29,6 +29,7 @@ from ..operators.capture import running_before
 from ..plans import CapturePlan
 
 FRAMES = "source_name string, pos long, event string, wal_start long, payload binary, xid long, final_lsn long, end_lsn long, commit_micros long, prefix string"
+FIELDS = [x.split()[0] for x in FRAMES.split(", ")]
 #: Messages with this prefix only move the checkpoint on.
 HEARTBEAT_PREFIX = "tidemark.heartbeat"
 
@@ -198,6 +199,8 @@ class TransactionReader:
     rows: list[dict] = field(default_factory=list)
     #: The farthest position seen; never a checkpoint.
     latest_wal_end: int = 0
+    #: Whether the plan keeps a table.
+    kept: dict = field(default_factory=dict)
 
     def feed(self, frame: dict) -> list[dict]:
         event = frame["event"]
@@ -214,12 +217,7 @@ class TransactionReader:
             self.begin, self.rows = frame, []
             return []
         if event == "data":
-            changes = self.decoder.decode(bytes(frame["payload"]))
-            if changes and self.begin is None:
-                raise StreamStateError("a row comes outside of a transaction")
-            for c in changes:
-                if self.plan.matches(c.schema, c.table):
-                    self.rows.append({"wal_pos": int(frame["pos"]) * 1_000_000 + len(self.rows), "wal_start": lsn.text(int(frame["wal_start"])), **vars(c)})
+            self.data(int(frame["pos"]), frame["wal_start"], bytes(frame["payload"]))
             return []
         if event != "commit":
             raise StreamStateError(f"unknown frame {event!r}")
@@ -235,9 +233,21 @@ class TransactionReader:
         return out
 
 
+    def data(self, pos: int, wal_start: int, payload: bytes) -> None:
+        changes = self.decoder.decode(payload)
+        if changes and self.begin is None:
+            raise StreamStateError("a row comes outside of a transaction")
+        for c in changes:
+            name = (c.schema, c.table)
+            if name not in self.kept:
+                self.kept[name] = self.plan.matches(*name)
+            if self.kept[name]:
+                self.rows.append({"wal_pos": pos * 1_000_000 + len(self.rows), "wal_start": lsn.text(int(wal_start)), **vars(c)})
+
+
 def _frame(rows: list[dict]) -> pd.DataFrame:
     names = [f.name for f in CAPTURED.fields]
-    out = pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names, dtype=object)
+    out = pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names}, columns=names)
     for n in ("wal_pos", "xid", "commit_timestamp_ms"):
         out[n] = out[n].astype("Int64")
     return out
@@ -269,6 +279,21 @@ def _grouped(frames: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     return placed.select("__g", *frames.columns), known
 
 
+def _feed(reader: TransactionReader, rows: pd.DataFrame) -> Iterator[tuple[int, list[dict]]]:
+    """Each frame in order: its position, then what it has brought. Only frames that are no data become dictionaries."""
+    rows = rows.sort_values("pos")
+    for row in zip(*[rows[c].tolist() for c in rows.columns]):
+        frame = dict(zip(rows.columns, row)) if row[_EVENT] != "data" else None
+        yield row[_POS], []
+        if frame is None:
+            reader.data(row[_POS], row[_WAL], row[_PAYLOAD])
+        else:
+            yield row[_POS], reader.feed(frame)
+
+
+_POS, _EVENT, _WAL, _PAYLOAD = (FIELDS.index(c) for c in ("pos", "event", "wal_start", "payload"))
+
+
 def decode_frames(frames: DataFrame, plan: CapturePlan, width: int = WIDTH) -> DataFrame:
     """Frames of whole sources to captured rows; an unfinished transaction stays out. A transaction is decoded by one task."""
 
@@ -277,11 +302,11 @@ def decode_frames(frames: DataFrame, plan: CapturePlan, width: int = WIDTH) -> D
         if len(rows):
             reader = TransactionReader(rows["source_name"].iloc[0], plan)
             relations, at = sorted(zip(known["pos"].tolist(), known["payload"].tolist())), 0
-            for frame in rows.sort_values("pos").to_dict("records"):
-                while at < len(relations) and relations[at][0] < frame["pos"]:
+            for pos, got in _feed(reader, rows[FIELDS]):
+                while at < len(relations) and relations[at][0] < pos:
                     reader.decoder.decode(bytes(relations[at][1]))
                     at += 1
-                out += reader.feed(frame)
+                out += got
         return _frame(out)
 
     placed, known = _grouped(frames, width)
@@ -293,9 +318,7 @@ def decode_stream(frames: DataFrame, plan: CapturePlan) -> DataFrame:
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         reader = pickle.loads(state.get[0]) if state.exists else TransactionReader(key[0], plan)
-        rows, out = pd.concat(list(parts)).sort_values("pos"), []
-        for frame in rows.to_dict("records"):
-            out += reader.feed(frame)
+        out = [x for _, got in _feed(reader, pd.concat(list(parts))[FIELDS]) for x in got]
         state.update((pickle.dumps(reader),))
         yield _frame(out)
 

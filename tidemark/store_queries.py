@@ -23,14 +23,27 @@ from .streaming import capture as capturing
 from .streaming.consumers import ApiLimits, Authorizer, Consumers, Principal
 from .streaming.sinks import CacheSink, MemoryKeyValue, SinkWorker
 
-SOURCE, PARTS, WIDTH = derived.SOURCE_NAME, 3, 1 << 12
+SOURCE, PARTS, WIDTH = derived.SOURCE_NAME, 3, 1 << 14
 USERS = Stream("people", SOURCE, ("public.users",))
 PLAN = CapturePlan.of(SOURCE, [USERS, Stream("sales", SOURCE, ("public.orders",))])
 EVERY_COMMIT = Limits(SegmentLimits(events=1))
 
 
+_FRAMES: dict[tuple[str, str], str] = {}
+
+
+def frames(spark: SparkSession, d: str) -> DataFrame:
+    """The frames as files, as a source leaves them: made once for a session and data folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FRAMES:
+        path = workspace.folder(spark, "frames")
+        derived.event_frames(spark, d).write.parquet(path)
+        _FRAMES[key] = path
+    return spark.read.parquet(_FRAMES[key])
+
+
 def decoded(spark: SparkSession, d: str) -> DataFrame:
-    return decode_frames(derived.event_frames(spark, d), PLAN, WIDTH)
+    return decode_frames(frames(spark, d), PLAN, WIDTH)
 
 
 def parts(spark: SparkSession, d: str) -> list[DataFrame]:
@@ -71,10 +84,9 @@ def decoded_empty_transactions(spark, d):
 
 
 def log_stream_view(spark, d):
-    """The whole path: frames, decoding, filter, sequences, commits, log, view."""
+    """The whole path: frames, decoding, filter, sequences, a commit, log, view."""
     made = new_store(spark)
-    for rows in parts(spark, d):
-        made.persist(rows, SOURCE)
+    made.persist(decoded(spark, d), SOURCE)
     return made.replay(1, stream=USERS.column()).select("sequence", "event_id", F.col("schema").alias("schema_name"), F.col("table").alias("table_name"), "operation")
 
 
