@@ -35,6 +35,17 @@ def test_method_adds_spans(spark):
     assert got[1] == "national_phone:29:41"  # "phone" speaks for the number after it, not for the lonely one
 
 
+def test_secrets_and_social_security_numbers(spark):
+    aws, hub, slack, head = "AKIA" + "Z7" * 8, "ghp_" + "a1" * 18, "xoxb-" + "12-ab" * 3, "-----BEGIN RSA PRIVATE KEY-----"
+    texts = [f"é {aws}, {hub};{slack} {head}", aws[:-1], hub[:-1], "xoxb-short", "-----BEGIN PUBLIC KEY-----"]
+    texts += ["SSN: 123-45-6789, 123-45-6789", "ssn 1123-45-6789", "ssn 123-45-67890", "ssn 666-45-6789", "social security 123-00-6789", "sku 123-45-6789"]
+    want = [[aws, hub, slack, head], [], [], [], [], ["123-45-6789"], [], [], [], [], []]
+    for r in pii.op9(spark, brute.documents(spark, texts)).collect():
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        found = [texts[r.doc_id][int(s) : int(e)] for k, s, e in spans if k in ("ssn", "secret")]
+        assert found == want[r.doc_id] and r.n_ssn + r.n_secret == len(found) and r.n_spans == len(spans)
+
+
 def test_account_numbers_hide_no_others(spark):
     de, gb, hr, mt = "DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "HR1210010051863000160", "MT84MALT011000012345MTLCAST001S"
     texts = [f"{de} {gb}", f"AB12 {gb} {de}", f"AT12 {de}", f"{de[:-1]}1 {gb}", f"{hr} {mt}", f"é{gb}{de}X", "HR1210010051863000161"]
@@ -50,6 +61,7 @@ def test_sql_agrees(spark):
 
     de, gb, hr = "DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "HR1210010051863000160"
     texts = [t for t in TEXTS if t is None or "\0" not in t] + [f"{de} {gb}", f"AB12 {gb} iban {de}", f"é{gb}{de}X konto {hr}", f"tel 555-123-4567, 555-123-4567 {hr}"]
+    texts += ["ssn 123-45-6789, 123-45-6789-0 token AKIA" + "Z7" * 8, "é ssn 000-45-6789 xoxb-" + "12-ab" * 3 + " -----BEGIN PRIVATE KEY-----"]
     documents = pd.DataFrame({"doc_id": [0, *range(len(texts) - 1)], "text": texts})  # noqa: F841 (read by duckdb)
     want = duckdb.sql(pii.oracle()).df()
     docs = brute.documents(spark, texts, ids=documents["doc_id"].tolist())

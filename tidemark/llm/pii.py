@@ -8,7 +8,8 @@ CONTEXT_CHARS of it, so that a word speaks for the number right after it and for
 Account numbers are tried at every place and end where their country's length ends, so
 neither a failed proposal nor another number hides one; each that is confirmed is
 reported. Kinds that no checksum confirms and that many clean texts contain (national
-phone numbers) are reported only when context raises them over the threshold.
+phone numbers, social security numbers) are reported only when context raises them over
+the threshold. Secrets are keys of published formats, which their prefixes make certain.
 
 All work is per row: nothing is shuffled. Spans count code points, ends are exclusive.
 Places come from the lengths of matches and of the pieces between them, summed in
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 #: Kinds in the order of the output. Fixed values.
 BASE_KINDS = ("email", "ip", "card", "phone")
-MORE_KINDS = ("iban", "national_phone")
+MORE_KINDS = ("iban", "national_phone", "ssn", "secret")
 
 #: Java expressions; a run is entered only where it starts or where the last match ended, so that none is scanned twice.
 PATTERNS = {
@@ -38,9 +39,18 @@ PATTERNS = {
     # Only the first letter is taken, so that the next place is tried too; the group has what follows.
     "iban": r"(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}))[A-Z]",
     "national_phone": r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}",
+    # All digits and hyphens that hang together, so that no part of a longer number counts.
+    "ssn": r"(?:(?<![0-9])|\G)[0-9]++(?:-[0-9]++)++",
+    "secret": r"AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|gh[oprsu]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|-----BEGIN [A-Z ]*PRIVATE KEY-----",
+}
+#: Strings one of which every match of the kind has; texts without them are not searched.
+NEEDS = {
+    "email": ("@",),
+    "ip": (".",),
+    "phone": ("+",),
+    "ssn": ("-",),
+    "secret": ("AKIA", "AIza", "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "xox", "PRIVATE KEY-----"),
 }
-#: A character that every match of the kind has; texts without it are not searched.
-NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 
 #: Lengths of account numbers by country. Fixed values.
 IBAN_LENGTHS = {
@@ -56,7 +66,7 @@ MORE_IBAN_LENGTHS = {
     "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
 }
 #: Scores before context, context words (looked for in lower case) and what one adds. Fixed values.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "national_phone": 0.3}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "national_phone": 0.3, "ssn": 0.3, "secret": 0.9}
 CONTEXT = {
     "email": ("mail", "contact", "contacto", "kontakt"),
     "ip": ("ip", "host", "server", "address"),
@@ -64,8 +74,12 @@ CONTEXT = {
     "phone": ("phone", "tel", "call", "fax", "mobile"),
     "iban": ("iban", "account", "konto", "compte", "cuenta"),
     "national_phone": ("phone", "tel", "call", "fax", "mobile"),
+    "ssn": ("ssn", "social", "security"),
+    "secret": ("key", "token", "secret", "password"),
 }
 CONTEXT_ADDS, CONTEXT_CHARS, THRESHOLD = 0.2, 40, 0.5
+#: Social security numbers, and those that are never given out. Fixed values.
+SSN, NO_SSN = "^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "^(000|666|9)|-00-|-0000$"
 
 
 def _sums(a: str) -> str:
@@ -103,6 +117,8 @@ def _confirm(kind: str, a: str) -> str:
         turned = "concat(substring(replace(x.m, ' ', ''), 5), substring(x.m, 1, 4))"
         rest = f"aggregate(split({turned}, ''), 0, (r, c) -> if(c between '0' and '9', (r * 10 + cast(c as int)) % 97, if(c between 'A' and 'Z', (r * 100 + ascii(c) - 55) % 97, r)))"
         return f"filter({cut}, x -> {rest} = 1)"
+    if kind == "ssn":
+        return f"filter({a}, x -> rlike(x.m, '{SSN}') and not rlike(x.m, '{NO_SSN}'))"
     return a
 
 
@@ -121,7 +137,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     none = "cast(array() as array<struct<s:int,k:int,e:int,kind:string,score:double>>)"
     found = []
     for kind in (*BASE_KINDS, *MORE_KINDS):
-        test = f"contains(t, '{NEEDS[kind]}')" if kind in NEEDS else "has_digit"
+        test = " or ".join(f"contains(t, '{x}')" for x in NEEDS[kind]) if kind in NEEDS else "has_digit"
         spans = _scored(kind, _confirm(kind, _proposals(kind)))
         found.append(f"case when {test} then {spans} else {none} end")
     docs = docs.withColumn("has_digit", F.expr("rlike(t, '[0-9]')"))
@@ -138,6 +154,7 @@ def op9(spark: SparkSession, docs: DataFrame) -> DataFrame:
         F.expr(f"sha2({listed.format(f'filter(spans, x -> x.k < {len(BASE_KINDS)})')}, 256)").alias("base_sha256"),
         F.expr(listed.format("spans")).alias("spans"),
         *[n(k) for k in MORE_KINDS],
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
@@ -148,7 +165,9 @@ _PLAIN = {
     "card": r"[0-9](?:[\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"[A-Z][A-Z][0-9][0-9](?:\x20?[A-Z0-9]){11,30}",
-    "national_phone": r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}",
+    "national_phone": PATTERNS["national_phone"],
+    "ssn": r"[0-9]+(?:-[0-9]+)+",
+    "secret": PATTERNS["secret"],
 }
 
 
@@ -184,13 +203,14 @@ places as (
       case when j % 2 = 0 then cast(digits[length(digits) - j] as int) else cast(digits[length(digits) - j] as int) * 2 - case when cast(digits[length(digits) - j] as int) > 4 then 9 else 0 end end)) % 10 = 0
     when 'phone' then length(digits) between 10 and 15
     when 'iban' then list_reduce(list_prepend(0, list_transform(string_split(substr(bare, 5) || substr(bare, 1, 4), ''), lambda c: case when c between '0' and '9' then cast(c as int) else ascii(c) - 55 end)), lambda r, x: case when x < 10 then (r * 10 + x) % 97 else (r * 100 + x) % 97 end) = 1
+    when 'ssn' then regexp_matches(m, '{SSN}') and not regexp_matches(m, '{NO_SSN}')
     else true end
 ), scored as (
   select *, case kind {base} end + case when case kind {near} end then {CONTEXT_ADDS} else 0 end as score from ok
 ), kept as (select row, k, kind, kind || ':' || cast(s as bigint) || ':' || cast(s + n as bigint) as span, s from scored where k < {len(BASE_KINDS)} or score >= {THRESHOLD}),
 per as (
-  select row, {counts}, string_agg(span, ',' order by s, k) filter (k < {len(BASE_KINDS)}) as base, string_agg(span, ',' order by s, k) as spans from kept group by row
+  select row, {counts}, count(*) as n_spans, string_agg(span, ',' order by s, k) filter (k < {len(BASE_KINDS)}) as base, string_agg(span, ',' order by s, k) as spans from kept group by row
 )
-select d.doc_id, {", ".join(f"coalesce(n_{kind}, 0) as n_{kind}" for kind in _PLAIN)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+select d.doc_id, {", ".join(f"coalesce(n_{kind}, 0) as n_{kind}" for kind in _PLAIN)}, coalesce(n_spans, 0) as n_spans, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
 from d left join per on per.row = d.row
 """
