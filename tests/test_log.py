@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tidemark import errors as e
 from tidemark import maintenance
+from tidemark.model import CHANGE_EVENT
 from tidemark.operators import capture, stats
 from tidemark.operators.capture import BatchLimits, SegmentLimits
 from tidemark.operators.log_store import ALREADY, PERSISTED, Limits, LogStore, Retention
@@ -188,6 +189,42 @@ def test_format_1_is_migrated(spark, tmp_path):
     assert s.state().source_offsets == {"p": "0/9"} and s.state().format_version == 2
 
 
+def test_a_store_of_one_file_is_adopted(spark, tmp_path):
+    old = store(spark, tmp_path / "old")
+    old.persist(h.captured(spark, [2, 1, 3]), "primary")
+    file = str(tmp_path / "events.parquet")
+    old.log(3).select([f.name for f in CHANGE_EVENT.fields]).coalesce(1).write.parquet(file)
+    events, offsets = spark.read.parquet(file), old.state().source_offsets
+
+    s = store(spark, tmp_path / "new")
+    for broken, match in (
+        (events.filter("sequence <> 4"), "sequences are missing"), (events.union(events.filter("sequence = 4")), "sequences repeat"),
+        (events.withColumn("event_id", F.lit("x")), "event ids repeat"), (events.withColumn("event_id", F.lit("")), "no id"), (events.drop("table"), "no column table"),
+    ):
+        with pytest.raises(e.IntegrityError, match=match):
+            s.adopt(broken, offsets)
+    with pytest.raises(e.IntegrityError, match="position of primary"):
+        s.adopt(events, {"primary": "nowhere"})
+    assert s.state().high_watermark == 0 and sequences(s) == []
+
+    assert s.adopt(events, offsets) == 4
+    state = s.state()
+    assert sequences(s) == [3, 4, 5, 6] and [x.sealed for x in state.segments] == [True, False] and state.retention_floor == 3
+    assert s.verify()["events"] == 4 and state.source_offsets == offsets
+    with pytest.raises(e.SequenceExpired):
+        s.replay(1)
+    images = lambda x: sorted(map(str, x.log(3).select("sequence", "event_id", "key", "before", "after", "payload_bytes").collect()))
+    assert images(s) == images(old)
+    assert s.persist(h.captured(spark, [2, 1, 3]), "primary", check_replay=True) == ALREADY
+    assert s.persist(h.captured(spark, [2], first=9), "primary") == PERSISTED and sequences(s) == [3, 4, 5, 6, 7, 8]
+    assert s.verify()["events"] == 6 and len(s.vacuum()) == 4
+    with pytest.raises(e.TidemarkError, match="empty log"):
+        s.adopt(events, offsets)
+
+    nothing = store(spark, tmp_path / "nothing")
+    assert nothing.adopt(events.limit(0), offsets) == 0 and nothing.state().source_offsets == offsets
+
+
 def test_damage_is_reported(spark, tmp_path):
     s = store(spark, tmp_path, events=2)
     for i in range(1, 4):

@@ -30,7 +30,7 @@ from ..errors import (
 )
 from ..files import Files, files_of
 from ..functions import marker, parse_lsn, payload_bytes, source_event_id
-from ..model import CAPTURED, STORED
+from ..model import CAPTURED, CHANGE_EVENT, STORED
 from . import capture, replay, validate
 
 FORMAT = 2
@@ -241,6 +241,55 @@ class LogStore:
         self.persist(one, source_name)
         return self.state().high_watermark
 
+    def adopt(self, events: DataFrame, source_offsets: dict[str, str]) -> int:
+        """Make the events of a store of one file, sequences and all, the sealed first segment of an empty log. Returns their number.
+
+        Such a store kept no markers: replays of its transactions are told by the position and by event ids.
+        """
+        if self.state().high_watermark or self.state().source_offsets:
+            raise TidemarkError("only an empty log can adopt events")
+        bad = [f"position of {k}" for k, v in source_offsets.items() if not k or lsn.position(v) is None]
+        has = set(events.columns)
+        bad += [f"no column {f.name}" for f in CHANGE_EVENT.fields if f.name not in has]
+        if bad:
+            raise IntegrityError("; ".join(bad))
+        kept = events.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CHANGE_EVENT.fields], F.col("end_lsn") if "end_lsn" in has else F.col("source.lsn").alias("end_lsn"))
+        kept = kept.withColumn("payload_bytes", payload_bytes(F.col("key"), F.col("before"), F.col("after")).cast("long"))
+        total = kept.agg(F.count(F.lit(1)).alias("n"), F.sum("payload_bytes").alias("b")).first()
+        if not total["n"]:
+            self._commit(lambda s: replace(s, source_offsets=dict(source_offsets)))
+            return 0
+        self._capacity(total["b"])
+        folder = f"segment-{self.state().segments[-1].id:020d}/{uuid.uuid4().hex}"
+        parts = max(1, -(-total["b"] // FILE_BYTES), -(-total["n"] // FILE_EVENTS))
+        kept.repartitionByRange(parts, "sequence").sortWithinPartitions("sequence").write.parquet(f"{self.path}/data/{folder}/events")
+        # What was written is checked before a commit names it.
+        stored = self.spark.read.schema(STORED).parquet(f"{self.path}/data/{folder}/events")
+        got = stored.agg(
+            F.count(F.lit(1)).alias("n"), F.sum("payload_bytes").alias("b"), F.min("sequence").alias("lo"), F.max("sequence").alias("hi"),
+            F.min("commit_timestamp_ms").alias("t0"), F.max("commit_timestamp_ms").alias("t1"), F.count_if(F.coalesce("event_id", F.lit("")) == "").alias("unnamed"),
+        ).first()
+        twice = {c: not stored.groupBy(c).count().filter("count > 1").isEmpty() for c in ("sequence", "event_id")}
+        tests = {
+            "sequences are missing": got["lo"] is None or got["lo"] < 1 or got["hi"] - got["lo"] + 1 != got["n"], "sequences repeat": twice["sequence"],
+            "events have no id": got["unnamed"], "event ids repeat": twice["event_id"],
+        }
+        if any(tests.values()):
+            raise IntegrityError("; ".join(name for name, fired in tests.items() if fired))
+
+        def change(s: State) -> State:
+            if s.high_watermark or s.source_offsets:
+                raise DuplicateSequence("another writer has appended")
+            one = replace(
+                s.segments[-1], files=(f"{folder}/events",), event_count=got["n"], stored_bytes=got["b"], first_sequence=got["lo"], last_sequence=got["hi"],
+                first_timestamp_ms=got["t0"], last_timestamp_ms=got["t1"],
+            )
+            floor = got["lo"] if got["lo"] > 1 else s.retention_floor
+            return self._sealed(replace(s, segments=(*s.segments[:-1], one), high_watermark=got["hi"], retention_floor=floor, source_offsets=dict(source_offsets)))
+
+        self._commit(change)
+        return got["n"]
+
     def wait(self, after: int, seconds: float) -> bool:
         """Whether there are events after a sequence, at once or within some seconds: a commit of this process wakes it."""
         with self.committed:
