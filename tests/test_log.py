@@ -133,6 +133,16 @@ def test_retention_delete_batch_takes_whole_segments(spark, tmp_path):
     assert s.prune(Retention(max_events=1, delete_batch=3))["deleted_events"] == 4
 
 
+def test_retain_sweeps_until_the_policy_is_met(spark, tmp_path):
+    s = store(spark, tmp_path, events=2)
+    for i in range(1, 6):
+        s.persist(h.captured(spark, [2], first=i), "primary")
+    got = s.retain(Retention(max_events=3, delete_batch=3))
+    assert (got["deleted_segments"], got["deleted_events"], got["first_retained"], got["high_watermark"]) == (4, 8, 9, 10) and sequences(s) == [9, 10]
+    assert got["deleted_markers"] == 4 and s.state().retention_floor == 9
+    assert s.retain(Retention(max_events=0, delete_batch=2))["first_retained"] == 11 and s.retain(Retention())["deleted_events"] == 0
+
+
 def test_bounded_replay(spark, tmp_path):
     s = store(spark, tmp_path, events=3)
     for i in range(1, 5):

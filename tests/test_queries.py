@@ -1,3 +1,4 @@
+import functools
 import glob
 import os
 
@@ -5,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tidemark import oracle, queries, store_oracle
+from tidemark import oracle, queries, store_oracle, store_queries
 from tidemark.sources import artefacts
 
 SF = "/root/testdata/sf0.001"
@@ -35,6 +36,14 @@ def test_query_equals_sql(spark, duck, name):
     assert rows == sorted(tuple(canonical(r[i]) for i in order) for r in want.fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_consumer_walk_empties_a_log_of_more_than_one_sweep(spark, duck, monkeypatch):
+    """A sweep of a log that is larger than its batch stops early; the query must go on."""
+    monkeypatch.setattr(store_queries, "Retention", functools.partial(store_queries.Retention, delete_batch=10))
+    got = {r["name"]: r["offset"] for r in store_queries.consumer_offsets_walk(spark, SF).collect()}
+    assert got == {name: offset for _, name, offset in duck.sql(SQL["consumer_offsets_walk"]).fetchall()}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_entry(spark):
     rows = entry.entry(spark).collect()

@@ -423,6 +423,16 @@ class LogStore:
             "deleted_bytes": sum(x.stored_bytes for x in gone), "first_retained": s.first_sequence or s.high_watermark + 1, "high_watermark": s.high_watermark,
         }
 
+    def retain(self, policy: Retention, now_ms: int | None = None) -> dict:
+        """Sweep until the policy condemns nothing more: prune() stops each time that its batch is full. Returns the sums of the sweeps."""
+        now = self.now_ms() if now_ms is None else now_ms
+        got = self.prune(policy, now)
+        out = dict(got)
+        while got["deleted_events"] >= policy.delete_batch:
+            got = self.prune(policy, now)
+            out = {k: out[k] + v if k.startswith("deleted_") else v for k, v in got.items()}
+        return out
+
     def vacuum(self) -> list[str]:
         """Remove what no commit names: pruned segments and interrupted writes. Call it from the writer."""
         known = {f.rsplit("/", 1)[0] for s in self.state().segments for f in s.files}

@@ -212,7 +212,7 @@ def consumer_offsets_walk(spark, d):
     note("latest", c.seek("people", "a", "latest"))
     note("sequence", c.seek("people", "a", "sequence", 4))
     note("back", c.seek("people", "a", "earliest"))
-    made.prune(Retention(max_events=0))
+    made.retain(Retention(max_events=0))
     note("earliest of an empty log", c.earliest())
     return spark.createDataFrame(out, "step int, name string, offset long")
 
