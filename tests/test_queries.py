@@ -44,6 +44,15 @@ def test_consumer_walk_empties_a_log_of_more_than_one_sweep(spark, duck, monkeyp
     assert got == {name: offset for _, name, offset in duck.sql(SQL["consumer_offsets_walk"]).fetchall()}
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_retention_of_a_log_of_more_than_one_sweep(spark, duck, monkeypatch):
+    kept = store_queries.Retention
+    monkeypatch.setattr(store_queries, "Retention", lambda max_events: kept(max_events=25, delete_batch=10))
+    want = duck.sql(SQL["log_retention"].replace("> 2500", "> 25"))
+    got = store_queries.log_retention(spark, SF).first().asDict()
+    assert got == dict(zip(want.columns, want.fetchall()[0])) and got["deleted_segments"] == 3
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_entry(spark):
     rows = entry.entry(spark).collect()

@@ -132,11 +132,11 @@ def log_replay_decisions(spark, d):
 
 
 def log_retention(spark, d):
-    """A policy of 2500 events: whole segments go, the floor follows, what is left can be read."""
+    """A policy of 2500 events: whole segments go, in as many sweeps as it takes, the floor follows, what is left can be read."""
     made = new_store(spark)
     for rows in parts(spark, d):
         made.persist(rows, SOURCE)
-    outcome = made.prune(Retention(max_events=2500))
+    outcome = made.retain(Retention(max_events=2500))
     made.vacuum()
     left = made.log().agg(F.count(F.lit(1))).first()[0]
     floor = made.state().retention_floor
