@@ -53,6 +53,16 @@ def test_retention_of_a_log_of_more_than_one_sweep(spark, duck, monkeypatch):
     assert got == dict(zip(want.columns, want.fetchall()[0])) and got["deleted_segments"] == 3
 
 
+def test_display_of_large_sizes(spark, tmp_path):
+    """Keys of a larger table, whose sizes pass 1024 GiB."""
+    (tmp_path / "part.parquet").mkdir()
+    duckdb.sql(f"copy (select k as p_partkey, 'x' as p_name from (values (1::bigint), (12_240), (396_000), (396_336), (1_199_999)) v(k)) to '{tmp_path}/part.parquet/0.parquet' (format parquet)")
+    con = duckdb.connect()
+    con.sql(f"create view part as select * from read_parquet('{tmp_path}/part.parquet/*')")
+    want = con.sql(f"select p_partkey, size from ({SQL['display_columns']})").fetchall()
+    assert sorted((r["p_partkey"], r["size"]) for r in queries.display_columns(spark, str(tmp_path)).collect()) == sorted(want)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_entry(spark):
     rows = entry.entry(spark).collect()

@@ -68,9 +68,10 @@ def divide(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def human_bytes(n: Column) -> Column:
+def human_bytes(n: Column, units: tuple[str, ...] = ("KiB", "MiB", "GiB", "TiB")) -> Column:
+    """Bytes in the largest unit that they reach, the last of units at most."""
     size, out = n.cast("double"), F.concat(n.cast("string"), F.lit(" B"))
-    for i, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
+    for i, unit in enumerate(units, 1):
         out = F.when(n >= 1024**i, F.format_string(f"%.1f {unit}", size / float(1024**i))).otherwise(out)
     return out
 
