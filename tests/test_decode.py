@@ -6,6 +6,7 @@ import helpers as h
 import pytest
 from tidemark.errors import DecodeError, StreamStateError
 from tidemark.plans import CapturePlan, Stream
+from tidemark.sources import derived
 from tidemark.sources.pgoutput import FRAMES, HEARTBEAT_PREFIX, Decoder, TransactionReader, decode_frames, unix_ms
 
 ALL = CapturePlan.of("primary", [Stream("all", "primary", ("*",))])
@@ -131,6 +132,26 @@ def test_ranges_decode_like_one_reader(spark, width):
     assert [r.asDict() for r in got] == [{f: r.get(f) for f in got[0].asDict()} for r in want]
 
 
+def test_images_have_names_in_order_and_the_last_of_equal_ones():
+    d = Decoder()
+    d.decode(h.relation(7, "public", "t", ["b", 'a"', "b", "é"]))
+    assert d.decode(h.insert(7, "1", "x\n\x01\u2028", b"\x00\xff", None))[0].after == json.dumps({'a"': "x\n\x01\u2028", "b": {"__binary_hex": "00ff"}, "é": None}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    with pytest.raises(DecodeError):
+        d.decode(h.insert(7, "1", "2", "3", "4")[:-3])
+
+
+def test_derived_frames_parse_a_row_once(spark, tmp_path):
+    """A field of an image is made once, not once for each use of it; decoding brings no second shuffle of the frames."""
+    spark.sql("select 0L as event_id, timestamp'2024-01-01' as ts, 5L as user_id, 'view' as event_type, '{}' as props").write.parquet(str(tmp_path / "events.parquet"))
+    made = derived.event_frames(spark, str(tmp_path))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(made).count("get_json_object") <= 2
+    joins = [line for line in plan(decode_frames(spark.createDataFrame([], FRAMES), ALL)).splitlines() if "LeftOuter" in line]
+    assert joins and all("BroadcastHashJoin" in line for line in joins)
+    rows = decode_frames(made, ALL).collect()
+    assert [(r["before"], r["after"]) for r in rows] == [('{"id":"5","k":null,"status":"old"}', '{"id":"5","k":null,"status":"view"}')]
+
+
 def test_state_errors_in_spark(spark):
     begin, commit = h.frames([])
     lone = h.frames([ORDERS, h.insert(7, "a", "1")])[1:3]

@@ -51,15 +51,19 @@ FRAME_COLUMNS, RELATIONS = ("id", "k", "status"), {"users": 1, "orders": 2, "cli
 
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived changes as replication frames (pgoutput.FRAMES): 16 positions a transaction, relations again every 50 transactions."""
-    text = lambda c: f"if({c} is null, '6E', concat('74', lpad(hex(octet_length({c})), 8, '0'), hex(encode({c}, 'UTF-8'))))"
-    image = lambda c: "concat('0003', " + ", ".join(text(f"get_json_object({c}, '$.{n}')") for n in FRAME_COLUMNS) + ")"
-    number = "lpad(hex(case table_name " + " ".join(f"when '{t}' then {n}" for t, n in RELATIONS.items()) + " end), 8, '0')"
     rows = event_changes(spark, sf_dir)
-    data = rows.selectExpr(
+    # The columns of the images, each made once: images of JSON text would be parsed again for every use of a field.
+    fields = [c for c in EVENT_CHANGES if c.rsplit(" ", 1)[-1] in ("wal_pos", "txn", "table_name", "operation")]
+    values = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*fields, "cast(user_id as string) as id", "get_json_object(props, '$.k') as k", "event_type as status", "'old' as old")
+    text = lambda c: f"coalesce(concat(X'74', unhex(lpad(hex(octet_length({c})), 8, '0')), encode({c}, 'UTF-8')), X'6E')"
+    number = "unhex(lpad(hex(case table_name " + " ".join(f"when '{t}' then {n}" for t, n in RELATIONS.items()) + " end), 8, '0'))"
+    values = values.selectExpr("wal_pos", "txn", "operation", f"{number} as number", *[f"{text(c)} as {c}" for c in ("id", "k", "status", "old")])
+    before, after = "concat(X'0003', id, X'6E', old)", "concat(X'0003', id, k, status)"
+    data = values.selectExpr(
         "txn * 16 + 4 + wal_pos % 7 as pos", "'data' as event", "wal_pos * 256 as wal_start",
-        f"""unhex(case operation when 'insert' then concat('49', {number}, '4E', {image('after_json')})
-            when 'update' then concat('55', {number}, '4F', {image('before_json')}, '4E', {image('after_json')})
-            else concat('44', {number}, '4F', {image('before_json')}) end) as payload""",
+        f"""case operation when 'insert' then concat(X'49', number, X'4E', {after})
+            when 'update' then concat(X'55', number, X'4F', {before}, X'4E', {after})
+            else concat(X'44', number, X'4F', {before}) end as payload""",
     )
     whole = rows.groupBy("txn").agg(F.min("xid").alias("xid"), F.min("end_lsn_num").alias("end"), F.min("commit_timestamp_ms").alias("ms"))
     begin = whole.selectExpr("txn * 16 as pos", "'begin' as event", "end - 1024 as wal_start", "xid", "end - 8 as final_lsn", "(ms - 946684800000) * 1000 as commit_micros")

@@ -10,13 +10,14 @@ its transactions whole; in a stream the relations and the open transaction are s
 
 from __future__ import annotations
 
-import json
 import pickle
-import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
+from json.encoder import encode_basestring
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,7 +48,8 @@ class Reader:
         return self.data[self.at - n : self.at]
 
     def number(self, code: str) -> int:
-        return struct.unpack(">" + code, self.take(struct.calcsize(">" + code)))[0]
+        """A byte (B), a half word (H) or a word (I; i with a sign)."""
+        return int.from_bytes(self.take({"B": 1, "H": 2}.get(code, 4)), "big", signed=code == "i")
 
     def text(self) -> str:
         end = self.data.find(b"\0", self.at)
@@ -80,6 +82,12 @@ class Relation:
     identity: int
     columns: list[Column]
 
+    @cached_property
+    def layout(self) -> list[tuple[str, int]]:
+        """What stands before each value of a row image, and which column it is: names in order, of equal ones the last."""
+        of = {c.name: i for i, c in enumerate(self.columns)}
+        return [(("," if k else "{") + encode_basestring(n) + ":", of[n]) for k, n in enumerate(sorted(of))]
+
 
 @dataclass
 class Change:
@@ -111,10 +119,17 @@ class Decoder:
         tag = chr(r.number("B"))
         if tag in "OY":
             return []
-        handler = {"R": self._relation, "I": self._insert, "U": self._update, "D": self._delete, "T": self._truncate}.get(tag)
-        if handler is None:
-            raise DecodeError(f"unsupported message {tag!r}")
-        return handler(r)
+        if tag == "I":
+            return self._insert(r)
+        if tag == "U":
+            return self._update(r)
+        if tag == "D":
+            return self._delete(r)
+        if tag == "R":
+            return self._relation(r)
+        if tag == "T":
+            return self._truncate(r)
+        raise DecodeError(f"unsupported message {tag!r}")
 
     def _relation(self, r: Reader) -> list[Change]:
         number, schema, table, identity = r.number("I"), r.text(), r.text(), r.number("B")
@@ -164,20 +179,30 @@ class Decoder:
         n = r.number("H")
         if n != len(rel.columns):
             raise DecodeError(f"{rel.schema}.{rel.table} has {len(rel.columns)} columns, the row {n}")
-        row: dict[str, object] = {}
-        for c in rel.columns:
-            kind = chr(r.number("B"))
-            if kind == "n":
-                row[c.name] = None
-            elif kind == "u":
-                row[c.name] = {"__unchanged_toast": True}
-            elif kind == "t":
-                row[c.name] = r._utf8(r.take(r.number("i")))
-            elif kind == "b":
-                row[c.name] = {"__binary_hex": r.take(r.number("i")).hex()}
+        # One loop over the bytes: a tuple is what most of the log's bytes are.
+        data, at, end, values = r.data, r.at, len(r.data), []
+        for _ in range(n):
+            if at >= end:
+                raise DecodeError("a message ends early")
+            kind = data[at]
+            at += 1
+            if kind == _TEXT or kind == _BINARY:
+                stop = at + 4 + int.from_bytes(data[at : at + 4], "big", signed=True)
+                if not at + 4 <= stop <= end:
+                    raise DecodeError("a message ends early")
+                raw, at = data[at + 4 : stop], stop
+                values.append(encode_basestring(r._utf8(raw)) if kind == _TEXT else f'{{"__binary_hex":"{raw.hex()}"}}')
+            elif kind == _NULL:
+                values.append("null")
+            elif kind == _UNCHANGED:
+                values.append('{"__unchanged_toast":true}')
             else:
-                raise DecodeError(f"unsupported value {kind!r}")
-        return json.dumps(row, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+                raise DecodeError(f"unsupported value {chr(kind)!r}")
+        r.at = at
+        return "".join([before + values[i] for before, i in rel.layout]) + "}" if n else "{}"
+
+
+_TEXT, _BINARY, _NULL, _UNCHANGED = b"tbnu"
 
 
 def unix_ms(micros: int) -> int:
@@ -232,7 +257,6 @@ class TransactionReader:
         self.begin, self.rows = None, []
         return out
 
-
     def data(self, pos: int, wal_start: int, payload: bytes) -> None:
         changes = self.decoder.decode(payload)
         if changes and self.begin is None:
@@ -268,27 +292,29 @@ def _grouped(frames: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     number = F.when(F.col("event") == "begin", F.when(begins == commits, begins).otherwise(wrong("a transaction begins inside another")))
     marks = marks.withColumn("n", number.otherwise(F.when(begins == commits + 1, commits).otherwise(wrong("a commit comes without a begin"))))
     spans = marks.groupBy("source_name", "n").agg(F.min(F.expr("if(event = 'begin', pos, null)")).alias("begin"), F.max(F.expr("if(event = 'commit', pos, null)")).alias("commit"))
-    last = frames.groupBy("source_name").agg(F.max("pos").alias("last"))
+    last = F.broadcast(frames.groupBy("source_name").agg(F.max("pos").alias("last")))  # a row for each source
     spans = spans.join(last, "source_name").select("source_name", F.expr(f"begin div {width}").alias("__from"), F.coalesce("commit", "last").alias("__until"))
     # One row for each range that begins within a transaction.
     inside = spans.filter(f"__until div {width} > __from").withColumn("__r", F.explode(F.expr(f"sequence(__from + 1, __until div {width})")))
-    placed = frames.withColumn("__r", F.expr(f"pos div {width}")).join(inside, ["source_name", "__r"], "left").withColumn("__g", F.expr("if(pos <= __until, __from, __r)"))
+    placed = frames.withColumn("__r", F.expr(f"pos div {width}")).join(F.broadcast(inside), ["source_name", "__r"], "left").withColumn("__g", F.expr("if(pos <= __until, __from, __r)"))
     known = frames.filter("event = 'data' and substring(payload, 1, 1) = X'52'").select("source_name", "pos", "payload", F.hex(F.substring("payload", 2, 4)).alias("id"))
     known = known.withColumn("next", F.lead("pos").over(Window.partitionBy("source_name", "id").orderBy("pos"))).join(last, "source_name")
     known = known.withColumn("__g", F.explode(F.expr(f"sequence(pos div {width}, coalesce(next, last) div {width})"))).select(*[F.col(c).alias(c) for c in ("source_name", "__g", "pos", "payload")])  # names of their own
     return placed.select("__g", *frames.columns), known
 
 
-def _feed(reader: TransactionReader, rows: pd.DataFrame) -> Iterator[tuple[int, list[dict]]]:
-    """Each frame in order: its position, then what it has brought. Only frames that are no data become dictionaries."""
-    rows = rows.sort_values("pos")
-    for row in zip(*[rows[c].tolist() for c in rows.columns]):
-        frame = dict(zip(rows.columns, row)) if row[_EVENT] != "data" else None
-        yield row[_POS], []
-        if frame is None:
-            reader.data(row[_POS], row[_WAL], row[_PAYLOAD])
+def _feed(reader: TransactionReader, rows: list[tuple], relations: list[tuple[int, bytes]] = ()) -> list[dict]:
+    """What frames, sorted by position, bring; relations known beforehand are read before the frames behind them. Only frames that are no data become dictionaries."""
+    out, at = [], 0
+    for row in rows:
+        while at < len(relations) and relations[at][0] < row[_POS]:
+            reader.decoder.decode(relations[at][1])
+            at += 1
+        if row[_EVENT] == "data":
+            reader.data(row[_POS], row[_WAL], bytes(row[_PAYLOAD]))
         else:
-            yield row[_POS], reader.feed(frame)
+            out += reader.feed(dict(zip(FIELDS, row)))
+    return out
 
 
 _POS, _EVENT, _WAL, _PAYLOAD = (FIELDS.index(c) for c in ("pos", "event", "wal_start", "payload"))
@@ -296,21 +322,18 @@ _POS, _EVENT, _WAL, _PAYLOAD = (FIELDS.index(c) for c in ("pos", "event", "wal_s
 
 def decode_frames(frames: DataFrame, plan: CapturePlan, width: int = WIDTH) -> DataFrame:
     """Frames of whole sources to captured rows; an unfinished transaction stays out. A transaction is decoded by one task."""
+    types = {"string": pa.string(), "bigint": pa.int64()}
+    schema = pa.schema([pa.field(f.name, types[f.dataType.simpleString()], f.nullable) for f in CAPTURED.fields])
 
-    def fold(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows: pa.Table, known: pa.Table) -> pa.Table:
         out: list[dict] = []
-        if len(rows):
-            reader = TransactionReader(rows["source_name"].iloc[0], plan)
-            relations, at = sorted(zip(known["pos"].tolist(), known["payload"].tolist())), 0
-            for pos, got in _feed(reader, rows[FIELDS]):
-                while at < len(relations) and relations[at][0] < pos:
-                    reader.decoder.decode(bytes(relations[at][1]))
-                    at += 1
-                out += got
-        return _frame(out)
+        if rows.num_rows:
+            listed = sorted(zip(*[rows[c].to_pylist() for c in FIELDS]), key=lambda x: x[_POS])
+            out = _feed(TransactionReader(listed[0][0], plan), listed, sorted(zip(known["pos"].to_pylist(), known["payload"].to_pylist())))
+        return pa.table([pa.array([r.get(f.name) for r in out], f.type) for f in schema], schema=schema)
 
     placed, known = _grouped(frames, width)
-    return placed.groupBy("source_name", "__g").cogroup(known.groupBy("source_name", "__g")).applyInPandas(fold, CAPTURED)
+    return placed.groupBy("source_name", "__g").cogroup(known.groupBy("source_name", "__g")).applyInArrow(fold, CAPTURED)
 
 
 def decode_stream(frames: DataFrame, plan: CapturePlan) -> DataFrame:
@@ -318,7 +341,8 @@ def decode_stream(frames: DataFrame, plan: CapturePlan) -> DataFrame:
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         reader = pickle.loads(state.get[0]) if state.exists else TransactionReader(key[0], plan)
-        out = [x for _, got in _feed(reader, pd.concat(list(parts))[FIELDS]) for x in got]
+        rows = pd.concat(list(parts))[FIELDS].sort_values("pos")
+        out = _feed(reader, list(zip(*[rows[c].tolist() for c in FIELDS])))
         state.update((pickle.dumps(reader),))
         yield _frame(out)
 
