@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import errors as e
 from tidemark import maintenance
 from tidemark.model import CHANGE_EVENT
-from tidemark.operators import capture, stats
+from tidemark.operators import capture, log_store, stats
 from tidemark.operators.capture import BatchLimits, SegmentLimits
 from tidemark.operators.log_store import ALREADY, PERSISTED, Limits, LogStore, Retention
 from tidemark.operators.validate import check_resume
@@ -143,6 +143,17 @@ def test_retain_sweeps_until_the_policy_is_met(spark, tmp_path):
     assert s.retain(Retention(max_events=0, delete_batch=2))["first_retained"] == 11 and s.retain(Retention())["deleted_events"] == 0
 
 
+def test_files_of_a_commit_hold_ranges_without_a_sample(spark, tmp_path, monkeypatch):
+    """Where files begin is known from the sequences: a sample for the ranges would make every row twice."""
+    monkeypatch.setattr(log_store, "FILE_EVENTS", 4)
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.repartitionByRange", None)
+    s = store(spark, tmp_path)
+    s.persist(h.captured(spark, [3, 3, 3, 1]), "primary")
+    s.persist(h.captured(spark, [5], first=5), "primary")
+    files = s.log().withColumn("f", F.input_file_name()).groupBy("f").agg(F.min("sequence").alias("lo"), F.max("sequence").alias("hi"), F.count("*").alias("n")).collect()
+    assert all(r["hi"] - r["lo"] + 1 == r["n"] <= 4 for r in files) and len(files) == 5 and sequences(s) == list(range(1, 16)) and s.verify()["events"] == 15
+
+
 def test_bounded_replay(spark, tmp_path):
     s = store(spark, tmp_path, events=3)
     for i in range(1, 5):
