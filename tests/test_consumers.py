@@ -12,7 +12,7 @@ from tidemark.plans import CapturePlan, Stream
 from tidemark.sources.pgoutput import FRAMES
 from tidemark.streaming import capture as capturing
 from tidemark.streaming.consumers import ApiLimits, Authorizer, Consumers, Principal
-from tidemark.streaming.sinks import CacheSink, MemoryKeyValue, Sink, SinkWorker
+from tidemark.streaming.sinks import CacheSink, MemoryKeyValue, Sink, SinkWorker, TableKeyValue
 
 ALL, ITEMS = Stream("all", "primary", ("*",)), Stream("items", "primary", ("public.items",))
 
@@ -124,6 +124,30 @@ def test_sink_worker_moves_past_what_it_read(spark, tmp_path):
     assert kv.data == before
 
 
+def test_table_of_a_sink_equals_a_cache_in_memory(spark, tmp_path, monkeypatch):
+    """Sets, deletes and other sets of keys, over several batches, delivered again: mutations stay on the executors."""
+    changes = [("set", "a", "1", 60), ("del", "b", None, None), ("set", "b", "2", None), ("set", "a", "3", None), ("del", "a", None, None), ("set", "c", "4", 5), ("set", "a", "5", 7)]
+    memory, table = MemoryKeyValue(), TableKeyValue(spark, str(tmp_path / "kv"))
+    assert table.table().count() == 0
+    for upto in ([0, 1, 2], [3, 4], [5], [0, 1, 2], [3, 4]):
+        for target in (memory, table):
+            target.apply([changes[i] for i in upto])
+        assert {r["key"]: (r["value"], r["ttl_seconds"]) for r in table.table().collect()} == memory.data
+    assert memory.data and TableKeyValue(spark, str(tmp_path / "kv")).table().count() == len(memory.data)
+    s, kv, rules = filled(spark, tmp_path / "log"), TableKeyValue(spark, str(tmp_path / "cache")), [Rule("public.items", "item:{id}")]
+    monkeypatch.setattr(kv, "apply", None)  # what would take mutations from the driver
+    SinkWorker(s, "cache", ITEMS, CacheSink(rules, kv), batch=2).drain()
+    assert sorted(r["key"] for r in kv.table().collect()) == ["item:200", "item:201"]
+    with pytest.raises(e.SinkError, match="commands"):
+        SinkWorker(s, "m", ALL, CacheSink(rules, kv, max_commands=1)).drain()
+    # Limits are of a batch, though many go at once; and those before a batch that fails are delivered.
+    SinkWorker(s, "one", ALL, CacheSink(rules, kv, max_commands=1), batch=1).drain()
+    bad = SinkWorker(s, "bad", ALL, CacheSink([Rule("public.items", "{nothing}")], kv), batch=1)
+    with pytest.raises(e.SinkError, match="no key"):
+        bad.drain()
+    assert bad.offset() == min(r["sequence"] for r in s.log().filter("table = 'items'").collect()) - 1 > 0
+
+
 def test_sink_retries_and_fails(spark, tmp_path):
     s, slept = filled(spark, tmp_path), []
 

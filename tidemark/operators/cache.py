@@ -82,7 +82,12 @@ def mutations(mapped: DataFrame) -> DataFrame:
     return mapped.filter("error is null").select("sequence", "rule_index", F.posexplode("mutations").alias("pos", "m")).select("sequence", "rule_index", "pos", "m.*")
 
 
-def final_state(changes: DataFrame) -> DataFrame:
-    """The last mutation of each key, where it is a write. A hot key is combined before the shuffle."""
+def last_mutations(changes: DataFrame) -> DataFrame:
+    """The last mutation of each key (key, kind, value, ttl_seconds, sequence). A hot key is combined before the shuffle."""
     last = changes.groupBy("key").agg(F.max_by(F.struct("kind", "value", "ttl_seconds", "sequence"), F.struct("sequence", "rule_index", "pos")).alias("x"))
-    return last.filter("x.kind = 'set'").select("key", "x.value", "x.ttl_seconds", "x.sequence")
+    return last.select("key", "x.*")
+
+
+def final_state(changes: DataFrame) -> DataFrame:
+    """The last mutation of each key, where it is a write."""
+    return last_mutations(changes).filter("kind = 'set'").select("key", "value", "ttl_seconds", "sequence")

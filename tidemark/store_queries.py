@@ -21,7 +21,7 @@ from .sources import artefacts, derived
 from .sources.pgoutput import decode_frames
 from .streaming import capture as capturing
 from .streaming.consumers import ApiLimits, Authorizer, Consumers, Principal
-from .streaming.sinks import CacheSink, MemoryKeyValue, SinkWorker
+from .streaming.sinks import CacheSink, SinkWorker, TableKeyValue
 
 SOURCE, PARTS, WIDTH = derived.SOURCE_NAME, 3, 1 << 14
 USERS = Stream("people", SOURCE, ("public.users",))
@@ -222,12 +222,12 @@ def sink_cache_state(spark, d):
     made = new_store(spark)
     for rows in parts(spark, d):
         made.persist(rows, SOURCE)
-    target = MemoryKeyValue()
+    target = TableKeyValue(spark, workspace.folder(spark, "cache"))
     worker = SinkWorker(made, "cache", Stream("all", SOURCE, ("*",)), CacheSink(cache_rules.RULES, target, max_commands=1 << 17), batch=1 << 16)
     worker.drain()
     made.set_consumer_offset(worker.key, 0, only_forward=False)
     worker.drain()
-    return spark.createDataFrame([(k, v, ttl) for k, (v, ttl) in target.data.items()], "key string, value string, ttl_seconds long")
+    return target.table()
 
 
 def benchmark_summary(spark, d):
